@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from . import line_dedup
 from .byte_bpe import op4_byte_bpe
 from .language import op3_language_id
+from .line_dedup import op8_line_dedup
+from .sharding import op2_sharding
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_language_id, op4_byte_bpe)}
+    return {f.__name__: f for f in (op2_sharding, op3_language_id, op4_byte_bpe, op8_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": line_dedup.ORACLE}
