@@ -6,12 +6,13 @@ from . import line_dedup
 from .byte_bpe import op4_byte_bpe
 from .language import op3_language_id
 from .line_dedup import op8_line_dedup
+from .multiset_hash import op9_fingerprint
 from .private_data import op10_private_data
 from .sharding import op2_sharding
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op3_language_id, op4_byte_bpe, op8_line_dedup, op10_private_data)}
+    return {f.__name__: f for f in (op2_sharding, op3_language_id, op4_byte_bpe, op8_line_dedup, op9_fingerprint, op10_private_data)}
 
 
 def oracle_sql() -> dict[str, str]:
