@@ -4,11 +4,15 @@ Each batch of documents adds one run: the hashes of its distinct line keys with
 When a level holds `fanout` runs they are merged into one run of the next level. Lines whose key stands in at least `min_docs`
 documents over all runs are dropped by an anti-join of a batch's lines with the merged runs.
 
+With `keep_first` a repeated line stays in the document of the smallest id that holds it and is dropped from the others, so that a group of
+copies keeps its text once.
+
 A line's key is the line without spaces, tabs, line feeds, vertical tabs, form feeds and carriage returns at its ends, with A-Z in lower
 case. Keys are held as 96 bits of hash (64 and 32 bits of independent functions).
 
 Defined results: null and empty text are one empty line; empty keys are never dropped; repeated rows count as documents of their own;
-rows are matched with their dropped lines by a hash of the text, so null or repeated ids do no harm; an empty table adds an empty run.
+rows are matched with their dropped lines by a hash of the text (and by the id with keep_first, where null ids are never first, unless no
+other holds the line), so null or repeated ids do no harm; an empty table adds an empty run.
 """
 
 from __future__ import annotations
@@ -20,6 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path
 
+#: Stands for a null id, which sorts last.
+NO_ID = (1 << 63) - 1
+RUN = "h long, g int, n long, first long"
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,14 +50,15 @@ def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _key_rows(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each document and distinct key."""
+def _key_rows(docs: DataFrame, text: str, doc_id: str | None = None) -> DataFrame:
+    """A row for each document and distinct key: text hash t, id d, key (h, g)."""
     keys = F.array_distinct(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: k.isNotNull()))
-    return docs.select(_text_hash(F.col(text)).alias("t"), F.explode(keys).alias("k")).select("t", "k.h", "k.g")
+    own = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) if doc_id else F.lit(NO_ID)
+    return docs.select(_text_hash(F.col(text)).alias("t"), own.alias("d"), F.explode(keys).alias("k")).select("t", "d", "k.h", "k.g")
 
 
 class LineRuns:
-    """Levels of sorted runs (h, g, n) in the shared folder."""
+    """Levels of sorted runs in the shared folder: key (h, g), documents n, smallest id of those."""
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
@@ -58,10 +66,10 @@ class LineRuns:
     def _write(self, counted: DataFrame) -> DataFrame:
         path = fresh_path(self.spark, "line-run")
         counted.sortWithinPartitions("h", "g").write.parquet(path)
-        return self.spark.read.schema("h long, g int, n long").parquet(path)
+        return self.spark.read.schema(RUN).parquet(path)
 
-    def add(self, docs: DataFrame, text: str = "text") -> None:
-        self.levels[0].append(self._write(_key_rows(docs, text).groupBy("h", "g").agg(F.count("*").alias("n"))))
+    def add(self, docs: DataFrame, text: str = "text", doc_id: str | None = None) -> None:
+        self.levels[0].append(self._write(_key_rows(docs, text, doc_id).groupBy("h", "g").agg(F.count("*").alias("n"), F.min("d").alias("first"))))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
@@ -72,33 +80,39 @@ class LineRuns:
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy("h", "g").agg(F.sum("n").alias("n"))
+        return reduce(DataFrame.unionByName, runs).groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
     def repeated(self, min_docs: int) -> DataFrame:
         runs = [r for level in self.levels for r in level]
         if not runs:
-            return self.spark.createDataFrame([], "h long, g int")
+            return self.spark.createDataFrame([], RUN).drop("n")
         merged = runs[0] if len(runs) == 1 else self._merged(runs)
-        return merged.where(F.col("n") >= min_docs).select("h", "g")
+        return merged.where(F.col("n") >= min_docs).select("h", "g", "first")
+
 
+def drop_lines(docs: DataFrame, repeated: DataFrame, text: str = "text", keep_first: str | None = None) -> DataFrame:
+    """docs with n_lines, n_dropped and kept (the text without the repeated lines); columns of these names are replaced.
 
-def drop_lines(docs: DataFrame, repeated: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_lines, n_dropped and kept (the text without the repeated lines); columns of these names are replaced."""
-    dropped = _key_rows(docs, text).join(repeated, ["h", "g"], "left_semi").groupBy("t").agg(F.collect_set(F.struct("h", "g")).alias("_dropped"))
+    keep_first names the id column by which the first document of a line is told.
+    """
     docs = docs.drop("n_lines", "n_dropped", "kept")
+    met = _key_rows(docs, text, keep_first).join(repeated, ["h", "g"])
+    met = met.where("d <> first") if keep_first else met
+    dropped = met.groupBy("t", "d").agg(F.collect_set(F.struct("h", "g")).alias("_dropped")).withColumnsRenamed({"t": "_t", "d": "_d"})
+    own = F.coalesce(F.col(keep_first).cast("long"), F.lit(NO_ID)) if keep_first else F.lit(NO_ID)
     all_columns = [docs[c] for c in docs.columns]
-    joined = docs.withColumn("_t", _text_hash(F.col(text))).join(dropped.withColumnRenamed("t", "_t"), "_t", "left")
+    joined = docs.withColumns({"_t": _text_hash(F.col(text)), "_d": own}).join(dropped, ["_t", "_d"], "left")
     lines = lines_of(F.col(text))
     kept = F.when(F.col("_dropped").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_dropped"), line_key(x)), F.lit(False))))
     out = joined.select(*all_columns, lines.alias("_lines"), kept.alias("_kept"))
     return out.select(*docs.columns, F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"), F.array_join("_kept", "\n").alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, keep_first: str | None = None) -> DataFrame:
     """The whole of docs as one batch."""
     runs = LineRuns(docs.sparkSession)
-    runs.add(docs, text)
-    return drop_lines(docs, runs.repeated(min_docs), text)
+    runs.add(docs, text, keep_first)
+    return drop_lines(docs, runs.repeated(min_docs), text, keep_first)
 
 
 def op8_line_dedup(spark, sf_dir: str, batches: int = 4) -> DataFrame:
