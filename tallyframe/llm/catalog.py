@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import line_dedup
 from .byte_bpe import op4_byte_bpe
 from .decontamination import op5_decontamination
+from .html_text import op6_html_extraction
 from .language import op3_language_id
 from .licences import op7_license_scan
 from .line_dedup import op8_line_dedup
@@ -15,7 +16,7 @@ from .sharding import op2_sharding
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_prefix_join, op2_sharding, op3_language_id, op4_byte_bpe, op5_decontamination, op7_license_scan, op8_line_dedup, op9_fingerprint, op10_private_data)}
+    return {f.__name__: f for f in (op1_prefix_join, op2_sharding, op3_language_id, op4_byte_bpe, op5_decontamination, op6_html_extraction, op7_license_scan, op8_line_dedup, op9_fingerprint, op10_private_data)}
 
 
 def oracle_sql() -> dict[str, str]:
