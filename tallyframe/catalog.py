@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans import matching_queries  # noqa: F401
+from .plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
