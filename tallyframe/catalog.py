@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import matching_queries  # noqa: F401
+from .plans import evaluation_queries, matching_queries  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 
