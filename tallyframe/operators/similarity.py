@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _common(a: str, b: str) -> int:
@@ -53,7 +54,7 @@ def partial(a: str, b: str) -> float:
 
 
 def _pairwise(function):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def of_pairs(a: pd.Series, b: pd.Series) -> pd.Series:
         known: dict[tuple[str, str], float] = {}
         out = []

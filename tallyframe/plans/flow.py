@@ -22,6 +22,11 @@ def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Make every step anew from here on."""
+    _KEPT.clear()
+
+
 def sources(spark: SparkSession, sf_dir: str) -> Sources:
     fresh = derived_sources(spark, sf_dir)
     return Sources(*(once(spark, sf_dir, t, lambda t=t: getattr(fresh, t)) for t in ("invoices", "settlements", "bank", "truth")))
@@ -54,3 +59,4 @@ def predicted(pairs: DataFrame, linked: DataFrame) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "predictions", lambda: predicted(best(spark, sf_dir), links(spark, sf_dir)))
+
