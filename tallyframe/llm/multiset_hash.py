@@ -24,56 +24,68 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX_A, MIX_B, WordHashes, append_columns, mixed
+from .common import MIX_A, MIX_B, WordHasher, append_columns, grouped, mixed, offsets_of
 
 EXACT, LIKENESS = 32, 128
-#: Words handled at once.
-CHUNK_WORDS = 100_000
 #: with_next cuts the id range into at most so many blocks, whose first ids are broadcast.
 MOST_BLOCKS, BLOCK_ROWS = 16_384, 512
 
 
-def _signs(h: np.ndarray, para: np.ndarray) -> np.ndarray:
-    """Sum of the sign vectors of the shingles of paragraphs para with word hashes h, as LIKENESS 16-bit lanes."""
+#: One bit in every byte; sums of at most 255 masked words keep each byte's count apart.
+ONES, MOST_SUMMED = np.uint64(0x0101010101010101), 255
+
+
+def _shingles(h: np.ndarray, para: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of three-word shingles inside paragraphs, and the places of their first words; a shorter paragraph is one shingle."""
     n = len(h)
     nxt, nxt2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    same1, same2 = np.zeros(n, bool), np.zeros(n, bool)
-    same1[:-1] = para[:-1] == para[1:]
-    same2[:-2] = para[:-2] == para[2:]
-    nxt[:-1] = h[1:]
-    nxt2[:-2] = h[2:]
-    first = np.ones(n, bool)
-    first[1:] = para[1:] != para[:-1]
-    use = same2 | first  # a paragraph of fewer than three words is one shingle
-    s = mixed(mixed(h + MIX_A) + np.where(same1, nxt, 0).astype(np.uint64) * MIX_B + np.where(same2, nxt2, 0).astype(np.uint64) * MIX_A)[use]
-    bits = np.unpackbits(np.stack([s, mixed(s + MIX_B)], axis=1).view(np.uint8), axis=1)
-    return (2 * bits.sum(axis=0, dtype=np.int64) - len(s)).astype(np.uint16)
-
-
-def vector(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """The lanes of one text."""
-    exact, like = np.zeros(EXACT, np.uint16), np.zeros(LIKENESS, np.uint16)
-    words: list[bytes] = []
-    counts: list[int] = []
-    digests: list[bytes] = []
-
-    def flush():
-        nonlocal words, counts, like
-        if words:
-            like = like + _signs(hashes.of(words), np.repeat(np.arange(len(counts)), counts))
-        words, counts = [], []
-
-    for line in (text or "").encode("utf-8", "replace").split(b"\n"):
-        digests.append(blake2b(line, digest_size=2 * EXACT).digest())
-        own = line.lower().split()
-        if own:
-            words += own
-            counts.append(len(own))
-            if len(words) > CHUNK_WORDS:
-                flush()
-    flush()
-    exact = np.frombuffer(b"".join(digests), "<u2").reshape(-1, EXACT).sum(axis=0, dtype=np.uint64).astype(np.uint16)
-    return np.concatenate([exact, like])
+    same1, same2 = para[:-1] == para[1:], para[:-2] == para[2:]
+    nxt[:-1][same1] = h[1:][same1]
+    nxt2[:-2][same2] = h[2:][same2]
+    use = np.ones(n, bool)
+    use[1:] = ~same1
+    use[:-2] |= same2
+    s = mixed((mixed(h + MIX_A) + nxt) * MIX_B + nxt2)
+    return s[use], np.flatnonzero(use)
+
+
+def _bit_sums(s: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Of words s in runs that start at cuts (each of MOST_SUMMED words at most): how often each of the 64 bits is set, by run."""
+    out = np.empty((len(cuts), 8, 8), np.uint8)
+    for k in range(8):
+        out[:, :, k] = np.add.reduceat((s >> np.uint64(k)) & ONES, cuts).view(np.uint8).reshape(-1, 8)
+    return out.reshape(-1, 64).astype(np.int64)
+
+
+def _likeness_lanes(group: list[bytes], hasher: WordHasher) -> np.ndarray:
+    """Sums of sign vectors of the shingles of each text."""
+    out = np.zeros((len(group), LIKENESS), np.int64)
+    raw = b"\n".join(group)
+    h, starts = hasher.words(raw)
+    if not len(h):
+        return out
+    breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+    s, at = _shingles(h, np.searchsorted(breaks, starts))
+    cut_at = np.searchsorted(starts[at], offsets_of(group))
+    begins, ends = cut_at[:-1], cut_at[1:]
+    full = np.flatnonzero(ends > begins)
+    runs = -(-(ends[full] - begins[full]) // MOST_SUMMED)
+    first = np.concatenate([[0], np.cumsum(runs)[:-1]])
+    cuts = np.repeat(begins[full], runs) + (np.arange(runs.sum()) - np.repeat(first, runs)) * MOST_SUMMED
+    set_bits = np.concatenate([_bit_sums(s, cuts), _bit_sums(mixed(s + MIX_B), cuts)], axis=1)
+    out[full] = 2 * np.add.reduceat(set_bits, first, axis=0) - (ends[full] - begins[full])[:, None]
+    return out
+
+
+def vectors(texts: list[str | None], hasher: WordHasher) -> np.ndarray:
+    """The lanes of each text, a row each."""
+    exact, like = np.zeros((len(texts), EXACT), np.uint16), np.zeros((len(texts), LIKENESS), np.int64)
+    for begin, group in grouped(texts):
+        like[begin : begin + len(group)] = _likeness_lanes(group, hasher)
+        for k, raw in enumerate(group, begin):
+            digests = b"".join([blake2b(line, digest_size=2 * EXACT).digest() for line in raw.split(b"\n")])
+            exact[k] = np.frombuffer(digests, "<u2").reshape(-1, EXACT).sum(axis=0, dtype=np.uint64).astype(np.uint16)
+    return np.concatenate([exact, like.astype(np.uint16)], axis=1)
 
 
 def written_out(lanes: np.ndarray) -> str:
@@ -105,10 +117,10 @@ def fingerprints(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
     """docs with a fingerprint of each text column: {text column: new column}."""
 
     def make():
-        hashes = WordHashes()
+        hasher = WordHasher()
 
         def columns_of(batch: pa.RecordBatch) -> list[pa.Array]:
-            return [pa.array([written_out(vector(t, hashes)) for t in batch.column(batch.schema.get_field_index(c)).to_pylist()], pa.string()) for c in columns]
+            return [pa.array(list(map(written_out, vectors(batch.column(batch.schema.get_field_index(c)).to_pylist(), hasher))), pa.string()) for c in columns]
 
         return columns_of
 
