@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 KINDS = ("email", "ip", "card", "phone", "term")
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -26,6 +28,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string,near:array<string>>>"
 #: Code points on either side of a span in which terms are looked for.
 REACH = 64
+#: Tables up to this number of rows are broadcast; beyond it joins shuffle.
+MOST_SENT = 1 << 18
 
 
 def _no_spans() -> Column:
@@ -83,30 +87,54 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def disclosing_terms(docs: DataFrame, text: str = "text", disclosure: float = 0.95, support: int = 3) -> DataFrame:
-    """(entity, term, n_et) of terms that disclose an entity; entity is `kind:value`."""
-    held = docs.select(base_spans(F.col(text)).alias("s")).where(F.size("s") > 0)
-    entity = F.transform("s", lambda s: F.concat(s["kind"], F.lit(":"), s["value"]))
-    n_e = held.select(F.explode(F.array_distinct(entity)).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = F.array_distinct(F.flatten(F.transform("s", lambda s: F.transform(s["near"], lambda t: F.struct(F.concat(s["kind"], F.lit(":"), s["value"]).alias("entity"), t.alias("term"))))))
-    n_et = held.select(F.explode(pairs).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    words = docs.select(F.explode(F.array_distinct(_terms(F.coalesce(text, F.lit(""))))).alias("term"))
-    n_t = words.join(n_et.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+def _holders(docs: DataFrame, text: str) -> DataFrame:
+    """(_h, _g, s): hashes of the text and the base spans, of documents that have any."""
+    keys = F.xxhash64(text).alias("_h"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("_g")
+    return written(docs.select(*keys, base_spans(F.col(text)).alias("s")).where(F.size("s") > 0), "holders")
+
+
+def _pairs() -> Column:
+    """Distinct (entity, term) of a document's spans and the terms near them; entity is `kind:value`."""
+    return F.array_distinct(F.flatten(F.transform("s", lambda s: F.transform(s["near"], lambda t: F.struct(F.concat(s["kind"], F.lit(":"), s["value"]).alias("entity"), t.alias("term"))))))
+
+
+def _sent_or_shuffled(small: DataFrame) -> DataFrame:
+    return F.broadcast(small) if small.limit(MOST_SENT + 1).count() <= MOST_SENT else small
+
+
+def disclosing_terms(docs: DataFrame, text: str = "text", disclosure: float = 0.95, support: int = 3, holders: DataFrame | None = None) -> DataFrame:
+    """(entity, term, n_et) of terms that disclose an entity.
+
+    A term stands in at least as many documents as hold it near any span. Pairs that even this count keeps under the threshold go
+    first, so that only the rest is counted over all words.
+    """
+    held = _holders(docs, text) if holders is None else holders
+    entity = F.array_distinct(F.transform("s", lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))
+    n_e = held.select(F.explode(entity).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = held.select(F.explode(_pairs()).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    n_near = held.select(F.explode(F.array_distinct(F.flatten(F.transform("s", lambda s: s["near"])))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     n = docs.agg(F.count("*").alias("n"))  # one row
-    scored = n_et.join(n_t, "term").join(n_e, "entity").join(F.broadcast(n))
-    pmi = F.log2(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    content = F.log2(F.col("n") / F.col("n_e"))
-    return scored.where((content > 0) & (pmi >= disclosure * content)).select("entity", "term", "n_et")
+
+    def discloses(n_t: str) -> Column:
+        content = F.log2(F.col("n") / F.col("n_e"))
+        return (content > 0) & (F.log2(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col(n_t))) >= disclosure * content)
+
+    open_pairs = written(pairs.join(n_near, "term").join(n_e, "entity").join(F.broadcast(n)).where(discloses("n_near")).drop("n_near"), "pairs")
+    wanted = _sent_or_shuffled(written(open_pairs.select("term").distinct(), "terms"))
+    words = docs.select(F.explode(F.array_distinct(_terms(F.coalesce(text, F.lit(""))))).alias("term"))
+    n_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    return open_pairs.join(n_t, "term").where(discloses("n_t")).select("entity", "term", "n_et")
 
 
 def find_private(docs: DataFrame, text: str = "text", disclosure: float = 0.95, support: int = 3) -> DataFrame:
     """docs with spans, an array of (kind, start, end, value), by kind as in KINDS, then start."""
     docs = docs.drop("spans")
-    found = docs.select("*", F.xxhash64(text).alias("_h"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("_g"), base_spans(F.col(text)).alias("_base"))
-    pairs = F.flatten(F.transform("_base", lambda s: F.transform(s["near"], lambda t: F.struct(F.concat(s["kind"], F.lit(":"), s["value"]).alias("entity"), t.alias("term")))))
-    candidates = found.where(F.size("_base") > 0).select("_h", "_g", F.explode(F.array_distinct(pairs)).alias("p")).select("_h", "_g", "p.entity", "p.term")
-    terms = candidates.join(disclosing_terms(docs, text, disclosure, support), ["entity", "term"], "left_semi").groupBy("_h", "_g").agg(F.sort_array(F.collect_set("term")).alias("_terms"))
-    joined = found.join(terms, ["_h", "_g"], "left")
+    holders = _holders(docs, text)
+    candidates = holders.select("_h", "_g", F.explode(_pairs()).alias("p")).select("_h", "_g", "p.entity", "p.term").distinct()
+    found = candidates.join(disclosing_terms(docs, text, disclosure, support, holders), ["entity", "term"], "left_semi")
+    terms = written(found.groupBy("_h", "_g").agg(F.sort_array(F.collect_set("term")).alias("_terms")), "term-lists")
+    keyed = docs.select("*", F.xxhash64(text).alias("_h"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("_g"), base_spans(F.col(text)).alias("_base"))
+    joined = keyed.join(_sent_or_shuffled(terms), ["_h", "_g"], "left")
     quoted = F.array_join(F.transform("_terms", lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}])"))
     term_spans = F.when(F.col("_terms").isNotNull(), _spans(F.col(text), "term", pattern)).otherwise(_no_spans())
