@@ -1,0 +1 @@
+"""Column builders and shared tables."""

@@ -1,0 +1 @@
+"""Record linkage, evaluation and validation as DataFrame plans."""

@@ -1,0 +1 @@
+"""Queries and the SQL they are held against."""

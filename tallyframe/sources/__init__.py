@@ -1,0 +1 @@
+"""Batches and run stores."""

@@ -1,0 +1 @@
+"""No streaming operators: the reference processes batches only, so there is nothing to claim here."""
