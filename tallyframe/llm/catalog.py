@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, prefix_join
 from .byte_bpe import op4_byte_bpe
 from .decontamination import op5_decontamination
 from .html_text import op6_html_extraction
@@ -20,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE}
+    return {"op1_prefix_join": prefix_join.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

@@ -12,8 +12,9 @@
 
 Hot shingles only steer the order and so the cost: the HEAD most frequent are sent to all executors, whatever their number.
 
-Defined results: null or wordless texts have no shingles and link with nothing; texts shorter than a shingle are one shingle; repeated
-rows and equal texts share a component; rows with a null id get a null component; an empty table gives no rows.
+Defined results: null or wordless texts have no shingles and link with nothing; texts shorter than a shingle are one shingle; rows that
+share an id are one document, of the least of their texts, and equal texts share a component; rows with a null id get a null component; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,27 +25,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, MIX_B, WordHashes, mixed, written
+from .common import MIX_A, WordHasher, grouped, mixed, offsets_of, sliced, written
 from .components import components
 
-HOT, HEAD, FEW, HUB_ROUNDS, BLOCK_ROWS = 32, 1 << 20, 64, 3, 256
+HOT, HEAD, FEW, HUB_ROUNDS, BLOCK_ROWS = 32, 1 << 20, 8, 3, 256
 #: Bytes of packed entries that a partition should hold.
 PART_BYTES = 8 << 20
 #: Ids up to this number are broadcast to select texts; beyond it the join shuffles.
 MOST_SENT = 1 << 21
 
 
-def shingle_set(text: str | None, hashes: WordHashes, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles: A-Z in lower case, words between ASCII white space."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = hashes.of(words)
-    n = max(1, len(h) - width + 1)
-    s = np.full(n, min(len(words), width), np.uint64)
-    for k in range(min(width, len(h))):
-        s = s * MIX_A + h[k : k + n]
-    return np.unique(mixed(s))
+def shingle_sets(texts: list[str | None], hasher: WordHasher, width: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its shingles: A-Z in lower case, words between ASCII white space."""
+    out = []
+    for _, group in grouped(texts):
+        h, starts = hasher.words(b"\n".join(group))
+        cuts = np.searchsorted(starts, offsets_of(group))
+        s = np.full(max(0, len(h) - width + 1), width, np.uint64)
+        for k in range(width if len(s) else 0):
+            s = s * MIX_A + h[k : k + len(s)]
+        s = mixed(s)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a >= width:
+                out.append(np.unique(s[a : b - width + 1]))
+            elif b > a:  # fewer words than a shingle
+                short = np.full(1, b - a, np.uint64)
+                for k in range(a, b):
+                    short = short * MIX_A + h[k]
+                out.append(mixed(short))
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def shingle_set(text: str | None, hasher: WordHasher, width: int) -> np.ndarray:
+    return shingle_sets([text], hasher, width)[0]
 
 
 def needed(n: int, percent: int) -> int:
@@ -56,14 +71,13 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n, sig (128-bit hash of the set) and low (its lowest shingles, more than a prefix)."""
 
     def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
+        hasher = WordHasher()
+        for batch in sliced(batches):
             n, sig, low = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, hashes, width)
+            for s in shingle_sets(batch.column(1).to_pylist(), hasher, width):
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()))
-                low.append(s[: needed(len(s), percent) + len(s) // 10 + 12].tobytes())
+                low.append(s[: needed(len(s), percent) + len(s) // 20 + 12].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n", "sig", "low"])
 
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, low binary")
@@ -117,40 +131,54 @@ def _group_of(prefix: np.ndarray, n: int) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(prefix.tobytes(), n & 0xFFFFFFFF)).astype(np.int64))
 
 
-PREFIXED = "doc_id long, n long, grp long, prefix binary, hot int"
+def _prefixes(batches, head: np.ndarray, parts: int, percent: int):
+    """Of batches of (doc_id, n, tokens, whole), slice by slice: lists of (doc_id, n, group, prefix, hot), the hot shingles last, hot their
+    number; hot -1 where the tokens at hand are not the whole set and don't suffice."""
+    for batch in sliced(batches):
+        out = []
+        for doc_id, n, raw, whole in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            s, p = np.frombuffer(raw, np.uint64), needed(n, percent)
+            hot = _is_hot(s, head, parts)
+            cold = s[~hot][:p]
+            if len(cold) < p and not whole and len(s) < n:
+                out.append((doc_id, n, 0, s[:0], -1))
+            else:
+                prefix = np.concatenate([cold, s[hot][: p - len(cold)]])
+                out.append((doc_id, n, _group_of(prefix, n), prefix, p - len(cold)))
+        yield out
 
 
-def _prefixes(rows: DataFrame, head: np.ndarray, parts: int, percent: int, whole: bool) -> DataFrame:
-    """Of (doc_id, n, tokens): the prefix, its hot shingles last; hot -1 where the tokens at hand (not the whole set) don't suffice."""
+def _lacking(rows: DataFrame, head: np.ndarray, parts: int, percent: int) -> DataFrame:
+    """(doc_id) of the sets whose tokens at hand don't suffice."""
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for doc_id, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                s, p = np.frombuffer(raw, np.uint64), needed(n, percent)
-                hot = _is_hot(s, head, parts)
-                cold = s[~hot][:p]
-                if len(cold) < p and not whole and len(s) < n:
-                    out.append((doc_id, n, 0, b"", -1))
-                else:
-                    prefix = np.concatenate([cold, s[hot][: p - len(cold)]])
-                    out.append((doc_id, n, _group_of(prefix, n), prefix.tobytes(), p - len(cold)))
-            columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], names=["doc_id", "n", "grp", "prefix", "hot"])
+        for found in _prefixes(batches, head, parts, percent):
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found if r[4] < 0], pa.int64())], names=["doc_id"])
+
+    return rows.mapInArrow(run, "doc_id long")
+
+
+def _groups(rows: DataFrame, head: np.ndarray, parts: int, percent: int) -> DataFrame:
+    """(doc_id, n, grp): sets of one group have the same prefix and size."""
+
+    def run(batches):
+        for found in _prefixes(batches, head, parts, percent):
+            kept = [r[:3] for r in found if r[4] >= 0]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], pa.int64()) for i in range(3)], names=["doc_id", "n", "grp"])
 
-    return rows.mapInArrow(run, PREFIXED)
+    return rows.mapInArrow(run, "doc_id long, n long, grp long")
 
 
-def _meet(prefixed: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Group pairs (kind 0: a, b) of cold shingles, and entries (kind 1: a the shingle, b the group) of crowded ones."""
+def _meet(rows: DataFrame, head: np.ndarray, parts: int, percent: int) -> DataFrame:
+    """Group pairs (kind 0: a, b) of cold shingles, and entries (kind 1: a the bucket, b the group) of crowded ones."""
 
     def deal(batches):
-        for batch in batches:
+        for batch in batches:  # as many entries at once as fit: fewer, larger pieces
             groups: dict[int, tuple] = {}
-            for n, grp, raw, hot in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if grp not in groups:
-                    prefix = np.frombuffer(raw, np.uint64)
-                    groups[grp] = (prefix[: len(prefix) - hot], n)
+            for found in _prefixes([batch], head, parts, percent):
+                for _, n, grp, prefix, hot in found:
+                    if hot >= 0 and grp not in groups:
+                        groups[grp] = (prefix[: len(prefix) - hot], n)
             if groups:
                 lengths = [len(x[0]) for x in groups.values()]
                 tokens = np.concatenate([x[0] for x in groups.values()])
@@ -175,13 +203,15 @@ def _meet(prefixed: DataFrame, parts: int, percent: int) -> DataFrame:
         tokens, owner, size = tokens[first], owner[first], size[first]
         begins = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, int)
         lengths = np.diff(np.append(begins, len(tokens)))
-        a, b, crowd = [], [], []
+        a, b, crowd = [], [], {}
         for w in np.unique(lengths):  # all buckets of one width at once
             if w < 2:
                 continue
             at = begins[lengths == w][:, None] + np.arange(w)
             if w > FEW:
-                crowd.append(at.ravel())
+                for row in at:  # buckets of the same groups are one
+                    members = owner[row]
+                    crowd.setdefault(xxhash.xxh3_64_intdigest(members.tobytes()), members)
                 continue
             i, j = np.triu_indices(w, 1)
             x, y = at[:, i].ravel(), at[:, j].ravel()
@@ -191,56 +221,91 @@ def _meet(prefixed: DataFrame, parts: int, percent: int) -> DataFrame:
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         if len(a):
             a, b = np.unique(np.stack([a, b], axis=1), axis=0).T
-        crowd = np.concatenate(crowd) if crowd else np.zeros(0, int)
-        kind = np.concatenate([np.zeros(len(a), np.int32), np.ones(len(crowd), np.int32)])
-        return pa.table([pa.array(kind, pa.int32()), pa.array(np.concatenate([a, tokens[crowd].astype(np.int64)]), pa.int64()), pa.array(np.concatenate([b, owner[crowd]]), pa.int64())], names=["kind", "a", "b"])
+        bucket = np.repeat(np.array(list(crowd), np.uint64).view(np.int64), [len(x) for x in crowd.values()]) if crowd else np.zeros(0, np.int64)
+        crowded = np.concatenate(list(crowd.values())) if crowd else np.zeros(0, np.int64)
+        kind = np.concatenate([np.zeros(len(a), np.int32), np.ones(len(crowded), np.int32)])
+        return pa.table([pa.array(kind, pa.int32()), pa.array(np.concatenate([a, bucket]), pa.int64()), pa.array(np.concatenate([b, crowded]), pa.int64())], names=["kind", "a", "b"])
 
-    return prefixed.select("n", "grp", "prefix", "hot").mapInArrow(deal, "part int, tokens binary, owner binary, size binary").groupBy("part").applyInArrow(meet, "kind int, a long, b long")
+    return rows.mapInArrow(deal, "part int, tokens binary, owner binary, size binary").groupBy("part").applyInArrow(meet, "kind int, a long, b long")
 
 
-def _hot_entries(prefixed: DataFrame) -> DataFrame:
+def _hot_entries(rows: DataFrame, head: np.ndarray, parts: int, percent: int) -> DataFrame:
     """(a the shingle, b the group) of hot shingles that stand in a prefix."""
 
     def run(batches):
-        for batch in batches:
-            tokens, owner = [], []
-            for grp, raw, hot in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                tokens.append(np.frombuffer(raw, np.uint64)[-hot:].astype(np.int64))
-                owner.append(np.full(hot, grp, np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owner))], names=["a", "b"])
+        for found in _prefixes(batches, head, parts, percent):
+            kept = [r for r in found if r[4] > 0]
+            tokens = np.concatenate([r[3][-r[4] :] for r in kept] or [np.zeros(0, np.uint64)]).astype(np.int64)
+            owner = np.repeat(np.array([r[2] for r in kept], np.int64), [r[4] for r in kept]) if kept else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owner)], names=["a", "b"])
 
-    return prefixed.where("hot > 0").select("grp", "prefix", "hot").mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of one row for each id."""
+    """The rows (doc_id, text) of the ids."""
     few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
-    picked = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return picked.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def _one_text_each(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with one row for each id: of rows that share one the least text; null ids stay."""
+    known = docs.where("doc_id is not null")
+    if not known.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return docs
+    return known.groupBy("doc_id").agg(F.min("text").alias("text")).unionByName(docs.where("doc_id is null"))
+
+
+def _could_link(na: int, ra: bytes, nb: int, rb: bytes, percent: int) -> bool:
+    """Whether sets of these sizes and lowest shingles can be similar enough: up to the lower of the last known shingles both are known in
+    full, and of the rest all that fits could be shared."""
+    x, y = np.frombuffer(ra, np.uint64), np.frombuffer(rb, np.uint64)
+    ends = [v[-1] for v, n in ((x, na), (y, nb)) if len(v) < n]
+    if ends:
+        last = min(ends)
+        x, y = x[: np.searchsorted(x, last, "right")], y[: np.searchsorted(y, last, "right")]
+    most = len(np.intersect1d(x, y, assume_unique=True)) + min(na - len(x), nb - len(y))
+    return 100 * most >= percent * (na + nb - most)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough: bounded by their lowest shingles first, then compared in full.
+
+    sketches: doc_id, n, low.
+    """
+
+    def bound(batches):
+        for batch in sliced(batches):
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
+            keep = pa.array([_could_link(na, ra, nb, rb, percent) for na, ra, nb, rb in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     def run(batches):
-        hashes = WordHashes()
+        hasher = WordHasher()
         last: tuple = (None, None)
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
-            for k, (a, x, y) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True)):
+            right = shingle_sets(batch.column(3).to_pylist(), hasher, width)
+            for k, (a, x, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), right, strict=True)):
                 if last[0] != a:
-                    last = (a, shingle_set(x, hashes, width))
-                s, t = last[1], shingle_set(y, hashes, width)
-                both = len(s) + len(t) - len(np.union1d(s, t))
+                    last = (a, shingle_set(x, hasher, width))
+                s = last[1]
+                both = len(np.intersect1d(s, t, assume_unique=True))
                 if 100 * both >= percent * (len(s) + len(t) - both):
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
+    def ids(of: DataFrame) -> DataFrame:
+        return of.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def sides(table: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(table.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns]) for k in ("a", "b"))
+
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    texts = written(_texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "texts")
-    x, y = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    x, y = sides(written(_texts_of(sketches, ids(pairs)), "sketches"), "n", "low")
+    open_pairs = written(pairs.join(y, "b").join(x, "a").select("a", "b", "n_a", "low_a", "n_b", "low_b").mapInArrow(bound, "a long, b long"), "open-pairs")
+    x, y = sides(written(_texts_of(docs, ids(open_pairs)), "texts"), "text")
+    return open_pairs.join(y, "b").join(x, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _compatible(x, y, percent: int):
@@ -248,16 +313,18 @@ def _compatible(x, y, percent: int):
 
 
 def similar_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of docs (doc_id, text): members (doc_id, n, rep), links (a, b) between representatives of equal sets, labels (node, label).
+    """Of docs (doc_id, text; ids differ): members (doc_id, n, rep), links (a, b) between representatives of equal sets, labels (node, label).
 
     The links connect every two documents that a chain of similar pairs connects; inside large buckets not every pair is listed.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     sets = written(_sets(docs, width, percent), "sets")
-    reps = written(sets.where("n > 0 and doc_id is not null").groupBy("n", "sig").agg(F.min("doc_id").alias("rep")), "reps")
+    known = sets.where("n > 0 and doc_id is not null")
+    reps = written(known.groupBy("n", "sig").agg(F.min("doc_id").alias("rep")), "reps")
     members = sets.select("doc_id", "n", "sig").join(reps, ["n", "sig"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("rep"))).otherwise(F.col("doc_id")).alias("rep"))
-    only = reps.select(F.col("rep").alias("doc_id"), "n", "sig")
-    own = written(sets.join(only, ["doc_id", "n", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"]).select("doc_id", "n", F.col("low").alias("tokens")), "low")
+    equal = written(members.where("n > 0 and doc_id <> rep").select("doc_id"), "equal")
+    few = equal.limit(MOST_SENT + 1).count() <= MOST_SENT
+    own = known.join(F.broadcast(equal) if few else equal, "doc_id", "left_anti").select("doc_id", "n", F.col("low").alias("tokens"), F.lit(False).alias("whole"))
+    sketches = known.select("doc_id", "n", F.substring("low", F.lit(1), ((F.floor(F.col("n") / 8) + 8) * 8).cast("int")).alias("low"))
     volume = own.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0]
     parts = max(64, -(-volume * 3 // 2 // PART_BYTES))
 
@@ -267,31 +334,32 @@ def similar_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[D
 
     head = head_of(_hot(own, "tokens", parts))
     if len(head):  # sets of mostly hot shingles need all their shingles, and those counted
-        short = written(_prefixes(own, head, parts, percent, False).where("hot = -1").select("doc_id"), "short")
+        short = written(_lacking(own, head, parts, percent), "short")
 
         def whole(batches):
-            hashes = WordHashes()
-            for batch in batches:
-                found = [shingle_set(t, hashes, width) for t in batch.column(1).to_pylist()]
+            hasher = WordHasher()
+            for batch in sliced(batches):
+                found = shingle_sets(batch.column(1).to_pylist(), hasher, width)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "n", "tokens"])
 
-        full = written(_texts_of(docs, short).mapInArrow(whole, "doc_id long, n long, tokens binary"), "full")
+        def in_full(ids: DataFrame) -> DataFrame:
+            return written(_texts_of(docs, ids).mapInArrow(whole, "doc_id long, n long, tokens binary").withColumn("whole", F.lit(True)), "full")
+
+        full = in_full(short)
         head = np.union1d(head, head_of(_hot(full, "tokens", parts)))
-        first = written(_prefixes(own, head, parts, percent, False), "prefixes")
-        more = first.where("hot = -1").select("doc_id").join(short, "doc_id", "left_anti")
-        again = full.unionByName(_texts_of(docs, written(more, "short")).mapInArrow(whole, "doc_id long, n long, tokens binary"))
-        prefixed = written(first.where("hot >= 0").unionByName(_prefixes(again, head, parts, percent, True).join(first.where("hot = -1").select("doc_id"), "doc_id", "left_semi")), "prefixes")
-    else:
-        prefixed = written(_prefixes(own, head, parts, percent, True), "prefixes")
-    met = written(_meet(prefixed, parts, percent), "met")
-    groups = prefixed.select("doc_id", "n", "grp")
+        lacking = written(_lacking(own, head, parts, percent), "short")
+        more = in_full(written(lacking.join(short, "doc_id", "left_anti"), "short"))
+        own = own.unionByName(full.unionByName(more).join(lacking, "doc_id", "left_semi"))
+    met = written(_meet(own, head, parts, percent), "met")
+    groups = written(_groups(own, head, parts, percent), "groups")
+    hot_entries = _hot_entries(own, head, parts, percent)
     sized = groups.groupBy("grp").agg(F.count("*").alias("m"), F.min("doc_id").alias("one"))
     alone = sized.select("grp", F.when(F.col("m") == 1, F.col("one")).alias("one"))
     pairs = met.where("kind = 0").select("a", "b").distinct()
     pairs = written(pairs.join(alone.select(F.col("grp").alias("a"), F.col("one").alias("x")), "a").join(alone.select(F.col("grp").alias("b"), F.col("one").alias("y")), "b"), "group-pairs")
     direct = pairs.where("x is not null and y is not null").select(F.col("x").alias("a"), F.col("y").alias("b"))
     crossed = pairs.where("x is null or y is null").select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array("a", "b")).alias("grp"))
-    crowded = met.where("kind = 1").select("a", "b").unionByName(_hot_entries(prefixed)).distinct().select(F.col("a").alias("bucket"), F.col("b").alias("grp"))
+    crowded = met.where("kind = 1").select("a", "b").unionByName(hot_entries).distinct().select(F.col("a").alias("bucket"), F.col("b").alias("grp"))
     several = sized.where("m > 1").select(F.col("grp").alias("bucket"), "grp")
     step = float(np.log(100 / percent))
     scale = F.floor(F.log("n") / step + F.lit(1e-9)).cast("int")
@@ -312,7 +380,7 @@ def similar_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[D
             found = found.unionByName(direct) if turn == 0 else found
         else:
             found = _in_blocks(at, split, percent)
-        new = written(_verified(found, docs, width, percent), "verified")
+        new = written(_verified(found, docs, sketches, width, percent), "verified")
         links = new if links is None else links.unionByName(new)
         labels = components(links)
     return members, links, labels
@@ -330,10 +398,27 @@ def _in_blocks(at: DataFrame, split: DataFrame, percent: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
-    members, _, labels = similar_links(docs, width, percent)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    one = _one_text_each(docs)
+    members, _, labels = similar_links(one, width, percent)
     found = members.join(labels, members["rep"] == labels["node"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
+    found = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
+    if one is docs:
+        return found
+    return docs.where("doc_id is not null").select("doc_id").join(found, "doc_id").unionByName(found.where("doc_id is null"))
 
 
 def op1_prefix_join(spark, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[u.i:u.i + 3], ' ') AS shingle FROM w, unnest(range(1, greatest(1, len(words) - 3) + 1)) AS u(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+side AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, side.b FROM reach r JOIN side ON r.other = side.a)
+SELECT r.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.other) AS component_id FROM reach r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id
+"""
