@@ -17,7 +17,7 @@ from tallyframe.llm.line_dedup import dedup_lines
 from tallyframe.llm.prefix_join import MOST_SENT, near_groups
 
 #: A document goes when no language makes up this share of it.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.4
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
