@@ -1,8 +1,8 @@
 """License scans: MinHash bands over overlapping text windows (built-in functions only).
 
 Texts become lower-case words of letters and digits. For each width of templates (in words) a text is cut into
-overlapping windows of that many words, each an eighth of a window after the last, so some window lies within a sixteenth of its width of any
-template occurrence. A window's five-word shingles give HASHES minimum hashes in BANDS bands of ROWS; windows that share a
+overlapping windows of that many words, each a quarter of a window after the last, so some window lies within an eighth of its width of any
+template occurrence. A window's five-word shingles (as 64-bit hashes, each made once a text) give minimum hashes in BANDS bands of ROWS; windows that share a
 band with a template of their width retrieve it. At Jaccard similarity 0.7 a band collides with probability 1 - (1 - 0.7**ROWS)**BANDS,
 above 0.99; a window that equals the template always collides. Retrieved templates are verified: the share of the template's
 shingles found in the window with half a window of margin on both sides must reach `containment`.
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 SHINGLE, BANDS, ROWS = 5, 10, 2
 #: Public license notices.
 TEMPLATES = {
@@ -54,64 +56,73 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def shingles(words: Column) -> Column:
-    """Distinct shingles, as text; fewer words than SHINGLE make one."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - SHINGLE + 1))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))))
+def shingle_hashes(words: Column) -> Column:
+    """The hash of the shingle that starts at each word; fewer words than SHINGLE have none."""
+    starts = F.sequence(F.lit(1), F.size(words) - SHINGLE + 1)
+    return F.when(F.size(words) < SHINGLE, F.array().cast("array<bigint>")).otherwise(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " "))))
 
 
-def bands(words: Column) -> Column:
-    """A hash for each band, the band's number in it."""
-    hashed = F.transform(shingles(words), lambda s: F.xxhash64(s))
+def seeded(hashes: Column) -> Column:
+    """For each of the BANDS * ROWS hash functions its values of all shingles."""
+    return F.array(*[F.transform(hashes, _with_seed(k)) for k in range(BANDS * ROWS)])
 
-    def band(b: int) -> Column:
-        lows = [F.array_min(F.transform(hashed, _seeded(b * ROWS + r))) for r in range(ROWS)]
-        return F.xxhash64(F.lit(b), *lows)
 
-    return F.array(*[band(b) for b in range(BANDS)])
+def _with_seed(seed: int):
+    return lambda h: F.xxhash64(h, F.lit(seed))
 
 
-def _seeded(seed: int):
-    return lambda h: F.xxhash64(h, F.lit(seed))
+def bands(values: Column, start: Column, length: Column) -> Column:
+    """A hash for each band of the minima over a stretch of shingles, the band's number in it."""
+
+    def least(k: int) -> Column:
+        return F.array_min(F.slice(F.get(values, F.lit(k)), start, length))
+
+    return F.array(*[F.xxhash64(F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
 
 
-def load_templates(spark: SparkSession, templates: dict[str, list[str]] | None = None, containment: float = 0.8) -> tuple[DataFrame, list[int]]:
-    """(license, width, own_shingles, band) rows of all templates, and the widths."""
+def load_templates(spark: SparkSession, templates: dict[str, list[str]] | None = None, containment: float = 0.8) -> list[dict]:
+    """license, width in words, own (distinct shingle hashes) and bands of each template: a fixed list, so it comes to the driver."""
     rows = [(name, text) for name, texts in (templates or TEMPLATES).items() for text in texts]
     words = spark.createDataFrame(rows, "license string, template string").select("license", words_of(F.col("template")).alias("w"))
-    sized = words.select("license", "w", F.size("w").alias("width"), shingles(F.col("w")).alias("own_shingles"))
-    checked = sized.select("*", (F.size(F.filter("own_shingles", lambda s: ~s.rlike(rf"\b({ANCHORS})\b"))) / F.size("own_shingles")).alias("bare")).collect()  # the fixed list
-    if bad := [r["license"] for r in checked if r["bare"] >= containment]:
-        raise ValueError(f"templates without anchor words: {bad}")
-    out = sized.select("license", "width", "own_shingles", F.explode(bands(F.col("w"))).alias("band"))
-    return out, sorted({r["width"] for r in checked})
+    hashed = words.select("license", "w", shingle_hashes(F.col("w")).alias("h")).withColumn("m", seeded(F.col("h")))
+    out = hashed.select("license", "w", F.array_distinct("h").alias("own"), bands(F.col("m"), F.lit(1), F.size("h")).alias("bands")).collect()
+    anchors, found = set(ANCHORS.split("|")), []
+    for r in out:
+        each = [r["w"][i : i + SHINGLE] for i in range(len(r["w"]) - SHINGLE + 1)]
+        if not each or sum(not anchors & set(x) for x in each) >= containment * len(set(map(tuple, each))):
+            raise ValueError(f"template without enough anchor words: {' '.join(r['w'])}")
+        found.append({"license": r["license"], "width": len(r["w"]), "own": r["own"], "bands": r["bands"]})
+    return found
 
 
 def scan(docs: DataFrame, text: str = "text", containment: float = 0.8, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """A row for each row of docs and license found in it: docs' columns, license, containment."""
-    known, widths = load_templates(docs.sparkSession, templates, containment)
+    """A row for each row of docs, license found in it and window that shows it: docs' columns, license, containment."""
+    known = load_templates(docs.sparkSession, templates, containment)
     docs = docs.drop("license", "containment")
-    near = docs.where(F.lower(text).rlike(rf"({ANCHORS})")).select(*docs.columns, words_of(F.col(text)).alias("_w"))
-    anchored = F.transform("_w", lambda w: w.rlike(rf"^({ANCHORS})$"))
-    places = near.select("*", F.filter(F.transform(anchored, lambda a, i: F.when(a, i + 1)), lambda i: i.isNotNull()).alias("_at"))
-    every = []
-    for width in widths:
-        stride = max(1, width // 8)
-        before = -(-width // stride)  # windows that start at most a width before an anchor
-        starts = F.flatten(F.transform("_at", _starts_near(stride, before)))
-        windows = places.select(*docs.columns, "_w", F.explode(F.array_distinct(F.filter(starts, lambda s: s >= 0))).alias("_s"))
-        every.append(windows.select(*docs.columns, F.lit(width).alias("_width"), F.slice("_w", F.col("_s") + 1, width).alias("_window"), F.slice("_w", F.greatest(F.lit(1), F.col("_s") + 1 - width // 2), 2 * width).alias("_region")))
-    found = every[0]
-    for x in every[1:]:
-        found = found.unionByName(x)
-    met = found.select(*docs.columns, "_width", "_region", F.explode(F.array_distinct(bands(F.col("_window")))).alias("band"))
-    met = met.join(F.broadcast(known.select("license", F.col("width").alias("_width"), "own_shingles", "band")), ["_width", "band"])
-    share = F.size(F.array_intersect("own_shingles", shingles(F.col("_region")))) / F.size("own_shingles")
-    return met.select(*docs.columns, "license", share.alias("containment")).where(F.col("containment") >= containment)
-
-
-def _starts_near(stride: int, before: int):
-    return lambda i: F.transform(F.sequence(F.lit(0), F.lit(before)), lambda k: (F.floor((i - 1) / stride).cast("int") - k) * stride)
+    # written, as an expression that a lambda reads would be evaluated anew for each element once the optimiser moves it there
+    anchored = written(docs.where(F.lower(text).rlike(rf"({ANCHORS})")).select(*docs.columns, words_of(F.col(text)).alias("_w")), "anchored")
+    is_anchor = F.transform("_w", lambda w: w.rlike(rf"^({ANCHORS})$"))
+    places = F.filter(F.transform(is_anchor, lambda a, i: F.when(a, i)), lambda i: i.isNotNull())
+    hashed = written(anchored.select(*docs.columns, shingle_hashes(F.col("_w")).alias("_h"), places.alias("_at")), "shingles").withColumn("_m", seeded(F.col("_h")))
+
+    def windows(width: int) -> Column:
+        """Structs (width, start) of the windows of a width that hold an anchor, a quarter window apart."""
+        stride = max(1, width // 4)
+        back = F.sequence(F.lit(0), F.lit(-(-width // stride)))
+        starts = F.flatten(F.transform("_at", lambda i: F.transform(back, lambda k: (F.floor(i / stride).cast("int") - k) * stride)))
+        starts = F.filter(F.array_distinct(starts), lambda x: (x >= 0) & (x < F.size("_h")))
+        return F.transform(starts, lambda x: F.struct(F.lit(width).alias("width"), x.alias("start")))
+
+    every = F.concat(*[windows(w) for w in sorted({t["width"] for t in known})])
+    banded = F.transform(every, lambda x: F.struct(x["width"].alias("width"), x["start"].alias("start"), bands(F.col("_m"), x["start"] + 1, x["width"] - SHINGLE + 1).alias("bands")))
+    template_bands = F.array(*[F.lit(b) for b in sorted({b for t in known for b in t["bands"]})])
+    met = hashed.select(*docs.columns, "_h", F.explode(F.filter(banded, lambda x: F.arrays_overlap(x["bands"], template_bands))).alias("_x"))
+    half = F.floor(F.col("_x.width") / 2).cast("int")
+    region = F.slice("_h", F.greatest(F.lit(1), F.col("_x.start") + 1 - half), F.col("_x.width") * 2)
+    rows = met.select(*docs.columns, F.col("_x.width").alias("_width"), region.alias("_region"), F.explode("_x.bands").alias("_band"))
+    table = docs.sparkSession.createDataFrame([(t["license"], t["width"], t["own"], b) for t in known for b in t["bands"]], "license string, _width int, _own array<bigint>, _band bigint")
+    share = F.size(F.array_intersect("_own", "_region")) / F.size("_own")
+    return rows.join(F.broadcast(table), ["_width", "_band"]).select(*docs.columns, "license", share.alias("containment")).where(F.col("containment") >= containment)
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
