@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -60,21 +59,6 @@ def _byte_values() -> np.ndarray:
     return mixed(np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.uint64) * MIX_A + MIX_B) | np.uint64(1)
 
 
-class WordHashes:
-    """64-bit hashes of byte words, remembered up to a fixed number of words."""
-
-    def __init__(self, most: int = 200_000):
-        self.most, self.known = most, {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known.clear()
-        for w in words:
-            if w not in self.known:
-                self.known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array([self.known[w] for w in words], np.uint64)
-
-
 class WordHasher:
     """64-bit hashes of all words of a byte string at once: differences of prefix sums of byte values times powers of an odd base, divided
     by the power at the word's start (odd numbers have inverses modulo 2**64), then mixed with the word's length."""

@@ -16,6 +16,7 @@ In `with_next`, ties of doc_id follow the text's order, null ids come last, and
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from hashlib import blake2b
 
 import numpy as np
@@ -148,8 +149,8 @@ def likenesses(docs: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     return append_columns(docs, make, [T.StructField(c, T.DoubleType()) for c in pairs])
 
 
-def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id") -> DataFrame:
-    """docs with next_<column> of the next row in descending doc_id, circularly.
+def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """docs with next_<column> of the next row in descending doc_id, circularly; prepare may first add columns to the rows.
 
     The id range is cut into equal blocks; the first row of each block is also sent to the nearest block above it (the very first to the
     lowest block), so that every row finds its next within its own block after one shuffle.
@@ -165,13 +166,14 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id") -> Da
     rows = docs.select("*", block.alias("_b"), F.lit(0).alias("_peek"))
     peeks = docs.join(F.broadcast(heads), F.col(doc_id).eqNullSafe(F.col("_head"))).select(*docs.columns, F.col("_to").alias("_b"), F.lit(1).alias("_peek"))
     w = Window.partitionBy("_b").orderBy("_peek", F.col(doc_id).desc_nulls_last(), *columns)
-    out = rows.unionByName(peeks).select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    every = rows.unionByName(peeks)
+    out = (prepare(every) if prepare else every).select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     return out.where("_peek = 0").drop("_b", "_peek")
 
 
 def op9_fingerprint(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = with_next(fingerprints(docs, {"text": "fingerprint"}), ["text", "fingerprint"])
+    own = with_next(docs, ["text", "fingerprint"], prepare=lambda rows: fingerprints(rows, {"text": "fingerprint"}))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = own.withColumn("edited", F.concat(F.substring("text", 1, n - half), F.substring("next_text", 1, half))).drop("next_text")
