@@ -122,6 +122,7 @@ class Index:
 
     def _advance(self, c: list, target: int, end: int) -> None:
         blocks = self.postings[c[3]]
+        c[0] = blocks[c[1]][0][c[2]]  # a shallow move to another block left the old segment
         while c[0] < target:
             segments = blocks[c[1]][0]
             if segments[-1] < target:

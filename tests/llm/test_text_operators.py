@@ -155,3 +155,23 @@ def test_wand_equals_exhaustive(spark):
                 for k, x in zip(segments, impacts, strict=True):
                     scores[k] += x
         assert {k for k, _ in index.search(terms)} == {k for k, x in scores.items() if x >= 0.2 - 1e-9}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_wand_moves_between_blocks(size, monkeypatch):
+    import random
+
+    monkeypatch.setattr(decontamination, "POSTING_BLOCK", size)
+    draw = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(12)]
+    index = decontamination.Index([(i, " ".join(draw.choice(vocabulary) for _ in range(draw.randrange(2, 90)))) for i in range(120)], 0.2)
+    for _ in range(60):
+        words = [draw.choice(vocabulary).encode() for _ in range(draw.choice([6, 20, 128]))]
+        terms = {t for t in index.terms(words) if t in index.most}
+        scores = Counter()
+        for t in terms:
+            for segments, impacts, _ in index.postings[t]:
+                for k, x in zip(segments, impacts, strict=True):
+                    scores[k] += x
+        got = dict(index.search(terms))
+        assert got == pytest.approx({k: x for k, x in scores.items() if x >= 0.2 - 1e-9})
