@@ -1,8 +1,8 @@
 """License scans: MinHash bands over overlapping text windows (built-in functions only).
 
 Texts become lower-case words of letters and digits. For each width of templates (in words) a text is cut into
-overlapping windows of that many words, each a quarter of a window after the last, so some window lies within an eighth of its width of any
-template occurrence. A window's five-word shingles (as 64-bit hashes, each made once a text) give minimum hashes in BANDS bands of ROWS; windows that share a
+overlapping windows of that many words, each an eighth of a window after the last (one word for widths below 16), so some window lies within
+a sixteenth of its width of any template occurrence. A window's five-word shingles (as 64-bit hashes, each made once a text) give minimum hashes in BANDS bands of ROWS; windows that share a
 band with a template of their width retrieve it. At Jaccard similarity 0.7 a band collides with probability 1 - (1 - 0.7**ROWS)**BANDS,
 above 0.99; a window that equals the template always collides. Retrieved templates are verified: the share of the template's
 shingles found in the window with half a window of margin on both sides must reach `containment`.
@@ -106,8 +106,8 @@ def scan(docs: DataFrame, text: str = "text", containment: float = 0.8, template
     hashed = written(anchored.select(*docs.columns, shingle_hashes(F.col("_w")).alias("_h"), places.alias("_at")), "shingles").withColumn("_m", seeded(F.col("_h")))
 
     def windows(width: int) -> Column:
-        """Structs (width, start) of the windows of a width that hold an anchor, a quarter window apart."""
-        stride = max(1, width // 4)
+        """Structs (width, start) of the windows of a width that hold an anchor, an eighth of a window apart."""
+        stride = max(1, width // 8)
         back = F.sequence(F.lit(0), F.lit(-(-width // stride)))
         starts = F.flatten(F.transform("_at", lambda i: F.transform(back, lambda k: (F.floor(i / stride).cast("int") - k) * stride)))
         starts = F.filter(F.array_distinct(starts), lambda x: (x >= 0) & (x < F.size("_h")))

@@ -210,6 +210,14 @@ def test_licences(spark):
         licences.load_templates(spark, {"X": ["nothing of the sort stands in this one at all"]})
 
 
+def test_licence_between_windows(spark):
+    words = re.sub("[^a-z0-9]+", " ", licences.TEMPLATES["MIT"][3].lower()).split()
+    words[24:32] = [f"x1{j}" for j in range(24, 32)]  # 0.81 of the shingles are left
+    rows = [(i, " ".join([f"p{k}" for k in range(i)] + words + [f"q{k}" for k in range(67)])) for i in range(17)]
+    got = licences.scan(spark.createDataFrame(rows, DOC)).select("doc_id", "license").distinct().collect()
+    assert Counter(map(tuple, got)) == Counter((i, "MIT") for i in range(17))
+
+
 PAGE = '<html><head><title>T</title></head><body><nav><a href="/x">Menu</a></nav><div class="ad">Buy now</div><article><h1>Head &amp; more</h1><p><b>One<br>two<p>three   four</p><div class="comments"><p>nice</p></div><form>Send</form><script>if (a<b) "</p>"</script></article><footer>End</footer>'
 
 
