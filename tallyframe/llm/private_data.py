@@ -1,7 +1,7 @@
 """Personal data: base patterns and information-theoretic sanitisation (built-in functions only).
 
-Base spans come from four patterns (email, ip, card, phone). A term near a base span is a candidate to disclose the span's value, the
-protected entity. Over the whole corpus, with document frequencies n_e, n_t and n_et, the term discloses the entity when its pointwise
+Base spans come from four patterns (email, ip, card, phone). Every term that stands in a document outside the spans of a kind is a candidate
+to disclose the values of these spans, the protected entities. Over the whole corpus, with document frequencies n_e, n_t and n_et, the term discloses the entity when its pointwise
 mutual information reaches the share `disclosure` of the entity's information content, log2(N n_et / (n_e n_t)) >= disclosure log2(N / n_e),
 and when at least `support` documents hold both. Such terms become spans of kind `term` in the documents that hold the entity.
 `sanitised` writes each span as its kind in brackets.
@@ -25,9 +25,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string,near:array<string>>>"
-#: Code points on either side of a span in which terms are looked for.
-REACH = 64
+SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 #: Tables up to this number of rows are broadcast; beyond it joins shuffle.
 MOST_SENT = 1 << 18
 
@@ -54,13 +52,7 @@ def _spans(text: Column, kind: str, pattern: Column) -> Column:
     steps = F.sequence(F.lit(0), F.size(found) - 1)
 
     def finish(acc: Column) -> Column:
-        def near(i: Column) -> Column:
-            left, right = F.get(acc["between"], i), F.get(acc["between"], i + 1)
-            left = F.when(F.char_length(left) > REACH, F.regexp_replace(F.right(left, F.lit(REACH)), r"^\S*", "")).otherwise(left)
-            right = F.when(F.char_length(right) > REACH, F.regexp_replace(F.left(right, F.lit(REACH)), r"\S*$", "")).otherwise(right)
-            return F.array_distinct(F.concat(_terms(left), _terms(right)))
-
-        return F.transform(acc["out"], lambda s, i: F.struct(F.lit(kind).alias("kind"), s["start"].cast("long").alias("start"), (s["start"] + F.char_length(s["value"])).cast("long").alias("end"), s["value"].alias("value"), near(i).alias("near")))
+        return F.transform(acc["out"], lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].cast("long").alias("start"), (s["start"] + F.char_length(s["value"])).cast("long").alias("end"), s["value"].alias("value")))
 
     return F.when(F.size(found) > 0, F.aggregate(steps, first, step, finish)).otherwise(_no_spans())
 
@@ -88,14 +80,23 @@ def base_spans(text: Column) -> Column:
 
 
 def _holders(docs: DataFrame, text: str) -> DataFrame:
-    """(_h, _g, s): hashes of the text and the base spans, of documents that have any."""
+    """(_h, _g, s, a, o): hashes of the text, the base spans, all terms and those outside e-mail addresses, of documents that have any spans."""
     keys = F.xxhash64(text).alias("_h"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("_g")
-    return written(docs.select(*keys, base_spans(F.col(text)).alias("s")).where(F.size("s") > 0), "holders")
+    held = docs.select(*keys, F.col(text).alias("_t"), base_spans(F.col(text)).alias("s")).where(F.size("s") > 0)
+    outside = F.regexp_replace("_t", EMAIL, " ")
+    return written(held.select("_h", "_g", "s", F.array_distinct(_terms(F.col("_t"))).alias("a"), F.array_distinct(_terms(outside)).alias("o")), "holders")
+
+
+def _entities(kinds) -> Column:
+    """Distinct `kind:value` of a document's spans of which the condition holds."""
+    return F.array_distinct(F.transform(F.filter("s", kinds), lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))
 
 
-def _pairs() -> Column:
-    """Distinct (entity, term) of a document's spans and the terms near them; entity is `kind:value`."""
-    return F.array_distinct(F.flatten(F.transform("s", lambda s: F.transform(s["near"], lambda t: F.struct(F.concat(s["kind"], F.lit(":"), s["value"]).alias("entity"), t.alias("term"))))))
+def _pairs(held: DataFrame) -> DataFrame:
+    """(_h, _g, entity, term), for each row of held its distinct pairs; only e-mail addresses hold letters, so other kinds meet all terms."""
+    mail = held.select("_h", "_g", F.explode(_entities(lambda s: s["kind"] == "email")).alias("entity"), "o").select("_h", "_g", "entity", F.explode("o").alias("term"))
+    others = held.select("_h", "_g", F.explode(_entities(lambda s: s["kind"] != "email")).alias("entity"), "a").select("_h", "_g", "entity", F.explode("a").alias("term"))
+    return mail.unionAll(others)
 
 
 def _sent_or_shuffled(small: DataFrame) -> DataFrame:
@@ -105,21 +106,20 @@ def _sent_or_shuffled(small: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, text: str = "text", disclosure: float = 0.95, support: int = 3, holders: DataFrame | None = None) -> DataFrame:
     """(entity, term, n_et) of terms that disclose an entity.
 
-    A term stands in at least as many documents as hold it near any span. Pairs that even this count keeps under the threshold go
+    A term stands in at least as many documents as hold both it and any span. Pairs that even this count keeps under the threshold go
     first, so that only the rest is counted over all words.
     """
     held = _holders(docs, text) if holders is None else holders
-    entity = F.array_distinct(F.transform("s", lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))
-    n_e = held.select(F.explode(entity).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = held.select(F.explode(_pairs()).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    n_near = held.select(F.explode(F.array_distinct(F.flatten(F.transform("s", lambda s: s["near"])))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    n_e = held.select(F.explode(_entities(lambda s: F.lit(True))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = _pairs(held).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    n_holders = held.select(F.explode("a").alias("term")).groupBy("term").agg(F.count("*").alias("n_holders"))
     n = docs.agg(F.count("*").alias("n"))  # one row
 
     def discloses(n_t: str) -> Column:
         content = F.log2(F.col("n") / F.col("n_e"))
         return (content > 0) & (F.log2(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col(n_t))) >= disclosure * content)
 
-    open_pairs = written(pairs.join(n_near, "term").join(n_e, "entity").join(F.broadcast(n)).where(discloses("n_near")).drop("n_near"), "pairs")
+    open_pairs = written(pairs.join(n_holders, "term").join(n_e, "entity").join(F.broadcast(n)).where(discloses("n_holders")).drop("n_holders"), "pairs")
     wanted = _sent_or_shuffled(written(open_pairs.select("term").distinct(), "terms"))
     words = docs.select(F.explode(F.array_distinct(_terms(F.coalesce(text, F.lit(""))))).alias("term"))
     n_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
@@ -130,8 +130,7 @@ def find_private(docs: DataFrame, text: str = "text", disclosure: float = 0.95,
     """docs with spans, an array of (kind, start, end, value), by kind as in KINDS, then start."""
     docs = docs.drop("spans")
     holders = _holders(docs, text)
-    candidates = holders.select("_h", "_g", F.explode(_pairs()).alias("p")).select("_h", "_g", "p.entity", "p.term").distinct()
-    found = candidates.join(disclosing_terms(docs, text, disclosure, support, holders), ["entity", "term"], "left_semi")
+    found = _pairs(holders).join(disclosing_terms(docs, text, disclosure, support, holders), ["entity", "term"], "left_semi")
     terms = written(found.groupBy("_h", "_g").agg(F.sort_array(F.collect_set("term")).alias("_terms")), "term-lists")
     keyed = docs.select("*", F.xxhash64(text).alias("_h"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("_g"), base_spans(F.col(text)).alias("_base"))
     joined = keyed.join(_sent_or_shuffled(terms), ["_h", "_g"], "left")

@@ -191,6 +191,15 @@ def test_disclosing_terms(spark):
     assert private_data.find_private(docs.limit(0)).count() == 0
 
 
+def test_disclosing_terms_far_from_spans(spark):
+    far = " ".join(["and so on"] * 40)
+    rows = [(i, f"Zebulon said {far} zeb@mail.example") for i in range(4)] + [(10 + i, f"Quux said {far} that nobody called") for i in range(40)]
+    docs = spark.createDataFrame(rows, DOC)
+    assert {tuple(r) for r in private_data.disclosing_terms(docs).collect()} == {("email:zeb@mail.example", "Zebulon", 4)}
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in private_data.find_private(docs).collect()}
+    assert got[0] == ["email", "term"] and got[10] == []
+
+
 def test_private_query(spark, tmp_path):
     spark.createDataFrame([(1, "é a@b.c 1.2.3.4"), (2, None)], DOC).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in private_data.op10_private_data(spark, str(tmp_path)).collect()}
