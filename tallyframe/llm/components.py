@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def components(links: DataFrame, known: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
-    """(node, label) of all nodes of links (a, b); label is the least node that can be reached. known: earlier labels to start from."""
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, label) of all nodes of links (a, b); label is the least node that can be reached."""
     both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u <> v").distinct(), "links")
     labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("label")), "labels")
-    if known is not None:
-        labels = written(labels.unionByName(known).groupBy("node").agg(F.min("label").alias("label")), "labels")
     for _ in range(most_rounds):
         seen = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
         # the label's own node hears of the smaller label too, so that whole trees hook at once
@@ -32,3 +30,13 @@ def components(links: DataFrame, known: DataFrame | None = None, most_rounds: in
         if not changed:
             return labels
     raise RuntimeError("components did not settle")
+
+
+def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after further links: these connect labels, so only as many nodes as they touch are looked at again."""
+    one, other = (labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}")) for k in ("a", "b"))
+    between = links.join(one, "a", "left").join(other, "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    tops = components(between).select(F.col("node").alias("old"), F.col("label").alias("top"))
+    moved = labels.join(tops, labels["label"] == tops["old"], "left").select("node", F.coalesce("top", "label").alias("label"))
+    fresh = tops.join(labels, tops["old"] == labels["node"], "left_anti").select(F.col("old").alias("node"), F.col("top").alias("label"))
+    return written(moved.unionByName(fresh), "labels")

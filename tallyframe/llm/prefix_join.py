@@ -6,9 +6,13 @@
 3. Sets with the same prefix and size are one group. Groups meet in the bucket of each prefix shingle, dealt to partitions as packed arrays
    by the shingle's leading bits; group pairs whose sizes can't reach t are dropped; the rest is expanded to members and verified
    on the exact sets.
-4. Buckets of hot shingles, groups of several members and pairs of such groups can be of any size, so they are not expanded to pairs. In
-   each such bucket all members are verified against a hub; members that are connected already need no further comparison, and the rest
-   meets another hub. What is left after HUB_ROUNDS is compared in full, in blocks. So no link between components is lost.
+4. Buckets of hot shingles, groups of several members and pairs of such groups can be of any size, so they are not expanded to pairs. Rounds of
+   hubs join their members: a bucket's hub is a member of its largest component, and a document meets one hub a round, the one that it shares
+   most buckets with. Verified links contract components; a bucket that holds one component is done. So a round compares at most as many
+   pairs as there are documents, and later rounds only those that stand apart.
+5. Buckets that hubs don't settle are split: two similar sets that share a prefix shingle share another one in prefixes longer by one, and two
+   of one group share one among the shingles that follow the prefix. After further rounds on the parts, members of different components
+   that still meet in one part are compared in full, in blocks. So no link between components is lost.
 
 Hot shingles only steer the order and so the cost: the HEAD most frequent are sent to all executors, whatever their number.
 
@@ -19,6 +23,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,9 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import MIX_A, WordHasher, grouped, mixed, offsets_of, sliced, written
-from .components import components
+from .components import components, contracted
 
-HOT, HEAD, FEW, HUB_ROUNDS, BLOCK_ROWS = 32, 1 << 20, 8, 3, 256
+HOT, HEAD, FEW, HUB_ROUNDS, BLOCK_ROWS = 32, 1 << 20, 8, 6, 256
+#: Kinds of buckets: pairs of groups, shingles, groups.
+CROSSED, TOKEN, GROUP = 0, 1, 2
+#: Hubs' texts up to this number of bytes are broadcast.
+MOST_TEXT = 32 << 20
 #: Bytes of packed entries that a partition should hold.
 PART_BYTES = 8 << 20
 #: Ids up to this number are broadcast to select texts; beyond it the join shuffles.
@@ -170,7 +180,7 @@ def _groups(rows: DataFrame, head: np.ndarray, parts: int, percent: int) -> Data
 
 
 def _meet(rows: DataFrame, head: np.ndarray, parts: int, percent: int) -> DataFrame:
-    """Group pairs (kind 0: a, b) of cold shingles, and entries (kind 1: a the bucket, b the group) of crowded ones."""
+    """Group pairs (kind 0: a, b) of cold shingles, and entries (kind 1: a the shingle, b the group) of crowded ones."""
 
     def deal(batches):
         for batch in batches:  # as many entries at once as fit: fewer, larger pieces
@@ -209,9 +219,9 @@ def _meet(rows: DataFrame, head: np.ndarray, parts: int, percent: int) -> DataFr
                 continue
             at = begins[lengths == w][:, None] + np.arange(w)
             if w > FEW:
-                for row in at:  # buckets of the same groups are one
+                for row in at:  # buckets of the same groups are one, under the first of their shingles
                     members = owner[row]
-                    crowd.setdefault(xxhash.xxh3_64_intdigest(members.tobytes()), members)
+                    crowd.setdefault(members.tobytes(), (tokens[row[0]], members))
                 continue
             i, j = np.triu_indices(w, 1)
             x, y = at[:, i].ravel(), at[:, j].ravel()
@@ -221,8 +231,8 @@ def _meet(rows: DataFrame, head: np.ndarray, parts: int, percent: int) -> DataFr
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         if len(a):
             a, b = np.unique(np.stack([a, b], axis=1), axis=0).T
-        bucket = np.repeat(np.array(list(crowd), np.uint64).view(np.int64), [len(x) for x in crowd.values()]) if crowd else np.zeros(0, np.int64)
-        crowded = np.concatenate(list(crowd.values())) if crowd else np.zeros(0, np.int64)
+        bucket = np.repeat(np.array([x[0] for x in crowd.values()], np.uint64).view(np.int64), [len(x[1]) for x in crowd.values()]) if crowd else np.zeros(0, np.int64)
+        crowded = np.concatenate([x[1] for x in crowd.values()]) if crowd else np.zeros(0, np.int64)
         kind = np.concatenate([np.zeros(len(a), np.int32), np.ones(len(crowded), np.int32)])
         return pa.table([pa.array(kind, pa.int32()), pa.array(np.concatenate([a, bucket]), pa.int64()), pa.array(np.concatenate([b, crowded]), pa.int64())], names=["kind", "a", "b"])
 
@@ -268,8 +278,14 @@ def _could_link(na: int, ra: bytes, nb: int, rb: bytes, percent: int) -> bool:
     return 100 * most >= percent * (na + nb - most)
 
 
+def _sent_or_shuffled(rows: DataFrame, column: str) -> DataFrame:
+    """rows, marked for broadcast if a binary or text column holds MOST_TEXT bytes at most and there are MOST_SENT rows at most."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
+    return F.broadcast(rows) if n <= MOST_SENT and size + 16 * n <= MOST_TEXT else rows
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: bounded by their lowest shingles first, then compared in full.
+    """The pairs (a, b) whose sets are similar enough: bounded by their lowest shingles first, then compared in full. Many pairs may share an a.
 
     sketches: doc_id, n, low.
     """
@@ -282,30 +298,32 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int
 
     def run(batches):
         hasher = WordHasher()
-        last: tuple = (None, None)
+        known: dict[int, np.ndarray] = {}
         for batch in sliced(batches):
             keep = []
             right = shingle_sets(batch.column(3).to_pylist(), hasher, width)
             for k, (a, x, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), right, strict=True)):
-                if last[0] != a:
-                    last = (a, shingle_set(x, hasher, width))
-                s = last[1]
+                if a not in known:
+                    if len(known) >= 32:
+                        known.clear()
+                    known[a] = shingle_set(x, hasher, width)
+                s = known[a]
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 if 100 * both >= percent * (len(s) + len(t) - both):
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    def ids(of: DataFrame) -> DataFrame:
-        return of.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
-    def sides(table: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
-        return tuple(table.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns]) for k in ("a", "b"))
+    def side(table: DataFrame, of: DataFrame, k: str, *columns: str) -> DataFrame:
+        """The rows of table that stand at one end of pairs, under that end's names."""
+        rows = written(_texts_of(table, of.select(F.col(k).alias("doc_id")).distinct()), "side")
+        return rows.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns])
 
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    x, y = sides(written(_texts_of(sketches, ids(pairs)), "sketches"), "n", "low")
-    open_pairs = written(pairs.join(y, "b").join(x, "a").select("a", "b", "n_a", "low_a", "n_b", "low_b").mapInArrow(bound, "a long, b long"), "open-pairs")
-    x, y = sides(written(_texts_of(docs, ids(open_pairs)), "texts"), "text")
-    return open_pairs.join(y, "b").join(x, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    pairs = written(pairs.where("a <> b").distinct(), "pairs")
+    x, y = side(sketches, pairs, "a", "n", "low"), side(sketches, pairs, "b", "n", "low")
+    met = pairs.join(y, "b").join(_sent_or_shuffled(x, "low_a"), "a").select("a", "b", "n_a", "low_a", "n_b", "low_b")
+    open_pairs = written(met.mapInArrow(bound, "a long, b long"), "open-pairs")
+    x, y = side(docs, open_pairs, "a", "text"), side(docs, open_pairs, "b", "text")
+    return open_pairs.join(y, "b").join(_sent_or_shuffled(x, "text_a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _compatible(x, y, percent: int):
@@ -358,42 +376,98 @@ def similar_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[D
     pairs = met.where("kind = 0").select("a", "b").distinct()
     pairs = written(pairs.join(alone.select(F.col("grp").alias("a"), F.col("one").alias("x")), "a").join(alone.select(F.col("grp").alias("b"), F.col("one").alias("y")), "b"), "group-pairs")
     direct = pairs.where("x is not null and y is not null").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    crossed = pairs.where("x is null or y is null").select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array("a", "b")).alias("grp"))
-    crowded = met.where("kind = 1").select("a", "b").unionByName(hot_entries).distinct().select(F.col("a").alias("bucket"), F.col("b").alias("grp"))
-    several = sized.where("m > 1").select(F.col("grp").alias("bucket"), "grp")
+    apart = pairs.where("x is null or y is null")
+    crossed = apart.select(F.lit(CROSSED).alias("kind"), F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("grp"))
+    crowded = met.where("kind = 1").select("a", "b").unionByName(hot_entries).distinct().select(F.lit(TOKEN).alias("kind"), F.col("a").alias("key"), F.col("b").alias("grp"))
+    several = sized.where("m > 1").select(F.lit(GROUP).alias("kind"), F.col("grp").alias("key"), "grp")
     step = float(np.log(100 / percent))
     scale = F.floor(F.log("n") / step + F.lit(1e-9)).cast("int")
     # sizes that can link lie in one class or in two that touch: each member stands in its own class and in the next
-    in_buckets = crossed.unionByName(crowded).unionByName(several).join(groups, "grp").select("bucket", "doc_id", "n", F.explode(F.array(scale, scale + 1)).alias("size_class")).distinct()
-    buckets = written(in_buckets.select(F.xxhash64("bucket", "size_class").alias("bucket"), "doc_id", "n"), "buckets")
-    links = labels = None
-    for turn in range(HUB_ROUNDS + 1):
-        at = buckets.withColumn("label", F.col("doc_id")) if labels is None else buckets.join(labels, buckets["doc_id"] == labels["node"], "left").select("bucket", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
-        split = at.groupBy("bucket").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "n", "label")).alias("hub")).where("low <> high")
-        if turn:  # only buckets that still hold several components
-            buckets = written(buckets.join(split.select("bucket"), "bucket", "left_semi"), "buckets")
-            if not buckets.limit(1).count():
-                break
-        if turn < HUB_ROUNDS:
-            near = at.join(split.select("bucket", "hub"), "bucket").where((F.col("label") != F.col("hub.label")) & _compatible(F.col("n"), F.col("hub.n"), percent))
-            found = near.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"))
-            found = found.unionByName(direct) if turn == 0 else found
-        else:
-            found = _in_blocks(at, split, percent)
-        new = written(_verified(found, docs, sketches, width, percent), "verified")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+    in_buckets = crossed.unionByName(crowded).unionByName(several).join(groups, "grp").select("kind", "key", "doc_id", "n", F.explode(F.array(scale, scale + 1)).alias("size_class")).distinct()
+    buckets = written(in_buckets.select(F.xxhash64("kind", "key", "size_class").alias("bucket"), "kind", "key", "doc_id", "n"), "buckets")
+
+    def check(found: DataFrame) -> DataFrame:
+        return written(_verified(found, docs, sketches, width, percent), "verified")
+
+    links = check(direct)
+    labels = components(links)
+    buckets, more, labels = _by_hubs(buckets, labels, check, percent, HUB_ROUNDS)
+    links = reduce(DataFrame.unionByName, more, links)
+    if buckets is not None:
+        parts_of = written(_split(buckets, docs, head, parts, width, percent), "bucket-parts")
+        rest, more, labels = _by_hubs(parts_of, labels, check, percent, HUB_ROUNDS)
+        links = reduce(DataFrame.unionByName, more, links)
+        if rest is not None:
+            new = check(_in_blocks(_labelled(rest, labels), percent))
+            links, labels = links.unionByName(new), contracted(labels, new)
     return members, links, labels
 
 
-def _in_blocks(at: DataFrame, split: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components in each bucket, a block of rows against a block."""
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    return buckets.join(labels, buckets["doc_id"] == labels["node"], "left").select(*buckets.columns, F.coalesce("label", "doc_id").alias("label"))
+
+
+def _by_hubs(buckets: DataFrame, labels: DataFrame, check, percent: int, rounds: int) -> tuple[DataFrame | None, list[DataFrame], DataFrame]:
+    """The buckets (with bucket, doc_id, n) that still hold several components after rounds of hubs (None: no such), the links found, and labels.
+
+    Rounds end early when fewer than one comparison in twenty links.
+    """
+    links: list[DataFrame] = []
+    for turn in range(rounds + 1):
+        at = written(_labelled(buckets, labels), "labelled")
+        own = at.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "n")).alias("one"))
+        tops = own.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("m", F.xxhash64("label", F.lit(turn)).alias("h"), "label", "one")).alias("top")).where("k > 1")
+        tops = written(tops.select("bucket", F.col("top.label").alias("hub_label"), F.col("top.one.doc_id").alias("hub"), F.col("top.one.n").alias("hub_n")), "hubs")
+        n = tops.limit(MOST_SENT + 1).count()
+        if not n:
+            return None, links, labels
+        met = at.join(F.broadcast(tops) if n <= MOST_SENT else tops, "bucket")
+        buckets = written(met.select(*buckets.columns), "buckets")  # only those that hold several components
+        if turn == rounds:
+            break
+        near = met.where((F.col("label") != F.col("hub_label")) & _compatible(F.col("n"), F.col("hub_n"), percent))
+        shared = near.groupBy("doc_id", "hub").agg(F.count("*").alias("m"))
+        best = shared.groupBy("doc_id").agg(F.max(F.struct("m", F.xxhash64("hub", F.lit(turn)).alias("h"), "hub")).alias("top"))
+        asked = written(best.select(F.col("top.hub").alias("a"), F.col("doc_id").alias("b")), "asked")
+        new = check(asked)
+        n_new = new.count()
+        if n_new:
+            links.append(new)
+            labels = contracted(labels, new)
+        if n_new * 20 < asked.count():
+            rounds = min(rounds, turn + 1)
+    return buckets, links, labels
+
+
+def _split(buckets: DataFrame, docs: DataFrame, head: np.ndarray, parts: int, width: int, percent: int) -> DataFrame:
+    """Buckets (bucket, kind, key, doc_id, n) divided by a further shingle that two similar members share."""
+
+    def ordered(batches):
+        hasher = WordHasher()
+        for batch in sliced(batches):
+            first, second = [], []
+            for s in shingle_sets(batch.column(1).to_pylist(), hasher, width):
+                hot, p = _is_hot(s, head, parts), needed(len(s), percent)
+                s = np.concatenate([s[~hot], s[hot]]).view(np.int64)
+                small = len(s) < 4 or -(-2 * len(s) * percent // (100 + percent)) <= p  # may share nothing more
+                first.append(s[: p + 1].tolist() + [0] * small)
+                second.append([0] if small else s[p : 2 * p].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int64()))], names=["doc_id", "first", "second"])
+
+    tokens = _texts_of(docs, buckets.select("doc_id").distinct()).mapInArrow(ordered, "doc_id long, first array<bigint>, second array<bigint>")
+    further = F.when(F.col("kind") == TOKEN, F.array_remove("first", F.col("key"))).when(F.col("kind") == GROUP, F.col("second")).otherwise(F.array(F.lit(0).cast("bigint")))
+    return buckets.join(tokens, "doc_id").select("bucket", "doc_id", "n", F.explode(further).alias("v")).select(F.xxhash64("bucket", "v").alias("bucket"), "doc_id", "n").distinct()
+
+
+def _in_blocks(at: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components in each bucket (bucket, doc_id, n, label), a block of rows against a block."""
+    sized = at.groupBy("bucket").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
-    rows = at.join(split.select("bucket", "m"), "bucket").select("bucket", "doc_id", "n", "label", blocks.alias("k"), F.pmod(F.hash("doc_id"), blocks).alias("i"))
+    rows = at.join(sized, "bucket").select("bucket", "doc_id", "n", "label", blocks.alias("k"), F.pmod(F.hash("doc_id"), blocks).alias("i"))
     left = rows.select("bucket", "doc_id", "n", "label", "i", F.explode(F.sequence("i", F.col("k") - 1)).alias("j"))
     right = rows.select("bucket", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
     met = left.join(right, ["bucket", "i", "j"]).where((F.col("label") != F.col("l2")) & _compatible(F.col("n"), F.col("n2"), percent))
-    return met.select(F.col("doc_id").alias("a"), F.col("d2").alias("b"))
+    return met.select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b"))
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

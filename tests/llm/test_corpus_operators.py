@@ -57,17 +57,18 @@ def corpus(seed, n=60):
     return rows + [(2001, None), (2002, ""), (2003, " \n"), (2004, "w1"), (2005, "W1"), (2006, "w1 w2 w3")]
 
 
-@pytest.mark.parametrize("width, percent, hot, few", [(4, 85, 32, 8), (5, 80, 2, 2), (4, 85, 1, 1)])
-def test_groups_equal_brute_force(spark, monkeypatch, width, percent, hot, few):
-    monkeypatch.setattr(prefix_join, "HOT", hot)
-    monkeypatch.setattr(prefix_join, "FEW", few)
+@pytest.mark.parametrize("width, percent, hot, few, hubs", [(4, 85, 32, 8, 6), (5, 80, 2, 2, 0), (4, 85, 1, 1, 1)])
+def test_groups_equal_brute_force(spark, monkeypatch, width, percent, hot, few, hubs):
+    for name, value in (("HOT", hot), ("FEW", few), ("HUB_ROUNDS", hubs)):
+        monkeypatch.setattr(prefix_join, name, value)
     rows = corpus(hot)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in prefix_join.near_groups(spark.createDataFrame(rows, DOC).withColumn("n", F.lit(1)), width, percent).collect()}
     assert got == groups_by_force(rows, width, percent)
 
 
-def test_large_near_group_in_blocks(spark, monkeypatch):
-    for name, value in (("HOT", 3), ("FEW", 3), ("HUB_ROUNDS", 1), ("BLOCK_ROWS", 4)):
+@pytest.mark.parametrize("hubs", [0, 6])
+def test_large_near_group_in_blocks(spark, monkeypatch, hubs):
+    for name, value in (("HOT", 3), ("FEW", 3), ("HUB_ROUNDS", hubs), ("BLOCK_ROWS", 4)):
         monkeypatch.setattr(prefix_join, name, value)
     draw = random.Random(9)
     base = [f"b{i}" for i in range(60)]
