@@ -10,9 +10,11 @@
    hubs join their members: a bucket's hub is a member of its largest component, and a document meets one hub a round, the one that it shares
    most buckets with. Verified links contract components; a bucket that holds one component is done. So a round compares at most as many
    pairs as there are documents, and later rounds only those that stand apart.
-5. Buckets that hubs don't settle are split: two similar sets that share a prefix shingle share another one in prefixes longer by one, and two
-   of one group share one among the shingles that follow the prefix. After further rounds on the parts, members of different components
-   that still meet in one part are compared in full, in blocks. So no link between components is lost.
+5. A shingle's place in a set bounds the size of the sets that can link through it as their first common shingle (`most_partner`). Of two
+   sets that link, the smaller has room for a partner of its own size; a bucket needs such a member, and only these meet the others.
+6. In buckets that hubs don't settle, members of different components that fit are compared, a block of members against a block. Each set has
+   a bitmap of the parities of its shingles by hash: the bits in which two maps differ are no more than the shingles that one set alone has,
+   so most pairs that can't link are seen in the join's condition and never become rows. So no link between components is lost.
 
 Hot shingles only steer the order and so the cost: the HEAD most frequent are sent to all executors, whatever their number.
 
@@ -37,6 +39,8 @@ from .components import components, contracted
 HOT, HEAD, FEW, HUB_ROUNDS, BLOCK_ROWS = 32, 1 << 20, 8, 6, 256
 #: Kinds of buckets: pairs of groups, shingles, groups.
 CROSSED, TOKEN, GROUP = 0, 1, 2
+#: 64-bit words of a set's bitmap.
+MAP_WORDS = 8
 #: Hubs' texts up to this number of bytes are broadcast.
 MOST_TEXT = 32 << 20
 #: Bytes of packed entries that a partition should hold.
@@ -78,19 +82,21 @@ def needed(n: int, percent: int) -> int:
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, sig (128-bit hash of the set) and low (its lowest shingles, more than a prefix)."""
+    """doc_id, n, sig (128-bit hash of the set), low (its lowest shingles, more than a prefix) and bits (parities of its shingles by hash)."""
 
     def run(batches):
         hasher = WordHasher()
         for batch in sliced(batches):
-            n, sig, low = [], [], []
+            n, sig, low, bits = [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), hasher, width):
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()))
                 low.append(s[: needed(len(s), percent) + len(s) // 20 + 12].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n", "sig", "low"])
+                odd = np.bincount((s & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "low", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, low binary")
+    return docs.mapInArrow(run, "doc_id long, n long, sig binary, low binary, bits array<bigint>")
 
 
 def _parts(tokens: np.ndarray, parts: int) -> np.ndarray:
@@ -180,7 +186,7 @@ def _groups(rows: DataFrame, head: np.ndarray, parts: int, percent: int) -> Data
 
 
 def _meet(rows: DataFrame, head: np.ndarray, parts: int, percent: int) -> DataFrame:
-    """Group pairs (kind 0: a, b) of cold shingles, and entries (kind 1: a the shingle, b the group) of crowded ones."""
+    """Group pairs (kind 0: a, b) of cold shingles, and entries (kind 1: a the shingle, b the group, place of a in b's prefix) of crowded ones."""
 
     def deal(batches):
         for batch in batches:  # as many entries at once as fit: fewer, larger pieces
@@ -194,23 +200,26 @@ def _meet(rows: DataFrame, head: np.ndarray, parts: int, percent: int) -> DataFr
                 tokens = np.concatenate([x[0] for x in groups.values()])
                 owner = np.repeat(np.array(list(groups), np.int64), lengths)
                 size = np.repeat(np.array([x[1] for x in groups.values()], np.uint32), lengths)
-                got = list(_dealt(tokens, parts, owner, size))
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), *(pa.array([g[i] for g in got], pa.binary()) for i in (1, 2, 3))], names=["part", "tokens", "owner", "size"])
+                place = np.concatenate([np.arange(n, dtype=np.uint32) for n in lengths])
+                got = list(_dealt(tokens, parts, owner, size, place))
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), *(pa.array([g[i] for g in got], pa.binary()) for i in (1, 2, 3, 4))], names=["part", "tokens", "owner", "size", "place"])
 
     def meet(table: pa.Table) -> pa.Table:
-        tokens, owner, size = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("tokens", np.uint64), ("owner", np.int64), ("size", np.uint32)))
+        columns = (("tokens", np.uint64), ("owner", np.int64), ("size", np.uint32), ("place", np.uint32))
+        tokens, owner, size, place = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in columns)
         order = np.argsort(tokens, kind="stable")
-        tokens, owner, size = tokens[order], owner[order], size[order]
+        tokens, owner, size, place = tokens[order], owner[order], size[order], place[order]
         same = tokens[1:] == tokens[:-1]
         shared = np.zeros(len(tokens), bool)
         shared[1:] |= same
         shared[:-1] |= same
-        tokens, owner, size = tokens[shared], owner[shared], size[shared].astype(np.int64)
+        tokens, owner, size, place = tokens[shared], owner[shared], size[shared].astype(np.int64), place[shared].astype(np.int64)
         order = np.lexsort((owner, tokens))
-        tokens, owner, size = tokens[order], owner[order], size[order]
+        tokens, owner, size, place = tokens[order], owner[order], size[order], place[order]
         first = np.ones(len(tokens), bool)
         first[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
-        tokens, owner, size = tokens[first], owner[first], size[first]
+        tokens, owner, size, place = tokens[first], owner[first], size[first], place[first]
+        partner = most_partner(size, place, percent)
         begins = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, int)
         lengths = np.diff(np.append(begins, len(tokens)))
         a, b, crowd = [], [], {}
@@ -221,11 +230,11 @@ def _meet(rows: DataFrame, head: np.ndarray, parts: int, percent: int) -> DataFr
             if w > FEW:
                 for row in at:  # buckets of the same groups are one, under the first of their shingles
                     members = owner[row]
-                    crowd.setdefault(members.tobytes(), (tokens[row[0]], members))
+                    crowd.setdefault(members.tobytes(), (tokens[row[0]], members, place[row]))
                 continue
             i, j = np.triu_indices(w, 1)
             x, y = at[:, i].ravel(), at[:, j].ravel()
-            fits = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+            fits = (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])) & (size[x] <= partner[y]) & (size[y] <= partner[x])
             a.append(owner[x[fits]])
             b.append(owner[y[fits]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -233,23 +242,25 @@ def _meet(rows: DataFrame, head: np.ndarray, parts: int, percent: int) -> DataFr
             a, b = np.unique(np.stack([a, b], axis=1), axis=0).T
         bucket = np.repeat(np.array([x[0] for x in crowd.values()], np.uint64).view(np.int64), [len(x[1]) for x in crowd.values()]) if crowd else np.zeros(0, np.int64)
         crowded = np.concatenate([x[1] for x in crowd.values()]) if crowd else np.zeros(0, np.int64)
+        places = np.concatenate([np.zeros(len(a), np.int64), *(x[2] for x in crowd.values())])
         kind = np.concatenate([np.zeros(len(a), np.int32), np.ones(len(crowded), np.int32)])
-        return pa.table([pa.array(kind, pa.int32()), pa.array(np.concatenate([a, bucket]), pa.int64()), pa.array(np.concatenate([b, crowded]), pa.int64())], names=["kind", "a", "b"])
+        return pa.table([pa.array(kind, pa.int32()), pa.array(np.concatenate([a, bucket]), pa.int64()), pa.array(np.concatenate([b, crowded]), pa.int64()), pa.array(places, pa.int64())], names=["kind", "a", "b", "place"])
 
-    return rows.mapInArrow(deal, "part int, tokens binary, owner binary, size binary").groupBy("part").applyInArrow(meet, "kind int, a long, b long")
+    return rows.mapInArrow(deal, "part int, tokens binary, owner binary, size binary, place binary").groupBy("part").applyInArrow(meet, "kind int, a long, b long, place long")
 
 
 def _hot_entries(rows: DataFrame, head: np.ndarray, parts: int, percent: int) -> DataFrame:
-    """(a the shingle, b the group) of hot shingles that stand in a prefix."""
+    """(a the shingle, b the group, place of a in b's prefix) of hot shingles that stand in a prefix."""
 
     def run(batches):
         for found in _prefixes(batches, head, parts, percent):
             kept = [r for r in found if r[4] > 0]
             tokens = np.concatenate([r[3][-r[4] :] for r in kept] or [np.zeros(0, np.uint64)]).astype(np.int64)
             owner = np.repeat(np.array([r[2] for r in kept], np.int64), [r[4] for r in kept]) if kept else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owner)], names=["a", "b"])
+            place = np.concatenate([np.arange(len(r[3]) - r[4], len(r[3]), dtype=np.int64) for r in kept] or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owner), pa.array(place)], names=["a", "b", "place"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long, place long").distinct()
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -266,36 +277,24 @@ def _one_text_each(docs: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.min("text").alias("text")).unionByName(docs.where("doc_id is null"))
 
 
-def _could_link(na: int, ra: bytes, nb: int, rb: bytes, percent: int) -> bool:
-    """Whether sets of these sizes and lowest shingles can be similar enough: up to the lower of the last known shingles both are known in
-    full, and of the rest all that fits could be shared."""
-    x, y = np.frombuffer(ra, np.uint64), np.frombuffer(rb, np.uint64)
-    ends = [v[-1] for v, n in ((x, na), (y, nb)) if len(v) < n]
-    if ends:
-        last = min(ends)
-        x, y = x[: np.searchsorted(x, last, "right")], y[: np.searchsorted(y, last, "right")]
-    most = len(np.intersect1d(x, y, assume_unique=True)) + min(na - len(x), nb - len(y))
-    return 100 * most >= percent * (na + nb - most)
+def _could_link(n, bits, n2, bits2, percent: int):
+    """Whether sets of these sizes and bitmaps can be similar enough: at least as many shingles stand in one alone as bits differ."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.get(bits, F.lit(k)).bitwiseXOR(F.get(bits2, F.lit(k)))) for k in range(MAP_WORDS)])
+    return differ * (100 + percent) <= (n + n2) * (100 - percent)
 
 
-def _sent_or_shuffled(rows: DataFrame, column: str) -> DataFrame:
-    """rows, marked for broadcast if a binary or text column holds MOST_TEXT bytes at most and there are MOST_SENT rows at most."""
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
-    return F.broadcast(rows) if n <= MOST_SENT and size + 16 * n <= MOST_TEXT else rows
+def _sent_or_shuffled(rows: DataFrame, text: str | None = None) -> DataFrame:
+    """rows, marked for broadcast if they hold MOST_TEXT bytes at most."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)) if text else F.lit(0), F.lit(0))).first()
+    return F.broadcast(rows) if size + (16 + 8 * MAP_WORDS) * n <= MOST_TEXT else rows
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: bounded by their lowest shingles first, then compared in full. Many pairs may share an a.
+def _verified(pairs: DataFrame, docs: DataFrame, maps: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough: bounded by their bitmaps first, then compared in full. Many pairs may share an a.
 
-    sketches: doc_id, n, low.
+    maps: doc_id, n, bits.
     """
 
-    def bound(batches):
-        for batch in sliced(batches):
-            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
-            keep = pa.array([_could_link(na, ra, nb, rb, percent) for na, ra, nb, rb in rows], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
     def run(batches):
         hasher = WordHasher()
         known: dict[int, np.ndarray] = {}
@@ -319,15 +318,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int
         return rows.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns])
 
     pairs = written(pairs.where("a <> b").distinct(), "pairs")
-    x, y = side(sketches, pairs, "a", "n", "low"), side(sketches, pairs, "b", "n", "low")
-    met = pairs.join(y, "b").join(_sent_or_shuffled(x, "low_a"), "a").select("a", "b", "n_a", "low_a", "n_b", "low_b")
-    open_pairs = written(met.mapInArrow(bound, "a long, b long"), "open-pairs")
+    x, y = side(maps, pairs, "a", "n", "bits"), side(maps, pairs, "b", "n", "bits")
+    met = pairs.join(y, "b").join(_sent_or_shuffled(x), "a").where(_could_link(*map(F.col, ("n_a", "bits_a", "n_b", "bits_b")), percent))
+    open_pairs = written(met.select("a", "b"), "open-pairs")
     x, y = side(docs, open_pairs, "a", "text"), side(docs, open_pairs, "b", "text")
     return open_pairs.join(y, "b").join(_sent_or_shuffled(x, "text_a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _compatible(x, y, percent: int):
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def most_partner(n, place, percent: int):
+    """The largest set that a set of n can link to when the first shingle that they share has `place` others before it: what follows is all
+    that they can share, and must be the share percent / (100 + percent) of both sizes."""
+    return (n - place) * (100 + percent) // percent - n
+
+
+def _fits(n, partner, bits, n2, partner2, bits2, percent: int):
+    return (F.least(n, n2) * 100 >= F.greatest(n, n2) * percent) & (n <= partner2) & (n2 <= partner) & _could_link(n, bits, n2, bits2, percent)
 
 
 def similar_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -342,7 +347,7 @@ def similar_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[D
     equal = written(members.where("n > 0 and doc_id <> rep").select("doc_id"), "equal")
     few = equal.limit(MOST_SENT + 1).count() <= MOST_SENT
     own = known.join(F.broadcast(equal) if few else equal, "doc_id", "left_anti").select("doc_id", "n", F.col("low").alias("tokens"), F.lit(False).alias("whole"))
-    sketches = known.select("doc_id", "n", F.substring("low", F.lit(1), ((F.floor(F.col("n") / 8) + 8) * 8).cast("int")).alias("low"))
+    maps = known.select("doc_id", "n", "bits")
     volume = own.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0]
     parts = max(64, -(-volume * 3 // 2 // PART_BYTES))
 
@@ -377,47 +382,51 @@ def similar_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[D
     pairs = written(pairs.join(alone.select(F.col("grp").alias("a"), F.col("one").alias("x")), "a").join(alone.select(F.col("grp").alias("b"), F.col("one").alias("y")), "b"), "group-pairs")
     direct = pairs.where("x is not null and y is not null").select(F.col("x").alias("a"), F.col("y").alias("b"))
     apart = pairs.where("x is null or y is null")
-    crossed = apart.select(F.lit(CROSSED).alias("kind"), F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("grp"))
-    crowded = met.where("kind = 1").select("a", "b").unionByName(hot_entries).distinct().select(F.lit(TOKEN).alias("kind"), F.col("a").alias("key"), F.col("b").alias("grp"))
-    several = sized.where("m > 1").select(F.lit(GROUP).alias("kind"), F.col("grp").alias("key"), "grp")
+    crossed = apart.select(F.lit(CROSSED).alias("kind"), F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("grp"), F.lit(0).cast("bigint").alias("place"))
+    crowded = met.where("kind = 1").select("a", "b", "place").unionByName(hot_entries).distinct().select(F.lit(TOKEN).alias("kind"), F.col("a").alias("key"), F.col("b").alias("grp"), "place")
+    several = sized.where("m > 1").select(F.lit(GROUP).alias("kind"), F.col("grp").alias("key"), "grp", F.lit(0).cast("bigint").alias("place"))
     step = float(np.log(100 / percent))
     scale = F.floor(F.log("n") / step + F.lit(1e-9)).cast("int")
     # sizes that can link lie in one class or in two that touch: each member stands in its own class and in the next
-    in_buckets = crossed.unionByName(crowded).unionByName(several).join(groups, "grp").select("kind", "key", "doc_id", "n", F.explode(F.array(scale, scale + 1)).alias("size_class")).distinct()
-    buckets = written(in_buckets.select(F.xxhash64("kind", "key", "size_class").alias("bucket"), "kind", "key", "doc_id", "n"), "buckets")
+    in_buckets = crossed.unionByName(crowded).unionByName(several).join(groups, "grp").select("kind", "key", "doc_id", "n", "place", F.explode(F.array(scale, scale + 1)).alias("size_class")).distinct()
+    partner = (F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n")).alias("partner")
+    members_of = in_buckets.select(F.xxhash64("kind", "key", "size_class").alias("bucket"), "doc_id", "n", partner)
+    buckets = written(members_of.join(maps.select("doc_id", "bits"), "doc_id").select(*PART), "buckets")
 
     def check(found: DataFrame) -> DataFrame:
-        return written(_verified(found, docs, sketches, width, percent), "verified")
+        return written(_verified(found, docs, maps, width, percent), "verified")
 
     links = check(direct)
     labels = components(links)
     buckets, more, labels = _by_hubs(buckets, labels, check, percent, HUB_ROUNDS)
     links = reduce(DataFrame.unionByName, more, links)
     if buckets is not None:
-        parts_of = written(_split(buckets, docs, head, parts, width, percent), "bucket-parts")
-        rest, more, labels = _by_hubs(parts_of, labels, check, percent, HUB_ROUNDS)
-        links = reduce(DataFrame.unionByName, more, links)
-        if rest is not None:
-            new = check(_in_blocks(_labelled(rest, labels), percent))
-            links, labels = links.unionByName(new), contracted(labels, new)
+        new = check(_in_blocks(_labelled(buckets, labels), percent))
+        links, labels = links.unionByName(new), contracted(labels, new)
     return members, links, labels
 
 
+#: Columns of a bucket's member: its size, the largest size of a set that it can link to in that bucket, and its bitmap.
+PART = ("bucket", "doc_id", "n", "partner", "bits")
+
+
 def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return buckets.join(labels, buckets["doc_id"] == labels["node"], "left").select(*buckets.columns, F.coalesce("label", "doc_id").alias("label"))
 
 
 def _by_hubs(buckets: DataFrame, labels: DataFrame, check, percent: int, rounds: int) -> tuple[DataFrame | None, list[DataFrame], DataFrame]:
-    """The buckets (with bucket, doc_id, n) that still hold several components after rounds of hubs (None: no such), the links found, and labels.
+    """The buckets (with PART) that still hold several components after rounds of hubs (None: no such), the links found, and labels.
 
-    Rounds end early when fewer than one comparison in twenty links.
+    Rounds end early when none of their comparisons links.
     """
     links: list[DataFrame] = []
     for turn in range(rounds + 1):
         at = written(_labelled(buckets, labels), "labelled")
-        own = at.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "n")).alias("one"))
-        tops = own.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("m", F.xxhash64("label", F.lit(turn)).alias("h"), "label", "one")).alias("top")).where("k > 1")
-        tops = written(tops.select("bucket", F.col("top.label").alias("hub_label"), F.col("top.one.doc_id").alias("hub"), F.col("top.one.n").alias("hub_n")), "hubs")
+        narrow = F.col("partner") < F.col("n")
+        own = at.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.min(F.struct(narrow.alias("narrow"), F.xxhash64("doc_id", F.lit(turn)).alias("h"), *PART[1:])).alias("one"))
+        top = F.max(F.struct(~F.col("one.narrow"), "m", F.xxhash64("label", F.lit(turn)).alias("h"), "label", "one")).alias("top")
+        tops = own.groupBy("bucket").agg(F.count("*").alias("k"), top).where("k > 1 and not top.one.narrow")
+        tops = written(tops.select("bucket", F.col("top.label").alias("hub_label"), *[F.col(f"top.one.{c}").alias(f"hub_{c}") for c in PART[1:]]), "hubs")
         n = tops.limit(MOST_SENT + 1).count()
         if not n:
             return None, links, labels
@@ -425,49 +434,33 @@ def _by_hubs(buckets: DataFrame, labels: DataFrame, check, percent: int, rounds:
         buckets = written(met.select(*buckets.columns), "buckets")  # only those that hold several components
         if turn == rounds:
             break
-        near = met.where((F.col("label") != F.col("hub_label")) & _compatible(F.col("n"), F.col("hub_n"), percent))
-        shared = near.groupBy("doc_id", "hub").agg(F.count("*").alias("m"))
-        best = shared.groupBy("doc_id").agg(F.max(F.struct("m", F.xxhash64("hub", F.lit(turn)).alias("h"), "hub")).alias("top"))
-        asked = written(best.select(F.col("top.hub").alias("a"), F.col("doc_id").alias("b")), "asked")
+        near = met.where((F.col("label") != F.col("hub_label")) & _fits(*map(F.col, ("n", "partner", "bits", "hub_n", "hub_partner", "hub_bits")), percent))
+        shared = near.groupBy("doc_id", "hub_doc_id").agg(F.count("*").alias("m"))
+        best = shared.groupBy("doc_id").agg(F.max(F.struct("m", F.xxhash64("hub_doc_id", F.lit(turn)).alias("h"), "hub_doc_id")).alias("top"))
+        asked = written(best.select(F.col("top.hub_doc_id").alias("a"), F.col("doc_id").alias("b")), "asked")
         new = check(asked)
         n_new = new.count()
         if n_new:
             links.append(new)
             labels = contracted(labels, new)
-        if n_new * 20 < asked.count():
+        if not n_new:
             rounds = min(rounds, turn + 1)
     return buckets, links, labels
 
 
-def _split(buckets: DataFrame, docs: DataFrame, head: np.ndarray, parts: int, width: int, percent: int) -> DataFrame:
-    """Buckets (bucket, kind, key, doc_id, n) divided by a further shingle that two similar members share."""
-
-    def ordered(batches):
-        hasher = WordHasher()
-        for batch in sliced(batches):
-            first, second = [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), hasher, width):
-                hot, p = _is_hot(s, head, parts), needed(len(s), percent)
-                s = np.concatenate([s[~hot], s[hot]]).view(np.int64)
-                small = len(s) < 4 or -(-2 * len(s) * percent // (100 + percent)) <= p  # may share nothing more
-                first.append(s[: p + 1].tolist() + [0] * small)
-                second.append([0] if small else s[p : 2 * p].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int64()))], names=["doc_id", "first", "second"])
-
-    tokens = _texts_of(docs, buckets.select("doc_id").distinct()).mapInArrow(ordered, "doc_id long, first array<bigint>, second array<bigint>")
-    further = F.when(F.col("kind") == TOKEN, F.array_remove("first", F.col("key"))).when(F.col("kind") == GROUP, F.col("second")).otherwise(F.array(F.lit(0).cast("bigint")))
-    return buckets.join(tokens, "doc_id").select("bucket", "doc_id", "n", F.explode(further).alias("v")).select(F.xxhash64("bucket", "v").alias("bucket"), "doc_id", "n").distinct()
-
-
 def _in_blocks(at: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components in each bucket (bucket, doc_id, n, label), a block of rows against a block."""
-    sized = at.groupBy("bucket").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
-    rows = at.join(sized, "bucket").select("bucket", "doc_id", "n", "label", blocks.alias("k"), F.pmod(F.hash("doc_id"), blocks).alias("i"))
-    left = rows.select("bucket", "doc_id", "n", "label", "i", F.explode(F.sequence("i", F.col("k") - 1)).alias("j"))
-    right = rows.select("bucket", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
-    met = left.join(right, ["bucket", "i", "j"]).where((F.col("label") != F.col("l2")) & _compatible(F.col("n"), F.col("n2"), percent))
-    return met.select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b"))
+    """Pairs of different components that fit, in each bucket (PART, label): the members with room for their own size against all, a block of
+    rows against a block."""
+    at = written(at, "unsettled")
+    roomy = F.col("partner") >= F.col("n")
+    count = lambda c: F.ceil(F.count_if(c) / BLOCK_ROWS).cast("int")
+    sized = at.groupBy("bucket").agg(count(roomy).alias("k"), count(F.lit(True)).alias("k2")).where("k > 0")
+    rows = at.join(sized, "bucket").withColumns({"i": F.pmod(F.hash("doc_id"), "k"), "j": F.pmod(F.hash("doc_id"), "k2")})
+    left = rows.where(roomy).select(*PART, "label", "i", F.explode(F.sequence(F.lit(0), F.col("k2") - 1)).alias("j"))
+    right = rows.select("bucket", *[F.col(c).alias(f"{c}2") for c in (*PART[1:], "label")], F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), "j")
+    fits = (F.col("n") <= F.col("n2")) & _fits(*map(F.col, ("n", "partner", "bits", "n2", "partner2", "bits2")), percent)
+    met = left.join(right, ["bucket", "i", "j"]).where((F.col("label") != F.col("label2")) & fits)
+    return met.select(F.least("doc_id", "doc_id2").alias("a"), F.greatest("doc_id", "doc_id2").alias("b"))
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
