@@ -1,23 +1,24 @@
 """One-to-one assignment. Greedy assignment under a strict total order equals rounds in which every edge that is first for both of its ends
-is taken and all edges at taken ends are dropped, until none is left. Each round is two windows and two anti-joins, written out."""
+is taken and all edges at taken ends are dropped, until none is left. The first edge of all is taken in each round, so rounds end; a round is
+two aggregations (a minimum at each end, without sorting) and two anti-joins, written out."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import written
 
 
-def one_to_one(edges: DataFrame, left: str, right: str, order: list[Column], most_rounds: int = 100) -> DataFrame:
-    """The edges that greedy assignment takes; order must be strict and total within each left and each right."""
-    at_left, at_right = Window.partitionBy(left).orderBy(*order), Window.partitionBy(right).orderBy(*order)
-    open_edges, taken = written(edges, "edges"), None
-    for _ in range(most_rounds):
-        ranked = open_edges.withColumns({"_l": F.row_number().over(at_left)}).withColumns({"_r": F.row_number().over(at_right)})
-        first = written(ranked.where("_l = 1 and _r = 1").drop("_l", "_r"), "taken")
-        taken = first if taken is None else taken.unionByName(first)
-        open_edges = written(open_edges.join(first.select(left), left, "left_anti").join(first.select(right), right, "left_anti").select(*edges.columns), "edges")
-        if not open_edges.limit(1).count():
-            return taken
-    raise RuntimeError("assignment did not settle")
+def one_to_one(edges: DataFrame, left: str, right: str, order: list[Column]) -> DataFrame:
+    """The edges that greedy assignment takes, least first by `order`, a strict total order of expressions that rise."""
+    keyed = written(edges.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])), "edges")
+    taken: list[DataFrame] = []
+    while keyed.limit(1).count():
+        at_left, at_right = (keyed.groupBy(end).agg(F.min("_key").alias(f"_{end}")) for end in (left, right))
+        first = keyed.join(at_left, left).where(F.col("_key") == F.col(f"_{left}")).join(at_right, right).where(F.col("_key") == F.col(f"_{right}"))
+        taken.append(written(first.select(*edges.columns), "taken"))
+        keyed = written(keyed.join(taken[-1].select(left), left, "left_anti").join(taken[-1].select(right), right, "left_anti").select(*keyed.columns), "edges")
+    return reduce(DataFrame.unionByName, taken) if taken else edges.limit(0)

@@ -34,6 +34,16 @@ def buckets(sources: Sources, claimed: DataFrame) -> DataFrame:
     return free.select("settlement_id", "entity_id", "net_amount").join(sized, "settlement_id")
 
 
+def capped(sources: Sources, claimed: DataFrame) -> DataFrame:
+    """(entity_id) of the open payments of buckets that are over the cap of the search."""
+    return buckets(sources, claimed).where(F.col("members") > MOST_BUCKET).select("entity_id")
+
+
+def batched_pairs(sources: Sources, claimed: DataFrame) -> DataFrame:
+    """(settlement_id, entity_id, txn_id) of the payments of which a subset explains a credit."""
+    return subsets(sources, claimed).select("settlement_id", F.explode(F.split("subset", r"\|")).alias("entity_id"), "txn_id")
+
+
 def probes(sources: Sources, claimed: DataFrame) -> DataFrame:
     """(settlement_id, txn_id, credit, members) for each credit within the window of a bucket's first date."""
     anchors = buckets(sources, claimed).select("settlement_id", "members", "anchor").distinct().where("anchor is not null")
@@ -82,5 +92,6 @@ def subsets(sources: Sources, claimed: DataFrame) -> DataFrame:
         return pd.DataFrame(columns=["settlement_id", "txn_id", "subset"])
 
     b = buckets(sources, claimed).where(F.col("members") <= MOST_BUCKET).select("settlement_id", "entity_id", "net_amount")
-    p = bounded_probes(sources, claimed).select("settlement_id", "txn_id", "credit")
-    return b.groupBy("settlement_id").cogroup(p.groupBy("settlement_id")).applyInPandas(search, "settlement_id string, txn_id string, subset string")
+    # under a name of its own, as both sides come from one plan
+    p = bounded_probes(sources, claimed).select(F.col("settlement_id").alias("bucket_id"), "txn_id", "credit")
+    return b.groupBy("settlement_id").cogroup(p.groupBy("bucket_id")).applyInPandas(search, "settlement_id string, txn_id string, subset string")

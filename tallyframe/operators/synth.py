@@ -10,6 +10,7 @@ from ..sources.fixture import PLACES, TRADES
 
 # Case types and their target shares.
 SHARES = {"clean": 0.55, "batched_settlement": 0.12, "fee_deducted": 0.10, "partial_payment": 0.06, "tds_deducted": 0.05, "refund_netted": 0.04, "date_skew": 0.03, "duplicate_utr": 0.02, "rounding_drift": 0.02, "orphan": 0.01}
+POOL = 2000
 SUFFIXES = ("Pvt Ltd", "LLP", "Private Limited", "and Company")
 
 
@@ -33,10 +34,9 @@ def draw(name: str, seed: int, key: str = "id") -> Column:
 
 
 def customer_pool(spark: SparkSession) -> DataFrame:
-    """All names of a place, a trade and a suffix: a product of three fixed lists."""
-    side = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
-    pool = side(PLACES.split("|"), "place").crossJoin(side(TRADES.split("|"), "trade")).crossJoin(side(SUFFIXES, "suffix"))
-    return pool.select(F.concat_ws(" ", "place", "trade", "suffix").alias("customer_name")).withColumn("n", F.row_number().over(Window.orderBy("customer_name")))
+    """POOL names at most: places by trades in their order, the suffix by the name's place in it. Fixed lists, so no data grows it."""
+    pairs = [f"{p} {t}" for p in sorted(PLACES.split("|")) for t in sorted(TRADES.split("|"))][:POOL]
+    return spark.createDataFrame([(f"{v} {SUFFIXES[i % len(SUFFIXES)]}", i + 1) for i, v in enumerate(pairs)], "customer_name string, n int")
 
 
 def generate(spark: SparkSession, rows: int, seed: int, exclude: tuple[str, ...] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import chaos, cost, rules, subsetsum
 from ..operators import evaluation as E
 from . import flow
 from . import oracle as O
-from .matching_queries import BIG, feature_rows, labelled
+from .matching_queries import BIG, candidate_features, labelled
 from .registry import query
 
 THRESHOLD = 0.9
@@ -20,7 +20,7 @@ THRESHOLD = 0.9
 # ---- subset sums: the strict exact tiers claim first, so batches stay open
 _OPEN = """
 claimed AS (SELECT entity_id FROM best WHERE rule = 'utr_amount_date'),
-free AS (SELECT * FROM pay WHERE entity_id NOT IN (SELECT entity_id FROM claimed)),
+free AS (SELECT pay.* FROM pay ANTI JOIN claimed ON pay.entity_id = claimed.entity_id),
 bucket AS (SELECT settlement_id, count(*) AS members, min_by(settled_date, entity_id) AS anchor FROM free GROUP BY settlement_id HAVING count(*) >= 2),
 member AS (SELECT f.settlement_id, f.entity_id, f.net_amount FROM free f JOIN bucket b ON f.settlement_id = b.settlement_id),
 probe AS (SELECT b.settlement_id, b.members, k.txn_id, k.credit FROM bucket b JOIN bnk k ON k.credit > 0 AND abs(k.value_date - b.anchor) <= 3)
@@ -42,23 +42,29 @@ def subset_sum_pairs(spark, sf_dir):
     return subsetsum.small_subsets(flow.sources(spark, sf_dir), claimed(spark, sf_dir))
 
 
-@query()
+_SIZES = "".join(f"""size{k} AS (SELECT a1.settlement_id, [{", ".join(f"a{i}.entity_id" for i in range(1, k + 1))}] AS ids, {" + ".join(f"a{i}.net_amount" for i in range(1, k + 1))} AS total FROM member a1
+  {" ".join(f"JOIN member a{i} ON a{i}.settlement_id = a1.settlement_id AND a{i - 1}.entity_id < a{i}.entity_id" for i in range(2, k + 1))}),
+""" for k in range(2, 6)) + """sums AS (SELECT * FROM size2 UNION ALL SELECT * FROM size3 UNION ALL SELECT * FROM size4 UNION ALL SELECT * FROM size5),
+fits AS (SELECT p.settlement_id, p.txn_id, s.ids, row_number() OVER (PARTITION BY p.settlement_id ORDER BY p.txn_id, len(s.ids), s.ids) AS n FROM probe p JOIN sums s ON p.settlement_id = s.settlement_id AND p.members <= 25 AND abs(p.credit - s.total) <= 5)
+"""
+
+
+@query(O.sql("scored", "SELECT settlement_id, txn_id, array_to_string(ids, '|') AS subset FROM fits WHERE n = 1", _OPEN, _SIZES))
 def subset_sum_search(spark, sf_dir):
     return subsetsum.subsets(flow.sources(spark, sf_dir), claimed(spark, sf_dir))
 
 
-@query(O.sql("scored", f"SELECT settlement_id, CAST(members AS BIGINT) AS members, members > 2 AS capped, {BIG} AS probes FROM probe GROUP BY settlement_id, members", _OPEN))
+@query(O.sql("scored", f"SELECT settlement_id, CAST(members AS BIGINT) AS members, members > 25 AS capped, {BIG} AS probes FROM probe GROUP BY settlement_id, members", _OPEN))
 def subset_sum_capped(spark, sf_dir):
-    """With a cap of two, which this batch's groups of three exceed."""
     p = subsetsum.probes(flow.sources(spark, sf_dir), claimed(spark, sf_dir))
-    return p.groupBy("settlement_id", "members").agg(F.count("*").alias("probes")).withColumn("capped", F.col("members") > 2)
+    return p.groupBy("settlement_id", "members").agg(F.count("*").alias("probes")).withColumn("capped", F.col("members") > subsetsum.MOST_BUCKET)
 
 
-@query(O.sql("scored", "SELECT CAST(count(*) FILTER (WHERE members <= 2) AS BIGINT) AS searched, CAST(count(*) FILTER (WHERE members > 2) AS BIGINT) AS skipped, round(CAST(count(*) FILTER (WHERE members > 2) AS DOUBLE) / count(*), 6) AS rate FROM probe", _OPEN))
+@query(O.sql("scored", "SELECT CAST(count(*) FILTER (WHERE members <= 25) AS BIGINT) AS searched, CAST(count(*) FILTER (WHERE members > 25) AS BIGINT) AS skipped, round(CAST(count(*) FILTER (WHERE members > 25) AS DOUBLE) / count(*), 6) AS rate FROM probe", _OPEN))
 def subset_sum_stats(spark, sf_dir):
     p = subsetsum.probes(flow.sources(spark, sf_dir), claimed(spark, sf_dir))
-    skipped = F.count(F.when(F.col("members") > 2, 1))
-    return p.agg(F.count(F.when(F.col("members") <= 2, 1)).alias("searched"), skipped.alias("skipped"), F.round(F.try_divide(skipped, F.count("*")), 6).alias("rate"))
+    skipped = F.count(F.when(F.col("members") > subsetsum.MOST_BUCKET, 1))
+    return p.agg(F.count(F.when(F.col("members") <= subsetsum.MOST_BUCKET, 1)).alias("searched"), skipped.alias("skipped"), F.round(F.try_divide(skipped, F.count("*")), 6).alias("rate"))
 
 
 # ---- accounting: an invoice is held by its best prediction
@@ -68,10 +74,11 @@ matched AS (SELECT p.* FROM pred p JOIN held h ON p.invoice_id = h.invoice_id AN
 ranked AS (SELECT entity_id, txn_id, rule_score, count(*) OVER (PARTITION BY entity_id) AS n_candidates, lead(rule_score) OVER w AS second, row_number() OVER w AS n FROM scored WINDOW w AS (PARTITION BY entity_id ORDER BY rule_score DESC, penalty, txn_id)),
 evid AS (SELECT r.entity_id, CAST(r.n_candidates AS BIGINT) AS n_candidates, r.rule_score AS best_score, coalesce(r.second, 0) AS second_score, r.txn_id AS best_txn_id, coalesce(l.invoice_id, '') AS best_invoice_id,
   CASE WHEN h.holder <> r.entity_id THEN h.holder ELSE '' END AS claimed_by FROM ranked r LEFT JOIN link l ON r.entity_id = l.entity_id AND r.txn_id = l.txn_id LEFT JOIN held h ON l.invoice_id = h.invoice_id WHERE r.n = 1),
+capped AS (SELECT entity_id FROM (SELECT p.entity_id, count(*) OVER (PARTITION BY p.settlement_id) AS members FROM pay p ANTI JOIN best b ON p.entity_id = b.entity_id) WHERE members > 25),
 exc AS (SELECT p.entity_id, p.net_amount AS amount, coalesce(e.best_txn_id, '') AS txn_id, coalesce(e.best_invoice_id, '') AS invoice_id, e.best_score AS confidence,
-  CASE WHEN coalesce(e.n_candidates, 0) = 0 THEN 'NO_CANDIDATE' WHEN e.claimed_by <> '' THEN 'INVOICE_ALREADY_CLAIMED' WHEN e.best_invoice_id = '' THEN 'NO_INVOICE_LINK'
+  CASE WHEN c.entity_id IS NOT NULL THEN 'SUBSET_SEARCH_CAPPED' WHEN coalesce(e.n_candidates, 0) = 0 THEN 'NO_CANDIDATE' WHEN e.claimed_by <> '' THEN 'INVOICE_ALREADY_CLAIMED' WHEN e.best_invoice_id = '' THEN 'NO_INVOICE_LINK'
        WHEN e.n_candidates > 1 AND e.best_score - e.second_score < 0.02 THEN 'AMBIGUOUS_CANDIDATES' ELSE 'BELOW_THRESHOLD' END AS reason_code
-  FROM pay p LEFT JOIN evid e ON p.entity_id = e.entity_id WHERE p.entity_id NOT IN (SELECT entity_id FROM matched)),
+  FROM (SELECT pay.* FROM pay ANTI JOIN matched ON pay.entity_id = matched.entity_id) p LEFT JOIN evid e ON p.entity_id = e.entity_id LEFT JOIN capped c ON p.entity_id = c.entity_id),
 codes AS (SELECT reason_code, CASE WHEN reason_code IN ('BELOW_THRESHOLD', 'LOW_CONFIDENCE', 'AMBIGUOUS_CANDIDATES') THEN 'judgement' WHEN reason_code LIKE 'LLM%' OR reason_code IN ('FIELD_PROVENANCE_FAILED', 'LOW_PARSE_CONFIDENCE') THEN 'failure' ELSE 'deterministic' END AS family, CAST(n AS BIGINT) AS n
   FROM (SELECT reason_code, count(*) AS n FROM exc GROUP BY reason_code))
 """
@@ -93,7 +100,7 @@ def evidence(spark, sf_dir):
 
 
 def exceptions(spark, sf_dir):
-    make = lambda: A.exceptions(flow.sources(spark, sf_dir).payments, matched(spark, sf_dir), evidence(spark, sf_dir), threshold=THRESHOLD)
+    make = lambda: A.exceptions(flow.sources(spark, sf_dir).payments, matched(spark, sf_dir), evidence(spark, sf_dir), subsetsum.capped(flow.sources(spark, sf_dir), flow.best(spark, sf_dir)), threshold=THRESHOLD)
     return flow.once(spark, sf_dir, "exceptions", make)
 
 
@@ -140,12 +147,18 @@ def reconcile_accounting(spark, sf_dir):
     return parts[0].join(parts[1]).join(parts[2]).join(parts[3])  # one row each
 
 
-@query(O.sql("predicted", "SELECT entity_id, invoice_id, txn_id, rule || '+' || link_rule AS rule, confidence FROM pred"))
+_BATCHED = """taken AS (SELECT settlement_id, txn_id, unnest(ids) AS entity_id FROM fits WHERE n = 1),
+both_ways AS (SELECT settlement_id, entity_id, txn_id, invoice_id, amount, settled_date, nn, rule, rule_score FROM best UNION ALL
+  SELECT t.settlement_id, t.entity_id, t.txn_id, p.invoice_id, p.amount, p.settled_date, b.nn, 'subset_sum', CAST(0.8 AS DOUBLE) FROM taken t JOIN pay p ON t.entity_id = p.entity_id JOIN bnk b ON t.txn_id = b.txn_id)"""
+
+
+@query(O.sql("scored", "SELECT l.entity_id, l.invoice_id, l.txn_id, b.rule || '+' || l.link_rule AS rule, round(b.rule_score * l.link_score, 4) AS confidence FROM both_ways b JOIN link l ON b.entity_id = l.entity_id AND b.txn_id = l.txn_id",
+             _OPEN.replace(" WHERE rule = 'utr_amount_date'", ""), _SIZES, _BATCHED, O.LINKS.replace("{pairs}", "both_ways")))
 def reconcile_rules(spark, sf_dir):
     from ..operators import blocking
 
     s = flow.sources(spark, sf_dir)
-    best = rules.best_pairs(rules.scored(blocking.candidates(s), s))
+    best = flow.with_batched(rules.best_pairs(rules.scored(blocking.candidates(s), s)), s)
     return flow.predicted(best, rules.best_links(best, s)).select("entity_id", "invoice_id", "txn_id", F.concat_ws("+", "rule", "link_rule").alias("rule"), "confidence")
 
 
@@ -271,15 +284,15 @@ def reason_actionability(spark, sf_dir):
 
 
 # ---- calibration: a document's share of letters as a probability of its quality label
-_P = """pl AS (SELECT d.doc_id, l.quality AS y, round(CAST(length(regexp_replace(substr(d.text, 1, 500), '[^a-z]', '', 'g')) AS DOUBLE) / greatest(1, length(substr(d.text, 1, 500))), 3) AS p FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+_P = """pl AS (SELECT d.doc_id, l.quality AS y, round(CAST(length(regexp_replace(coalesce(d.text, ''), '[^a-z]', '', 'g')) AS DOUBLE) / greatest(1, length(coalesce(d.text, ''))), 3) AS p FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 _BIN = "CASE " + " ".join(f"WHEN p >= CAST({C.EDGES[k]!r} AS DOUBLE) THEN {k}" for k in range(9, -1, -1)) + " ELSE 0 END"
 _BINS = f"bins AS (SELECT bin, CAST(count(*) AS BIGINT) AS n, avg(p) AS mean_p, avg(y) AS rate, abs(avg(p) - avg(y)) AS gap FROM (SELECT *, {_BIN} AS bin FROM pl) GROUP BY bin)"
 
 
 def probabilities(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    start = F.substring("text", 1, 500)
-    p = F.round(F.length(F.regexp_replace(start, "[^a-z]", "")).cast("double") / F.greatest(F.lit(1), F.length(start)), 3)
+    text = F.coalesce("text", F.lit(""))
+    p = F.round(F.length(F.regexp_replace(text, "[^a-z]", "")).cast("double") / F.greatest(F.lit(1), F.length(text)), 3)
     return docs.join(labels, "doc_id").select("doc_id", F.col("quality").alias("y"), p.alias("p"))
 
 
@@ -299,7 +312,7 @@ ORDER BY floor_met DESC, CASE WHEN n_true / CAST(n_auto AS DOUBLE) >= 0.995 THEN
 "rows AS (SELECT p.confidence AS p, CASE WHEN t.txn_id IS NULL THEN 0 ELSE 1 END AS y FROM pred p LEFT JOIN truth t ON p.invoice_id = t.invoice_id AND p.settlement_id = t.settlement_id AND p.txn_id = t.txn_id)"))
 def operating_point(spark, sf_dir):
     rows = labelled(spark, sf_dir).select(F.col("confidence").alias("p"), F.col("label").alias("y"))
-    point = C.operating_point(rows, rows.count())
+    point = C.operating_point(rows)
     return point.withColumns({c: F.round(c, 6) for c in ("precision", "coverage")})
 
 
@@ -343,7 +356,8 @@ def choose_calibrator(spark, sf_dir):
 
 def _training(spark, sf_dir):
     truth = flow.sources(spark, sf_dir).truth.select(F.col("invoice_id").alias("link_invoice"), "settlement_id", "txn_id", F.lit(1.0).alias("label"))
-    rows = feature_rows(spark, sf_dir, True).join(truth, ["link_invoice", "settlement_id", "txn_id"], "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
+    rows = candidate_features(spark, sf_dir).join(truth, ["link_invoice", "settlement_id", "txn_id"], "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
+    # every candidate, also those that no tier fits or that lose to another
     return flow.once(spark, sf_dir, "training", lambda: C.group_split(rows, "settlement_id").select("entity_id", "settlement_id", "txn_id", "link_invoice", "label", "part", *rules.FEATURES))
 
 
@@ -359,7 +373,7 @@ def _train(spark, sf_dir):
     held = C.raw_scores(rows.where("part = 1"), model).select("raw", F.col("label").alias("y"))
     _, _, calibrator = C.choose_calibrator(held)
     last = C.calibrated(C.raw_scores(rows.where("part = 2"), model), calibrator).select("p", F.col("label").cast("int").alias("y"))
-    return (model, calibrator), C.operating_point(last, last.count())
+    return (model, calibrator), C.operating_point(last)
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import written
-from ..operators import blocking, rules
+from ..operators import blocking, rules, subsetsum
 from ..sources.batch import Sources, derived_sources
 from ..sources.fixture import raw_tables
 
@@ -52,6 +52,13 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "best-links", lambda: rules.best_links(best(spark, sf_dir), sources(spark, sf_dir)))
 
 
+def with_batched(best: DataFrame, s: Sources) -> DataFrame:
+    """The rules' pairs, and for payments that no rule settled those whose batch adds up to a credit."""
+    found = rules.joined(subsetsum.batched_pairs(s, best).withColumn("passes", F.array().cast("array<string>")), s)
+    hit = {"rule": F.lit("subset_sum"), "rule_score": F.lit(rules.SUBSET_SUM), "layer": F.lit("subset_sum"), "penalty": rules.date_penalty()}
+    return best.unionByName(found.withColumns(hit))
+
+
 def predicted(pairs: DataFrame, linked: DataFrame) -> DataFrame:
     kept = pairs.select("entity_id", "txn_id", "rule", "rule_score", "layer")
     return linked.join(kept, ["entity_id", "txn_id"]).select("invoice_id", "settlement_id", "txn_id", "entity_id", "rule", "link_rule", "layer", F.round(F.col("rule_score") * F.col("link_score"), 4).alias("confidence"))

@@ -294,39 +294,73 @@ def _features_sql(names):
 NUMERIC = [n for n in rules.FEATURES if "similarity" not in n]
 _NEAR_ANY = lambda xs: f"len(list_filter({xs}, lambda x: abs(credit - x) <= 5)) > 0"
 _TDS_LIST = "[" + ", ".join(f"amount - {O.pct('amount', r)}" for r in S.TDS_RATES) + "]"
+_SHOWN = "(icp <> '' AND contains(replace(nn, ' ', ''), icp[1:6]))"
+# every candidate with the invoice chosen for it, whose name (not the receipt's alone) decides what the narration shows
 _FEATURES = f"""
-rows AS (SELECT s.*, l.invoice_id AS link_invoice, l.link_score, l.link_rule, i.amount AS gross, i.invoice_date, coalesce(f.n, 0) AS often FROM best s LEFT JOIN link l ON s.entity_id = l.entity_id AND s.txn_id = l.txn_id
-  LEFT JOIN inv i ON l.invoice_id = i.invoice_id LEFT JOIN (SELECT counterparty, count(*) AS n FROM inv WHERE counterparty <> '' GROUP BY counterparty) f ON s.cp = f.counterparty),
+chosen AS (SELECT s.* EXCLUDE (rule, named), l.invoice_id AS link_invoice, l.link_score, l.link_rule, i.amount AS gross, i.invoice_date, coalesce(i.counterparty, '') AS icp FROM pair s LEFT JOIN link l ON s.entity_id = l.entity_id AND s.txn_id = l.txn_id
+  LEFT JOIN inv i ON l.invoice_id = i.invoice_id),
+rows AS (SELECT c.*, coalesce(f.n, 0) AS often, {_SHOWN} AS named,
+  CASE WHEN list_contains(utrs, utr) AND credit = net_amount AND abs(value_date - settled_date) <= 3 THEN 'utr_amount_date' WHEN list_contains(utrs, utr) AND credit = net_amount THEN 'utr_amount'
+       WHEN credit = net_amount AND {_SHOWN} AND abs(value_date - settled_date) <= 3 THEN 'exact_amount_counterparty' WHEN abs(credit - {O.after_fee("c.amount")}) <= 5 AND abs(value_date - settled_date) <= 3 THEN 'fee_adjusted'
+       WHEN list_contains(utrs, utr) AND abs(credit - net_amount) <= 5 THEN 'utr_amount_tolerance' WHEN list_contains(utrs, utr) THEN 'utr_only' WHEN credit = net_amount AND abs(value_date - settled_date) <= 3 THEN 'exact_amount_date' ELSE 'none' END AS rule
+  FROM chosen c LEFT JOIN (SELECT counterparty, count(*) AS n FROM inv WHERE counterparty <> '' GROUP BY counterparty) f ON c.icp = f.counterparty),
 feat AS (SELECT entity_id, txn_id, CAST(abs(credit - net_amount) AS DOUBLE) AS amount_delta_abs, CAST(credit - net_amount AS DOUBLE) / abs(CASE WHEN net_amount = 0 THEN 1 ELSE net_amount END) AS amount_delta_pct,
   CAST(credit = net_amount AS DOUBLE) AS amount_exact, CAST(abs(credit - net_amount) <= 5 AS DOUBLE) AS amount_within_tolerance, CAST(value_date - settled_date AS DOUBLE) AS date_delta_days,
   CAST(abs(value_date - settled_date) AS DOUBLE) AS date_delta_abs, CAST(abs(value_date - settled_date) <= 3 AS DOUBLE) AS date_within_window, CAST(list_contains(utrs, utr) AS DOUBLE) AS utr_in_narration,
   CAST(coalesce(list_min(list_transform(utrs, lambda u: levenshtein(u, utr))), length(utr)) AS DOUBLE) AS utr_edit_distance, CAST(named AS DOUBLE) AS counterparty_in_narration, CAST(often AS DOUBLE) AS counterparty_match_frequency,
   CAST(abs(credit - {O.after_fee("amount")}) <= 5 AS DOUBLE) AS delta_matches_fee, CAST({_NEAR_ANY(_TDS_LIST)} AS DOUBLE) AS delta_matches_tds, CAST({_NEAR_ANY(O.plausible("amount", "net_amount"))} AS DOUBLE) AS delta_matches_known_rate,
   CAST(0 AS DOUBLE) AS in_plausible_subset_sum, CAST(len(passes) AS DOUBLE) AS n_blocking_passes, CAST(credit > net_amount AS DOUBLE) AS credit_is_larger, CAST(coalesce(link_rule = 'receipt_given', false) AS DOUBLE) AS invoice_receipt_given,
-  coalesce(link_score, 0) AS invoice_link_score, CASE WHEN gross > 0 THEN CAST(amount AS DOUBLE) / gross ELSE 0 END AS invoice_amount_ratio, CAST(coalesce(settled_date - invoice_date, 999) AS DOUBLE) AS invoice_date_delta_days FROM rows)
+  coalesce(link_score, 0) AS invoice_link_score, CASE WHEN gross > 0 THEN CAST(amount AS DOUBLE) / gross ELSE 0 END AS invoice_amount_ratio, CAST(coalesce(settled_date - invoice_date, 999) AS DOUBLE) AS invoice_date_delta_days,
+  rule, coalesce(link_invoice, '') AS invoice_id, coalesce(link_rule, 'none') AS invoice_rule, array_to_string(passes, '|') AS passes, CAST(settled_date AS VARCHAR) AS settled_date FROM rows)
 """
+_ALL_LINKS = O.LINKS.replace("{pairs}", "pair")
 
 
-def feature_rows(spark, sf_dir, similarities):
-    links = flow.links(spark, sf_dir).select("entity_id", "txn_id", F.col("invoice_id").alias("link_invoice"), "link_score", "link_rule")
-    rows = flow.best(spark, sf_dir).join(links, ["entity_id", "txn_id"], "left")
-    return rules.features(rows, flow.sources(spark, sf_dir), similarities)
+def candidate_rows(spark, sf_dir, similarities):
+    """Every candidate, with the invoice that its receipt gives or its narration names best, the tier that fits (none: 'none') and features.
 
+    A tier is evidence here, not a gate. With similarities the fuzzy tier counts too. Before any assignment, no subset is known, so that
+    feature is 0.
+    """
+    s = flow.sources(spark, sf_dir)
+    pairs = flow.once(spark, sf_dir, "joined", lambda: rules.joined(flow.candidates(spark, sf_dir), s))
+    links = flow.once(spark, sf_dir, "candidate-links", lambda: rules.best_links(pairs, s)).select("entity_id", "txn_id", F.col("invoice_id").alias("link_invoice"), "link_score", "link_rule")
+    names = s.ledger.select(F.col("invoice_id").alias("link_invoice"), "counterparty")
+    rows = pairs.drop("counterparty", "name_key").join(links, ["entity_id", "txn_id"], "left").join(names, "link_invoice", "left").withColumn("counterparty", F.coalesce("counterparty", F.lit("")))
+    out = rules.features(rows, s, similarities)
+    hit = rules.rule_hit(F.col("narration_similarity") if similarities else None)
+    return out.withColumn("_hit", hit).select("*", F.coalesce("_hit.rule", F.lit("none")).alias("rule"), F.coalesce("_hit.rule_score", F.lit(0.0)).alias("rule_score")).drop("_hit")
+
+
+def candidate_features(spark, sf_dir):
+    return flow.once(spark, sf_dir, "features", lambda: candidate_rows(spark, sf_dir, True))
+
+
+def _features_out(rows, names):
+    return rows.select("entity_id", "txn_id", *[F.round(n, 6).alias(n) for n in names])
 
-@query(O.sql("links", f"SELECT entity_id, txn_id, {_features_sql(NUMERIC)} FROM feat", _FEATURES))
+
+@query(O.sql("scored", f"SELECT entity_id, txn_id, {_features_sql(NUMERIC)} FROM feat", _ALL_LINKS, _FEATURES))
 def features_numeric(spark, sf_dir):
-    return feature_rows(spark, sf_dir, False).select("entity_id", "txn_id", *[F.round(n, 6).alias(n) for n in NUMERIC])
+    return _features_out(candidate_rows(spark, sf_dir, False), NUMERIC)
 
 
 @query()
 def features_similarity(spark, sf_dir):
-    return feature_rows(spark, sf_dir, True).select("entity_id", "txn_id", "narration_similarity", "narration_partial_similarity")
+    return _features_out(candidate_features(spark, sf_dir), ["narration_similarity", "narration_partial_similarity"])
+
+
+@query()
+def export_with_similarity(spark, sf_dir):
+    """Every candidate with all 23 features and the fuzzy tier, which SQL lacks a similarity for."""
+    rows = candidate_features(spark, sf_dir)
+    return rows.select("entity_id", "settlement_id", "txn_id", F.coalesce("link_invoice", F.lit("")).alias("invoice_id"), "rule", "rule_score", *rules.FEATURES)
 
 
-@query(O.sql("links", f"SELECT f.entity_id, f.txn_id, r.rule, r.rule_score, coalesce(r.link_invoice, '') AS invoice_id, coalesce(r.link_score, 0) AS invoice_score, array_to_string(r.passes, '|') AS passes, CAST(r.settled_date AS VARCHAR) AS settled_date, {_features_sql(NUMERIC[:6])} FROM feat f JOIN rows r ON f.entity_id = r.entity_id", _FEATURES))
+@query(O.sql("scored", f"SELECT entity_id, txn_id, rule, invoice_id, invoice_rule, passes, settled_date, {_features_sql(NUMERIC)} FROM feat", _ALL_LINKS, _FEATURES))
 def export_candidates(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir, False)
-    return rows.select("entity_id", "txn_id", "rule", "rule_score", F.coalesce("link_invoice", F.lit("")).alias("invoice_id"), F.coalesce("link_score", F.lit(0.0)).alias("invoice_score"), F.array_join("passes", "|").alias("passes"), F.col("settled_date").cast("string").alias("settled_date"), *[F.round(n, 6).alias(n) for n in NUMERIC[:6]])
+    rows = candidate_rows(spark, sf_dir, False)
+    return rows.select("entity_id", "txn_id", "rule", F.coalesce("link_invoice", F.lit("")).alias("invoice_id"), F.coalesce("link_rule", F.lit("none")).alias("invoice_rule"), F.array_join("passes", "|").alias("passes"), F.col("settled_date").cast("string").alias("settled_date"), *[F.round(n, 6).alias(n) for n in NUMERIC])
 
 
 @query(O.sql("typed", f"SELECT counterparty, {BIG} AS n FROM inv WHERE counterparty <> '' GROUP BY counterparty"))
@@ -363,7 +397,7 @@ def resolved_links(spark, sf_dir):
     pairs = flow.best(spark, sf_dir)
     given = rules.given_links(pairs)
     free = rules.link_scores(pairs, flow.sources(spark, sf_dir)).select(*given.columns).join(given.select("invoice_id").distinct(), "invoice_id", "left_anti").select(*given.columns)
-    taken = matching.one_to_one(free, "entity_id", "invoice_id", [F.desc("link_score"), F.abs(F.col("link_days")), F.col("invoice_id"), F.col("entity_id")])
+    taken = matching.one_to_one(free, "entity_id", "invoice_id", [-F.col("link_score"), F.abs(F.col("link_days")), F.col("invoice_id"), F.col("entity_id")])
     return given.unionByName(taken)
 
 
@@ -377,7 +411,7 @@ def greedy_one_to_one(spark, sf_dir):
 
 
 def EDGE_ORDER():
-    return [F.desc("p"), F.col("penalty"), F.desc("rule_score"), F.desc("link_score"), F.col("entity_id"), F.col("txn_id"), F.col("invoice_id")]
+    return [-F.col("p"), F.col("penalty"), -F.col("rule_score"), -F.col("link_score"), F.col("entity_id"), F.col("txn_id"), F.col("invoice_id")]
 
 
 def probability_edges(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import scalars as S
 from ..sources.fixture import RAW
 
@@ -118,4 +120,9 @@ STEPS = {"raw": RAW.format(orders="orders", customer="customer"), "typed": TYPED
 def sql(upto: str, select: str, *more: str) -> str:
     """The steps up to one, further CTEs, and a final select."""
     names = list(STEPS)
-    return "WITH " + ",".join([*(STEPS[n] for n in names[: names.index(upto) + 1]), *more]) + "\n" + select
+    return materialized("WITH " + ",".join([*(STEPS[n] for n in names[: names.index(upto) + 1]), *more]) + "\n" + select)
+
+
+def materialized(text: str) -> str:
+    """The steps that later ones read several times are computed once."""
+    return re.sub(r"\b(inv|setl|bnk|pay|cand|pair|scored|best|named|link|pred|held|matched|evid|exc|judged) AS \(", r"\1 AS MATERIALIZED (", text)

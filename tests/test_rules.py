@@ -92,7 +92,7 @@ def test_greedy_equals_sequential(spark):
             used |= {("l", a), ("r", b)}
     draw.shuffle(edges)
     df = spark.createDataFrame(edges, "a string, b string, s int")
-    assert {tuple(r) for r in matching.one_to_one(df, "a", "b", [F.desc("s"), F.col("a"), F.col("b")]).collect()} == taken
+    assert {tuple(r) for r in matching.one_to_one(df, "a", "b", [-F.col("s"), F.col("a"), F.col("b")]).collect()} == taken
 
 
 def test_reason_precedence(spark):
