@@ -7,7 +7,8 @@ terms' largest impacts could reach the threshold, then block-max WAND returns ev
 is verified: share of the item's five-word shingles found in the whole document, for the question (all but the last sentence) and the
 answer (the last sentence); items of one sentence are all question.
 
-The index is built in blocks of at most MAX_INDEX_BYTES of item text, so what executors hold is bounded; more items mean more passes.
+The index is built in blocks of about MAX_INDEX_BYTES of item text; more items mean more passes, with the table written between them, so a
+worker holds one block's index at a time. Where several blocks exist, items are dealt by hash and statistics are a block's own.
 
 Defined results: null or empty texts leak nothing; null or wordless items are passed over; repeated documents are judged each for itself;
 repeated items are reported by each of their ids; a column named `leaks` is replaced.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import append_columns, written
 
 SEGMENT, SHINGLE, POSTING_BLOCK = 64, 5, 32
 MAX_INDEX_BYTES = 16 << 20
@@ -55,8 +56,9 @@ class Index:
             answer = words_of(parts[-1]) if len(parts) > 1 else []
             self.items[item_id] = (shingles(words[: len(words) - len(answer)]), shingles(answer), shingles(words))
             for i in range(0, len(words), SEGMENT):
-                if i == 0 or len(words) - i >= SEGMENT // 2:
-                    segments.append((item_id, Counter(self.terms(words[i : i + SEGMENT]))))
+                # a short rest becomes the item's last SEGMENT words, so no word is left out
+                start = i if i == 0 or len(words) - i >= SEGMENT // 2 else len(words) - SEGMENT
+                segments.append((item_id, Counter(self.terms(words[start : start + SEGMENT]))))
         self.owner = [s[0] for s in segments]
         df = Counter(t for _, s in segments for t in s)
         mean = sum(sum(s.values()) for _, s in segments) / max(1, len(segments))
@@ -203,6 +205,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", threshold:
             return columns_of
 
         out = append_columns(out, make, [T.StructField(f"_leaks{block}", LEAKS)])
+        if block + 1 < blocks:
+            out = written(out, "leaks")
     names = [f"_leaks{b}" for b in range(blocks)]
     return out.withColumn("leaks", F.concat(*names)).drop(*names)
 

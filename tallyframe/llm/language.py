@@ -4,8 +4,8 @@ Every document is a mixture of languages. A word's likelihood under a language i
 byte trigrams; expectation-maximisation over the words gives the document's language proportions, and the set of languages
 is the one with the best penalised likelihood among the nested sets of the largest proportions.
 
-Training counts trigrams over all given rows (per task, then summed per language and block). The model is a table of fixed
-size: BUCKETS trigram buckets times the number of languages, at most MAX_LANGUAGES.
+Training counts trigrams over all given rows: each task sums its own, Spark sums them by language and bucket. The model is a table of BUCKETS
+trigram buckets for each language.
 
 Defined results: null text, or text without a letter, gives lang `und`, score 0 and an empty mixture. An empty training table
 gives a model without languages, under which everything is `und`. Ties go to the language that sorts first. Repeated rows are
@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 
 from .common import append_columns
 
-BUCKETS, BLOCK, MAX_LANGUAGES = 1 << 16, 1 << 12, 256
-#: Bytes of text handled at once.
-CHUNK = 1 << 20
+BUCKETS = 1 << 16
+#: Bytes of text handled at once, cut between words; languages that a task holds counts of before it hands them on.
+CHUNK, HELD = 1 << 20, 64
 
 
 def trigram_buckets(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,8 +41,15 @@ def trigram_buckets(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pieces(raw: bytes):
-    for i in range(0, len(raw), CHUNK):
-        yield raw[i : i + CHUNK]
+    """Stretches of about CHUNK bytes that end before a space or line feed."""
+    i = 0
+    while i < len(raw):
+        j = i + CHUNK
+        if j < len(raw):
+            ends = [x for x in (raw.find(b" ", j), raw.find(b"\n", j)) if x >= 0]
+            j = min(ends) if ends else len(raw)
+        yield raw[i:j]
+        i = j
 
 
 @dataclass(frozen=True)
@@ -58,33 +65,29 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", smoothing:
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
+
+        def rows():
+            places = {k: np.flatnonzero(v) for k, v in sums.items()}
+            langs = pa.array([k for k, at in places.items() for _ in range(len(at))], pa.string())
+            bucket, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (places.values(), [sums[k][at] for k, at in places.items()]))
+            sums.clear()
+            return pa.RecordBatch.from_arrays([langs, pa.array(bucket.astype(np.int32)), pa.array(n)], names=["lang", "bucket", "n"])
+
         for batch in batches:
             for t, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if own not in sums:
-                    if len(sums) >= MAX_LANGUAGES:
-                        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+                    if len(sums) >= HELD:
+                        yield rows()
                     sums[own] = np.zeros(BUCKETS, np.int64)
                 for piece in _pieces(t.lower().encode("utf-8", "replace")):
                     sums[own] += np.bincount(trigram_buckets(piece)[0], minlength=BUCKETS)
-        rows = [(k, i, v[i * BLOCK : (i + 1) * BLOCK].tobytes()) for k, v in sums.items() for i in range(BUCKETS // BLOCK)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["lang", "block", "counts"])
-
-    def total(frame):
-        first = frame.iloc[0]
-        out = frame.iloc[:1].copy()
-        out["counts"] = [np.sum([np.frombuffer(x, np.int64) for x in frame["counts"]], axis=0).tobytes()]
-        assert first["lang"] is not None
-        return out
-
-    shape = "lang string, block int, counts binary"
-    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null").mapInArrow(count, shape).groupBy("lang", "block").applyInPandas(total, shape)
-    got = rows.collect()  # BUCKETS counts a language
-    languages = sorted({r["lang"] for r in got})
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        yield rows()
+
+    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
+    got = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows a language at most
+    languages = sorted(set(got["lang"]))
     counts = np.zeros((BUCKETS, len(languages)))
-    for r in got:
-        counts[r["block"] * BLOCK : (r["block"] + 1) * BLOCK, languages.index(r["lang"])] = np.frombuffer(bytes(r["counts"]), np.int64)
+    counts[got["bucket"].to_numpy(np.int64), np.searchsorted(languages, got["lang"].to_numpy(str)) if languages else np.zeros(0, np.int64)] = got["n"].to_numpy(np.float64)
     table = np.log((counts + smoothing) / (counts.sum(axis=0) + smoothing * BUCKETS)).astype(np.float32)
     return LanguageModel(tuple(languages), table)
 

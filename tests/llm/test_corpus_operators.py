@@ -108,7 +108,7 @@ def test_shards(spark, tmp_path):
     assert all(r["size"] == len((r["text"] or "").encode()) + 8 for r in got)
     assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["slot"], r["shard"]))] != sorted(r["doc_id"] or -1 for r in got)
     assert sorted(map(str, got)) == sorted(map(str, sharding.two_pass_shuffle(docs, 24, bucket_bytes=2000).collect()))
-    sharding.write_shards(placed, f"{tmp_path}/shards", 24)
+    sharding.write_shards(placed, f"{tmp_path}/shards")
     assert spark.read.parquet(f"{tmp_path}/shards").count() == len(rows)
     assert sharding.two_pass_shuffle(docs.limit(0), 24).count() == 0
 
