@@ -22,7 +22,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         heard = labels.join(seen, labels["node"] == seen["u"], "left").select("node", "label", F.least("label", "near").alias("new"))
         hooks = heard.where("new < label").groupBy(F.col("label").alias("h")).agg(F.min("new").alias("hook"))
         merged = heard.join(hooks, F.col("node") == F.col("h"), "left").select("node", "label", F.least("new", "hook").alias("new"))
-        merged = written(merged, "labels")
         roots = merged.select(F.col("node").alias("r"), F.col("new").alias("jump"))
         jumped = written(merged.join(roots, F.col("new") == F.col("r"), "left").select("node", F.col("label").alias("old"), F.least("new", "jump").alias("label")), "labels")
         changed = jumped.where("label <> old").limit(1).count()

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import MIX_A, WordHasher, grouped, mixed, offsets_of, sliced, written
 from .components import components, contracted
 
-HOT, HEAD, FEW, HUB_ROUNDS, BLOCK_ROWS = 32, 1 << 20, 8, 6, 256
+HOT, HEAD, FEW, HUB_ROUNDS, BLOCK_ROWS = 32, 1 << 20, 8, 3, 256
 #: Kinds of buckets: pairs of groups, shingles, groups.
 CROSSED, TOKEN, GROUP = 0, 1, 2
 #: 64-bit words of a set's bitmap.
@@ -289,11 +289,18 @@ def _sent_or_shuffled(rows: DataFrame, text: str | None = None) -> DataFrame:
     return F.broadcast(rows) if size + (16 + 8 * MAP_WORDS) * n <= MOST_TEXT else rows
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, maps: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: bounded by their bitmaps first, then compared in full. Many pairs may share an a.
+def _bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their bitmaps allow. maps: doc_id, n, bits."""
+    x, y = (maps.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").where(_could_link(*map(F.col, ("n_a", "bits_a", "n_b", "bits_b")), percent)).select("a", "b")
 
-    maps: doc_id, n, bits.
-    """
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, int]:
+    """The pairs (a, b) whose sets are similar enough, compared in full, and their number. Many pairs may share an a."""
+    pairs = written(pairs.where("a <> b").distinct(), "pairs")
+    asked = pairs.count()
+    if not asked:
+        return pairs, 0
 
     def run(batches):
         hasher = WordHasher()
@@ -312,17 +319,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, maps: DataFrame, width: int, pe
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    def side(table: DataFrame, of: DataFrame, k: str, *columns: str) -> DataFrame:
-        """The rows of table that stand at one end of pairs, under that end's names."""
-        rows = written(_texts_of(table, of.select(F.col(k).alias("doc_id")).distinct()), "side")
-        return rows.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns])
-
-    pairs = written(pairs.where("a <> b").distinct(), "pairs")
-    x, y = side(maps, pairs, "a", "n", "bits"), side(maps, pairs, "b", "n", "bits")
-    met = pairs.join(y, "b").join(_sent_or_shuffled(x), "a").where(_could_link(*map(F.col, ("n_a", "bits_a", "n_b", "bits_b")), percent))
-    open_pairs = written(met.select("a", "b"), "open-pairs")
-    x, y = side(docs, open_pairs, "a", "text"), side(docs, open_pairs, "b", "text")
-    return open_pairs.join(y, "b").join(_sent_or_shuffled(x, "text_a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    few = asked <= MOST_SENT
+    hubs = pairs.select(F.col("a").alias("doc_id")).distinct()
+    x = written(docs.join(F.broadcast(hubs) if few else hubs, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "hub-texts")
+    y = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).join(F.broadcast(pairs) if few else pairs, "b")
+    found = written(y.join(_sent_or_shuffled(x, "text_a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "verified")
+    return found, found.count()
 
 
 def most_partner(n, place, percent: int):
@@ -393,16 +395,17 @@ def similar_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[D
     members_of = in_buckets.select(F.xxhash64("kind", "key", "size_class").alias("bucket"), "doc_id", "n", partner)
     buckets = written(members_of.join(maps.select("doc_id", "bits"), "doc_id").select(*PART), "buckets")
 
-    def check(found: DataFrame) -> DataFrame:
-        return written(_verified(found, docs, maps, width, percent), "verified")
+    def check(found: DataFrame) -> tuple[DataFrame, int]:
+        return _verified(found, docs, width, percent)
 
-    links = check(direct)
+    links, _ = check(_bounded(direct, maps, percent))
     labels = components(links)
     buckets, more, labels = _by_hubs(buckets, labels, check, percent, HUB_ROUNDS)
     links = reduce(DataFrame.unionByName, more, links)
     if buckets is not None:
-        new = check(_in_blocks(_labelled(buckets, labels), percent))
-        links, labels = links.unionByName(new), contracted(labels, new)
+        new, n_new = check(_in_blocks(buckets, percent))
+        if n_new:
+            links, labels = links.unionByName(new), contracted(labels, new)
     return members, links, labels
 
 
@@ -415,35 +418,34 @@ def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _by_hubs(buckets: DataFrame, labels: DataFrame, check, percent: int, rounds: int) -> tuple[DataFrame | None, list[DataFrame], DataFrame]:
-    """The buckets (with PART) that still hold several components after rounds of hubs (None: no such), the links found, and labels.
+    """The buckets (with PART, label) that still hold several components after rounds of hubs (None: no such), the links found, and labels.
 
     Rounds end early when none of their comparisons links.
     """
     links: list[DataFrame] = []
+    columns = buckets.columns
     for turn in range(rounds + 1):
-        at = written(_labelled(buckets, labels), "labelled")
+        buckets = written(_labelled(buckets.select(*columns), labels), "buckets")
         narrow = F.col("partner") < F.col("n")
-        own = at.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.min(F.struct(narrow.alias("narrow"), F.xxhash64("doc_id", F.lit(turn)).alias("h"), *PART[1:])).alias("one"))
+        own = buckets.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.min(F.struct(narrow.alias("narrow"), F.xxhash64("doc_id", F.lit(turn)).alias("h"), *PART[1:])).alias("one"))
         top = F.max(F.struct(~F.col("one.narrow"), "m", F.xxhash64("label", F.lit(turn)).alias("h"), "label", "one")).alias("top")
         tops = own.groupBy("bucket").agg(F.count("*").alias("k"), top).where("k > 1 and not top.one.narrow")
         tops = written(tops.select("bucket", F.col("top.label").alias("hub_label"), *[F.col(f"top.one.{c}").alias(f"hub_{c}") for c in PART[1:]]), "hubs")
-        n = tops.limit(MOST_SENT + 1).count()
+        n = tops.count()
         if not n:
             return None, links, labels
-        met = at.join(F.broadcast(tops) if n <= MOST_SENT else tops, "bucket")
-        buckets = written(met.select(*buckets.columns), "buckets")  # only those that hold several components
+        met = buckets.join(F.broadcast(tops) if n <= MOST_SENT // 8 else tops, "bucket")  # only those that hold several components
+        buckets = met.select(*columns, "label")
         if turn == rounds:
             break
         near = met.where((F.col("label") != F.col("hub_label")) & _fits(*map(F.col, ("n", "partner", "bits", "hub_n", "hub_partner", "hub_bits")), percent))
         shared = near.groupBy("doc_id", "hub_doc_id").agg(F.count("*").alias("m"))
         best = shared.groupBy("doc_id").agg(F.max(F.struct("m", F.xxhash64("hub_doc_id", F.lit(turn)).alias("h"), "hub_doc_id")).alias("top"))
-        asked = written(best.select(F.col("top.hub_doc_id").alias("a"), F.col("doc_id").alias("b")), "asked")
-        new = check(asked)
-        n_new = new.count()
+        new, n_new = check(best.select(F.col("top.hub_doc_id").alias("a"), F.col("doc_id").alias("b")))
         if n_new:
             links.append(new)
             labels = contracted(labels, new)
-        if not n_new:
+        else:
             rounds = min(rounds, turn + 1)
     return buckets, links, labels
 
