@@ -22,8 +22,8 @@ from .common import fresh_path
 
 #: Buckets whose offsets are summed in one group; one more level sums the groups.
 GROUP = 4096
-#: Bytes of records that a partition of the scatter holds.
-PART_BYTES = 16 << 20
+#: Bucket counts up to this number have their offsets broadcast; beyond it the join shuffles.
+MOST_SENT = 1 << 20
 
 
 def _offsets(counts: DataFrame) -> DataFrame:
@@ -39,20 +39,18 @@ def _offsets(counts: DataFrame) -> DataFrame:
     return grouped.withColumn("_inner", inner).join(tops, "_group").select("_bucket", (F.col("_base") + F.col("_inner")).alias("_offset"))
 
 
-def two_pass_shuffle(docs: DataFrame, shards: int, seed: int = 20240607, text: str = "text", doc_id: str = "doc_id", bucket_bytes: int = 4 << 20, salt: Column | None = None) -> DataFrame:
+def two_pass_shuffle(docs: DataFrame, shards: int, seed: int = 20240607, text: str = "text", doc_id: str = "doc_id", bucket_bytes: int = 16 << 20, salt: Column | None = None) -> DataFrame:
     """All rows of docs with size, shard (0 to shards - 1) and slot (0, 1, ... in each shard)."""
     docs = docs.drop("size", "shard", "slot")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
     total, n = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
     buckets = max(1, -(-total // bucket_bytes))
-    parts = max(1, min(buckets, -(-total // PART_BYTES)))
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text), F.lit(0) if salt is None else salt), F.lit(buckets))
-    part = F.floor(F.col("_bucket") * parts / buckets)  # buckets that follow each other
     offsets = _offsets(docs.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("_n")))
     scattered = docs.select(bucket.alias("_bucket"), F.struct(F.xxhash64(F.lit(seed + 1), F.col(doc_id), F.col(text)).alias("h"), F.struct(*docs.columns).alias("row")).alias("_item"))
-    gathered = scattered.withColumn("_part", part).repartition(parts, "_part").groupBy("_part", "_bucket").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
+    gathered = scattered.repartition(buckets, "_bucket").groupBy("_bucket").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
     shuffled = gathered.sortWithinPartitions("_bucket").select("_bucket", F.shuffle("_items", seed).alias("_items"))
-    placed = shuffled.join(offsets, "_bucket").select((F.col("_offset")).alias("_offset"), F.posexplode("_items").alias("_pos", "_item"))
+    placed = shuffled.join(F.broadcast(offsets) if buckets <= MOST_SENT else offsets, "_bucket").select("_offset", F.posexplode("_items").alias("_pos", "_item"))
     at = F.col("_offset") + F.col("_pos")
     shard = F.floor(((at + 1) * shards - 1) / max(1, n))
     out = placed.select("_item.row.*", at.alias("_at"), shard.cast("int").alias("shard"))

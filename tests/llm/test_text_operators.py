@@ -92,9 +92,33 @@ def test_fingerprint_is_a_multiset_hash(spark, odd):
     assert len({*by_text.values()}) == len(by_text)
 
 
-@pytest.mark.parametrize("ids", [[5], [1, 2, 3], [10, 1000, 7, 123456789, 8], list(range(0, 3000, 3))])
+def test_likeness_of_long_repetitive_texts():
+    hasher = WordHasher()
+    a, b, c = (multiset_hash.vectors(["the cat sat " * n], hasher) for n in (60_000, 30_000, 9_000))
+    assert multiset_hash.likeness(a, b)[0] > 0.99 and multiset_hash.likeness(a, c)[0] > 0.99
+    for v in (a, b, c):
+        assert (multiset_hash.lanes_of(multiset_hash.written_out(v[0])) == v[0]).all()
+
+
+def test_next_with_null_and_repeated_ids(spark, monkeypatch):
+    """One cycle over all rows, ids falling, null ids last, though blocks are small and one id and null hold most rows."""
+    monkeypatch.setattr(multiset_hash, "BLOCK_BYTES", 8)
+    rows = [(7, f"a{i}") for i in range(20)] + [(None, f"b{i}") for i in range(15)] + [(i, f"c{i}") for i in (1, 2, 9, 1 << 40)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("next_text", F.lit("clash"))
+    got = multiset_hash.with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"]).collect()
+    ids, follows = {r["text"]: r["doc_id"] for r in got}, {r["text"]: r["next_text"] for r in got}
+    assert len(got) == len(rows) and sorted(follows.values()) == sorted(follows)
+    at, seen = f"c{1 << 40}", []
+    while at not in seen:
+        seen.append(at)
+        at = follows[at]
+    assert len(seen) == len(rows) and [ids[t] for t in seen] == sorted((r[0] for r in rows), key=lambda i: (i is None, -(i or 0)))
+    assert multiset_hash.with_next(docs.limit(0), ["text"]).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[5], [10, 1000, 7, 123456789, 8], list(range(0, 600, 3))])
 def test_next_in_descending_order(spark, ids, monkeypatch):
-    monkeypatch.setattr(multiset_hash, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(multiset_hash, "BLOCK_BYTES", 8)
     docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
     got = {r["doc_id"]: r["next_text"] for r in multiset_hash.with_next(docs, ["text"]).collect()}
     order = sorted(ids, reverse=True)
