@@ -23,10 +23,8 @@ from .common import written
 KINDS = ("email", "ip", "card", "phone", "term")
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-#: Whole runs of 16 to 19 digits, as no other can be a card: a run starts where no digit (and separator) stands before.
-CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
-#: Matches of a text whose places are summed in one group; one more level sums the groups.
-GROUP = 128
+#: Whole runs of 16 to 19 digits, as no other can be a card: a run's first digit has no digit (and separator) before it.
+CARD = r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 #: Tables up to this number of rows are broadcast; beyond it joins shuffle.
@@ -41,37 +39,23 @@ def _terms(piece: Column) -> Column:
     return F.regexp_extract_all(piece, F.lit(r"\p{L}{4,}"), F.lit(0))
 
 
-def _let(value: Column, body) -> Column:
-    """body of a value that is evaluated once, though lambdas inside read it often."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _spans(text: Column, kind: str, pattern: Column) -> Column:
-    """Spans of all matches: what lies between them (split) and the matches themselves give their places, summed in groups of GROUP."""
-    empty = F.array().cast("array<struct<start:bigint,value:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["between"])
-        return F.struct((start + F.char_length(x["found"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["found"].alias("value")))).alias("out"))
-
-    def group(rows: Column) -> Column:
-        return F.aggregate(rows, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step)
+    """Spans of all matches: what lies between them (split) and the matches themselves give their places."""
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    between = F.split(text, pattern, -1)
 
-    def joined(acc: Column, part: Column) -> Column:
-        moved = F.transform(part["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["value"].alias("value")))
-        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+    def step(acc: Column, i: Column) -> Column:
+        start = acc["at"] + F.char_length(F.get(acc["between"], i))
+        value = F.get(acc["found"], i)
+        return F.struct(acc["between"].alias("between"), acc["found"].alias("found"), (start + F.char_length(value)).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), value.alias("value")))).alias("out"))
 
-    def placed(rows: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / GROUP).cast("int")), lambda k: group(F.slice(rows, k * GROUP + 1, GROUP)))
-        first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<array<struct<start:bigint,value:string>>>").alias("out"))
-        return F.aggregate(cut, first, joined, lambda acc: F.flatten(acc["out"]))
+    first = F.struct(between.alias("between"), found.alias("found"), F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
+    steps = F.sequence(F.lit(0), F.size(found) - 1)
 
-    def named(spans: Column) -> Column:
-        return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), (s["start"] + F.char_length(s["value"])).alias("end"), s["value"].alias("value")))
+    def finish(acc: Column) -> Column:
+        return F.transform(acc["out"], lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].cast("long").alias("start"), (s["start"] + F.char_length(s["value"])).cast("long").alias("end"), s["value"].alias("value")))
 
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("between"), found.alias("found"))
-    return _let(pairs, lambda rows: F.when(F.size(rows) > 1, named(placed(F.slice(rows, 1, F.size(rows) - 1)))).otherwise(_no_spans()))
+    return F.when(F.size(found) > 0, F.aggregate(steps, first, step, finish)).otherwise(_no_spans())
 
 
 def _digits(value: Column) -> Column:
