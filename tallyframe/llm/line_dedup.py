@@ -2,7 +2,8 @@
 
 Each batch of documents adds one run: the hashes of its distinct line keys with the number of its documents that hold them, sorted.
 When a level holds `fanout` runs they are merged into one run of the next level. Lines whose key stands in at least `min_docs`
-documents over all runs are dropped by an anti-join of a batch's lines with the merged runs.
+documents over all runs are dropped: rows meet the keys of such lines in one join. Batches are counted alone; no batch is anti-joined with earlier runs,
+since keys that are known must go on counting.
 
 With `keep_first` a repeated line stays in the document of the smallest id that holds it and is dropped from the others, so that a group of
 copies keeps its text once.
