@@ -62,7 +62,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("near_duplicates", near_stage), ("decontamination", leak_stage), ("byte_bpe", token_stage)]
-#: SQL cannot express the mixture model, the BM25 search or the merges; tests hold the stages against brute force.
+#: SQL cannot express the mixture model, the BM25 search or the merges; tests hold the operators, not the stages, against brute force.
 ORACLE_SQL = None
 
 
