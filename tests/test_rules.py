@@ -114,9 +114,9 @@ def test_empty_scores_are_perfect(spark):
 def test_bins_and_point(spark):
     df = spark.createDataFrame([(0.3, 0), (0.30000000000000004, 1), (1.0, 1), (0.0, 0)], "p double, y int")
     assert sorted(r["bin"] for r in df.select(calibration.bin_of(F.col("p")).alias("bin")).collect()) == [0, 2, 3, 9]
-    point = calibration.operating_point(spark.createDataFrame([(0.9, 1), (0.8, 1), (0.7, 0), (0.6, 1)], "p double, y int"), 4).first()
+    point = calibration.operating_point(spark.createDataFrame([(0.9, 1), (0.8, 1), (0.7, 0), (0.6, 1)], "p double, y int")).first()
     assert point["threshold"] == 0.8 and point["floor_met"]
-    miss = calibration.operating_point(spark.createDataFrame([(0.9, 0), (0.8, 1), (0.7, 1)], "p double, y int"), 3).first()
+    miss = calibration.operating_point(spark.createDataFrame([(0.9, 0), (0.8, 1), (0.7, 1)], "p double, y int")).first()
     assert miss["threshold"] == 0.7 and not miss["floor_met"]
 
 
