@@ -1,6 +1,7 @@
 """Prefix join, sharding, HTML extraction, license scans, line dedup and private data against brute force and on odd rows."""
 
 import hashlib
+import importlib
 import random
 import re
 import zlib
@@ -88,7 +89,9 @@ def test_repeated_and_null_ids(spark):
     assert prefix_join.near_groups(spark.createDataFrame([], DOC)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most_sent", [0, 1 << 18])
+def test_components(spark, monkeypatch, most_sent):
+    monkeypatch.setattr(importlib.import_module("tallyframe.llm.components"), "MOST_SENT", most_sent)
     links = [(5, 4), (4, 3), (3, 9), (20, 21), (7, 8), (8, 7), (30, 31), (31, 32), (32, 33), (33, 34), (34, 1)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {3: 3, 4: 3, 5: 3, 9: 3, 20: 20, 21: 20, 7: 7, 8: 7, 30: 1, 31: 1, 32: 1, 33: 1, 34: 1, 1: 1}
