@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,6 +128,44 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     return append_columns(docs, make, [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def encoded(text: Column, ranks: dict[bytes, int], pattern: str, buckets: int = 1 << 16) -> Column:
+    """The ids by higher-order functions alone: each word that is no token folds its bytes, one ranked merge a step, by a literal array of hash
+    buckets of ranks (buckets is a power of two). A word of n bytes takes n * n lookups, so `encode` is the form for long texts."""
+    held: list[list[dict]] = [[] for _ in range(buckets)]
+    for token, rank in ranks.items():
+        held[xxhash.xxh64(token, seed=42).intdigest() % buckets].append({"k": base64.b64encode(token).decode(), "r": rank})
+    table = F.from_json(F.lit(json.dumps(held)), "array<array<struct<k:binary,r:int>>>")  # a literal, folded to one array
+
+    def rank_of(piece: Column) -> Column:
+        bucket = F.get(table, F.pmod(F.xxhash64(piece), F.lit(buckets)).cast("int"))
+        return F.get(F.transform(F.filter(bucket, lambda e: e["k"] == piece), lambda e: e["r"]), F.lit(0))
+
+    def step(parts: Column, _: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda j: _let(F.concat(F.get(parts, j), F.get(parts, j + 1)), rank_of))
+
+        def joined(p: Column) -> Column:
+            whole = F.array(F.concat(F.get(parts, p - 1), F.get(parts, p)))
+            return F.when(p.isNull(), parts).otherwise(F.concat(F.slice(parts, F.lit(1), p - 1), whole, F.slice(parts, p + 2, F.size(parts))))
+
+        lowest = _let(pairs, lambda r: _let(F.array_position(r, F.array_min(r)).cast("int"), joined))
+        return F.when(F.size(parts) < 2, parts).otherwise(lowest)
+
+    def folded(word: Column) -> Column:
+        places = F.sequence(F.lit(1), F.octet_length(word))
+        return F.transform(F.aggregate(places, F.transform(places, lambda i: F.substring(word, i, F.lit(1))), step), rank_of)
+
+    def ids_of(word: Column) -> Column:
+        return _let(word.cast("binary"), lambda w: _let(rank_of(w), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded(w))))
+
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
+    return F.flatten(F.transform(words, ids_of))
+
+
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     """Binary column: the bytes of the ids, one after another."""
     pieces = [""] * (max(ranks.values()) + 1)

@@ -68,6 +68,17 @@ def test_bpe_equals_library(spark, odd, ranks):
     assert byte_bpe.encode(odd.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_by_higher_order_functions(spark, odd, ranks):
+    import public_tokenizers
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    extra = [(20, "x" * 60), (21, "it's we'll  two\u00a0spaces \r\n end "), (22, "<|endoftext|> ok"), (23, "!?" * 20 + "漢" * 9 + "\U0001f600 e\u0301")]
+    rows = odd.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    for r in rows.withColumn("ids", byte_bpe.encoded(F.col("text"), ranks, public_tokenizers.PATTERN)).collect():
+        assert r["ids"] == library.encode_ordinary(r["text"] or "")
+
+
 def test_bpe_table_is_bounded(tmp_path, monkeypatch):
     (tmp_path / "t").write_bytes(b"YQ== 0\nYg== 1\n")
     assert byte_bpe.load_ranks(str(tmp_path / "t")) == {b"a": 0, b"b": 1}
