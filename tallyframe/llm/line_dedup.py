@@ -1,9 +1,10 @@
 """Line dedup with levelled sorted runs (built-in functions only).
 
 Each batch of documents adds one run: the hashes of its distinct line keys with the number of its documents that hold them, sorted.
-When a level holds `fanout` runs they are merged into one run of the next level. Lines whose key stands in at least `min_docs`
-documents over all runs are dropped: rows meet the keys of such lines in one join. Batches are counted alone; no batch is anti-joined with earlier runs,
-since keys that are known must go on counting.
+Before it is written it is merge-anti-joined with the earlier runs: keys that `min_docs` documents of one run hold are settled and
+are not added again (unless the batch has an earlier first document for them). When a level holds `fanout` runs they are merged into one run of the
+next level. Lines whose key stands in at least `min_docs` documents over all runs are dropped: rows meet the keys of such lines in one join.
+Counts are exact below min_docs, and at least min_docs beyond.
 
 With `keep_first` a repeated line stays in the document of the smallest id that holds it and is dropped from the others, so that a group of
 copies keeps its text once.
@@ -61,8 +62,8 @@ def _key_rows(docs: DataFrame, text: str, doc_id: str | None = None) -> DataFram
 class LineRuns:
     """Levels of sorted runs in the shared folder: key (h, g), documents n, smallest id of those."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+    def __init__(self, spark: SparkSession, fanout: int = 4, min_docs: int = 10):
+        self.spark, self.fanout, self.min_docs, self.levels = spark, fanout, min_docs, [[]]
 
     def _write(self, counted: DataFrame) -> DataFrame:
         path = fresh_path(self.spark, "line-run")
@@ -70,7 +71,8 @@ class LineRuns:
         return self.spark.read.schema(RUN).parquet(path)
 
     def add(self, docs: DataFrame, text: str = "text", doc_id: str | None = None) -> None:
-        self.levels[0].append(self._write(_key_rows(docs, text, doc_id).groupBy("h", "g").agg(F.count("*").alias("n"), F.min("d").alias("first"))))
+        found = _key_rows(docs, text, doc_id).groupBy("h", "g").agg(F.count("*").alias("n"), F.min("d").alias("first"))
+        self.levels[0].append(self._write(self._unsettled(found)))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
@@ -79,16 +81,29 @@ class LineRuns:
             self.levels[level] = []
             level += 1
 
+    def _runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
+    def _unsettled(self, found: DataFrame) -> DataFrame:
+        """A batch's keys without those that a run has settled, by a merge of both sorted sides."""
+        runs = self._runs()
+        if not runs:
+            return found
+        settled = reduce(DataFrame.unionByName, runs).where(F.col("n") >= self.min_docs).select("h", "g", F.col("first").alias("_first")).alias("s")
+        new = found.alias("f")
+        known = (F.col("f.h") == F.col("s.h")) & (F.col("f.g") == F.col("s.g")) & (F.col("s._first") <= F.col("f.first"))
+        return new.join(settled.hint("merge"), known, "left_anti")
+
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, runs).groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
-    def repeated(self, min_docs: int) -> DataFrame:
-        runs = [r for level in self.levels for r in level]
+    def repeated(self) -> DataFrame:
+        runs = self._runs()
         if not runs:
             return self.spark.createDataFrame([], RUN).drop("n")
         merged = runs[0] if len(runs) == 1 else self._merged(runs)
-        return merged.where(F.col("n") >= min_docs).select("h", "g", "first")
+        return merged.where(F.col("n") >= self.min_docs).select("h", "g", "first")
 
 
 def drop_lines(docs: DataFrame, repeated: DataFrame, text: str = "text", keep_first: str | None = None) -> DataFrame:
@@ -111,9 +126,9 @@ def drop_lines(docs: DataFrame, repeated: DataFrame, text: str = "text", keep_fi
 
 def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, keep_first: str | None = None) -> DataFrame:
     """The whole of docs as one batch."""
-    runs = LineRuns(docs.sparkSession)
+    runs = LineRuns(docs.sparkSession, min_docs=min_docs)
     runs.add(docs, text, keep_first)
-    return drop_lines(docs, runs.repeated(min_docs), text, keep_first)
+    return drop_lines(docs, runs.repeated(), text, keep_first)
 
 
 def op8_line_dedup(spark, sf_dir: str, batches: int = 4) -> DataFrame:
@@ -121,7 +136,7 @@ def op8_line_dedup(spark, sf_dir: str, batches: int = 4) -> DataFrame:
     files, runs = sorted(docs.inputFiles()), LineRuns(spark)
     for i in range(min(batches, len(files))):  # a batch is a share of the files, so the table is read once
         runs.add(spark.read.schema(docs.schema).parquet(*files[i :: min(batches, len(files))]))
-    found = drop_lines(docs, runs.repeated(10))
+    found = drop_lines(docs, runs.repeated())
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 

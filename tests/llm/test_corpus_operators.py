@@ -146,10 +146,23 @@ def test_lines_equal_brute_force(spark):
     for part in range(5):
         runs.add(spark.createDataFrame(rows[part::5], DOC))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.drop_lines(docs, runs.repeated(10)).collect()) == got
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.drop_lines(docs, runs.repeated()).collect()) == got
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_settled_keys_are_not_added_again(spark):
+    batches = [[(i, f"shared\nrare\nown {i}" if i % 5 == 0 else "shared") for i in range(k, k + 12)] for k in (100, 0, 200, 300)]
+    docs = spark.createDataFrame([r for b in batches for r in b], DOC)
+    runs = line_dedup.LineRuns(spark, fanout=8)
+    for b in batches:
+        runs.add(spark.createDataFrame(b, DOC), doc_id="doc_id")
+    sizes = [{r["first"]: r["n"] for r in run.where("n > 9").collect()} for run in runs.levels[0]]
+    assert sizes == [{100: 12}, {0: 12}, {}, {}]  # an earlier first document comes in, later ones don't
+    got = {r["doc_id"]: r["kept"] for r in line_dedup.drop_lines(docs, runs.repeated(), keep_first="doc_id").collect()}
+    alone = {r["doc_id"]: r["kept"] for r in line_dedup.dedup_lines(docs, keep_first="doc_id").collect()}
+    assert got == alone and got[0].startswith("shared") and not got[100].startswith("shared")
+
+
 def test_first_document_keeps_its_lines(spark):
     rows = [(i, f"shared line\nown {i}") for i in range(12, 0, -1)] + [(None, "shared line"), (50, "shared line")]
     got = {r["doc_id"]: r["kept"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOC), keep_first="doc_id").collect()}
