@@ -42,10 +42,13 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    """Struct (h, g) of hashes; null for an empty key."""
-    key = ascii_lower(F.btrim(line, F.lit(BLANKS)))
-    return F.when(key != "", F.struct(F.xxhash64(key).alias("h"), F.hash(key).alias("g")))
+def line_keys(text: Column) -> Column:
+    """The key of each line; the text is put in lower case as a whole, and only the stripping goes line by line."""
+    return F.transform(lines_of(ascii_lower(F.coalesce(text, F.lit("")))), lambda x: F.btrim(x, F.lit(BLANKS)))
+
+
+def key_hash(key: Column) -> list[Column]:
+    return [F.xxhash64(key).alias("h"), F.hash(key).alias("g")]
 
 
 def _text_hash(text: Column) -> Column:
@@ -54,9 +57,9 @@ def _text_hash(text: Column) -> Column:
 
 def _key_rows(docs: DataFrame, text: str, doc_id: str | None = None) -> DataFrame:
     """A row for each document and distinct key: text hash t, id d, key (h, g)."""
-    keys = F.array_distinct(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: k.isNotNull()))
+    keys = F.array_distinct(line_keys(F.col(text)))  # of strings, which Spark finds by a hash set
     own = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) if doc_id else F.lit(NO_ID)
-    return docs.select(_text_hash(F.col(text)).alias("t"), own.alias("d"), F.explode(keys).alias("k")).select("t", "d", "k.h", "k.g")
+    return docs.select(_text_hash(F.col(text)).alias("t"), own.alias("d"), F.explode(keys).alias("k")).where("k <> ''").select("t", "d", *key_hash(F.col("k")))
 
 
 class LineRuns:
@@ -119,7 +122,8 @@ def drop_lines(docs: DataFrame, repeated: DataFrame, text: str = "text", keep_fi
     all_columns = [docs[c] for c in docs.columns]
     joined = docs.withColumns({"_t": _text_hash(F.col(text)), "_d": own}).join(dropped, ["_t", "_d"], "left")
     lines = lines_of(F.col(text))
-    kept = F.when(F.col("_dropped").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_dropped"), line_key(x)), F.lit(False))))
+    stays = lambda x, k: F.when((k == "") | ~F.array_contains("_dropped", F.struct(*key_hash(k))), x)
+    kept = F.when(F.col("_dropped").isNull(), lines).otherwise(F.filter(F.zip_with(lines, line_keys(F.col(text)), stays), lambda x: x.isNotNull()))
     out = joined.select(*all_columns, lines.alias("_lines"), kept.alias("_kept"))
     return out.select(*docs.columns, F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"), F.array_join("_kept", "\n").alias("kept"))
 
