@@ -89,3 +89,12 @@ def share_from_text(text: Column, default: float = 0.5) -> Column:
     text = F.coalesce(text, F.lit(""))
     percent = F.regexp_extract(text, r"([0-9]{1,3})\s*%", 1)
     return F.when(percent != "", F.greatest(F.lit(0.05), F.least(F.lit(1.0), percent.try_cast("double") / 100))).when(F.lower(text).rlike(r"\b(all|every|whole)\b"), 1.0).otherwise(default)
+
+
+def verdict(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: both outcomes and whether the corruption was borne gracefully, which is told by false matches: coverage may fall, they may not grow."""
+    sides = [df.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns]) for name, df in (("before", before), ("after", after))]
+    grown = {c: F.col(f"after_{c}") - F.col(f"before_{c}") for c in ("coverage", "false_matches", "wrong_money")}
+    graceful = grown["false_matches"] <= 0
+    reading = F.when(~graceful, "false matches grew").when(grown["coverage"] < 0, "coverage fell, no new false match").otherwise("no effect on matches")
+    return sides[0].join(sides[1]).withColumns({"graceful": graceful, "coverage_delta": F.round(grown["coverage"], 4), "extra_false_matches": grown["false_matches"], "extra_wrong_money": grown["wrong_money"], "reading": reading})  # one row each

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TRIPLE = ["invoice_id", "settlement_id", "txn_id"]
@@ -64,6 +64,34 @@ def curve(rows: DataFrame, truth: DataFrame, invoices: DataFrame) -> DataFrame:
     return out.join(totals(truth, invoices)).withColumns(rates())
 
 
+CURVE = "threshold double, n_predicted long, n_true long, matched_money long, wrong_money long, n_decidable long, total_money long, n_orphans long, coverage double, precision double, recall double, money_precision double, money_error double"
+
+
+def save_curve(points: DataFrame, path: str) -> None:
+    """One JSON line a point, with the interval of its precision."""
+    low, high = wilson(F.col("n_true"), F.col("n_predicted"))
+    points.withColumns({"precision_low": F.round(low, 6), "precision_high": F.round(high, 6)}).write.mode("overwrite").json(path)
+
+
+def load_curve(spark: SparkSession, path: str) -> DataFrame:
+    """The points' own columns; others, of later writers, are not read."""
+    return spark.read.schema(CURVE).json(path)
+
+
+def outcome(predictions: DataFrame, payments: DataFrame, truth: DataFrame, invoices: DataFrame, bank: DataFrame, threshold: float) -> DataFrame:
+    """One row on a run at a threshold: payments matched and left, coverage, precision with its interval, false matches and their money."""
+    kept = predictions.where(F.col("confidence") >= threshold)
+    wrong = 1 - F.col("right")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    sums = judged(kept, truth, invoices, bank).agg(F.count("*").alias("_n"), zero(F.sum("right")).alias("_t"), zero(F.sum(wrong * F.col("money"))).alias("wrong_money"))
+    low, high = wilson(F.col("_t"), F.col("_n"))
+    row = sums.join(kept.agg(F.countDistinct("entity_id").alias("matched"))).join(payments.agg(F.countDistinct("entity_id").alias("_all")))  # one row each
+    return row.select(
+        "matched", (F.col("_all") - F.col("matched")).alias("exceptions"), F.coalesce(F.try_divide("matched", "_all"), F.lit(0.0)).alias("coverage"), F.coalesce(F.try_divide("_t", "_n"), F.lit(1.0)).alias("precision"),
+        low.alias("precision_low"), high.alias("precision_high"), (F.col("_n") - F.col("_t")).alias("false_matches"), "wrong_money",
+    )
+
+
 def confusion(rows: DataFrame, truth: DataFrame, threshold: float) -> DataFrame:
     kept = rows.where(F.col("confidence") >= threshold)
     hit = kept.select(*TRIPLE, F.lit(1).alias("hit"))

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.storage import fresh_path
 from ..operators import accounting as A
 from ..operators import calibration as C
-from ..operators import chaos, cost, rules, subsetsum
+from ..operators import chaos, cost, matching, rules, subsetsum
 from ..operators import evaluation as E
 from . import flow
 from . import oracle as O
@@ -253,6 +254,13 @@ def risk_coverage_curve(spark, sf_dir):
     return points(spark, sf_dir).select("threshold", "n_predicted", "n_true", "matched_money", "wrong_money", *[F.round(c, 6).alias(c) for c in _RATES])
 
 
+@query(_ev(f"SELECT threshold, n_predicted, n_true, matched_money, wrong_money, {_rounded(_RATES)} FROM points"))
+def curve_stored(spark, sf_dir):
+    path = fresh_path(spark, "curve")
+    E.save_curve(points(spark, sf_dir), path)
+    return E.load_curve(spark, path).select("threshold", "n_predicted", "n_true", "matched_money", "wrong_money", *[F.round(c, 6).alias(c) for c in _RATES])
+
+
 @query(_ev("SELECT count(DISTINCT round(coverage, 6)) <= 1 AS degenerate FROM points"))
 def curve_degenerate(spark, sf_dir):
     return points(spark, sf_dir).agg((F.countDistinct(F.round("coverage", 6)) <= 1).alias("degenerate"))
@@ -382,13 +390,49 @@ def score_candidates(spark, sf_dir):
     return C.calibrated(C.raw_scores(_training(spark, sf_dir), model), calibrator).select("entity_id", "txn_id", F.col("link_invoice").alias("invoice_id"), "p")
 
 
+@query(O.sql("scored", f"""SELECT n_candidates, n_positive, n_candidates - n_positive AS n_negative, round(CAST(n_positive AS DOUBLE) / n_candidates, 6) AS base_rate, round(CAST(n_candidates - n_positive AS DOUBLE) / n_positive, 3) AS negatives_per_positive
+FROM (SELECT {BIG} AS n_candidates, CAST(count(t.txn_id) AS BIGINT) AS n_positive FROM pair p LEFT JOIN link l ON p.entity_id = l.entity_id AND p.txn_id = l.txn_id
+LEFT JOIN raw_truth t ON l.invoice_id = t.invoice_id AND p.settlement_id = t.settlement_id AND p.txn_id = t.txn_id)""", O.LINKS.replace("{pairs}", "pair")))
+def dataset_profile(spark, sf_dir):
+    """The class balance of the training table, written and read again."""
+    path = fresh_path(spark, "dataset")
+    C.write_dataset(_training(spark, sf_dir), path)
+    n, good = F.count("*"), F.sum("label")
+    counts = C.read_dataset(spark, path).agg(n.alias("n_candidates"), good.alias("n_positive"), (n - good).alias("n_negative"))
+    return counts.withColumns({"base_rate": F.round(F.try_divide("n_positive", "n_candidates"), 6), "negatives_per_positive": F.round(F.try_divide("n_negative", "n_positive"), 3)})
+
+
+@query()
+def reconcile_calibrated(spark, sf_dir):
+    """Every payment once: matched at the operating point, or an exception with its reason, by calibrated probabilities of all candidates.
+
+    An assigned candidate below the point keeps its invoice and becomes an exception.
+    """
+    (model, calibrator), point = _train(spark, sf_dir)
+    threshold = point.first()["threshold"]
+    rows = C.calibrated(C.raw_scores(_training(spark, sf_dir), model), calibrator)
+    rows = rows.select("entity_id", "txn_id", F.col("link_invoice").alias("invoice_id"), "p", F.col("date_delta_abs").alias("penalty"), F.col("invoice_link_score").alias("link_score"))
+    scored = flow.once(spark, sf_dir, "probabilities", lambda: rows)
+    linked = scored.where("invoice_id <> ''")
+    taken = matching.one_to_one(linked, "entity_id", "invoice_id", [-F.col("p"), F.col("penalty"), -F.col("link_score"), F.col("entity_id"), F.col("txn_id"), F.col("invoice_id")])
+    good = taken.where(F.col("p") >= threshold)
+    found = A.evidence(scored.select("entity_id", "txn_id", F.col("p").alias("score"), "penalty"), linked, taken.select("invoice_id", F.col("entity_id").alias("holder")))
+    rest = A.exceptions(flow.sources(spark, sf_dir).payments, good, found, threshold=threshold)
+    out = good.select("entity_id", F.lit("matched").alias("outcome"), F.lit("").alias("reason_code"), "txn_id", "invoice_id", F.col("p").alias("confidence"))
+    return out.unionByName(rest.select("entity_id", F.lit("exception").alias("outcome"), "reason_code", "txn_id", "invoice_id", "confidence"))
+
+
 # ---- corruption of the batch and its effect
 _EFFECT = "effect AS (SELECT CAST(sum(CASE WHEN rule IN ('utr_amount_date', 'utr_amount') THEN 1 ELSE 0 END) AS BIGINT) AS exact, CAST(count(*) AS BIGINT) AS scored FROM best)"
 
 
+def _late_typed():
+    return O.STEPS["typed"].replace("bnk AS (", "bnk0 AS (", 1).replace("pay AS (SELECT s.*", "bnk AS (SELECT * REPLACE (CAST(value_date - 1 AS DATE) AS value_date) FROM bnk0),\npay AS (SELECT s.*", 1)
+
+
 def _late_chain():
     """The steps on credits whose dates are a day earlier."""
-    typed = O.STEPS["typed"].replace("bnk AS (", "bnk0 AS (", 1).replace("pay AS (SELECT s.*", "bnk AS (SELECT * REPLACE (CAST(value_date - 1 AS DATE) AS value_date) FROM bnk0),\npay AS (SELECT s.*", 1)
+    typed = _late_typed()
     return "WITH " + ",".join([O.STEPS["raw"], typed, O.STEPS["candidates"], O.STEPS["scored"], _EFFECT]) + " SELECT exact, scored FROM effect"
 
 
@@ -405,10 +449,38 @@ def chaos_compare(spark, sf_dir):
     return best.agg(F.sum(F.when(F.col("rule").isin("utr_amount_date", "utr_amount"), 1).otherwise(0)).alias("exact"), F.count("*").alias("scored"))
 
 
+def _outcome_sql(typed):
+    steps = O.STEPS | {"typed": typed}
+    low, high = _wilson_sql("t", "n")
+    return "(" + O.materialized("WITH " + ",".join([*steps.values(), _JUDGED]) + f""" SELECT matched, payments - matched AS exceptions, CAST(matched AS DOUBLE) / payments AS coverage, CAST(t AS DOUBLE) / n AS precision, {low} AS low, {high} AS high, n - t AS false_matches, wrong_money
+FROM (SELECT {BIG} AS n, CAST(sum(ok) AS BIGINT) AS t, CAST(sum((1 - ok) * money) AS BIGINT) AS wrong_money FROM judged WHERE confidence >= 0.9), (SELECT CAST(count(DISTINCT entity_id) AS BIGINT) AS matched FROM pred WHERE confidence >= 0.9), (SELECT {BIG} AS payments FROM pay)""") + ")"
+
+
+_BOTH = ", ".join(f"{side[0]}.{c} AS {side}_{c}" for side in ("before", "after") for c in ("matched", "exceptions", "false_matches", "wrong_money")) + ", " + ", ".join(
+    f"round({side[0]}.{c}, 6) AS {side}_{name}" for side in ("before", "after") for c, name in (("coverage", "coverage"), ("precision", "precision"), ("low", "precision_low"), ("high", "precision_high")))
+
+
+@query(f"""SELECT {_BOTH}, a.false_matches <= b.false_matches AS graceful, round(a.coverage - b.coverage, 4) AS coverage_delta, a.false_matches - b.false_matches AS extra_false_matches, a.wrong_money - b.wrong_money AS extra_wrong_money,
+CASE WHEN a.false_matches > b.false_matches THEN 'false matches grew' WHEN a.coverage < b.coverage THEN 'coverage fell, no new false match' ELSE 'no effect on matches' END AS reading FROM {_outcome_sql(O.STEPS["typed"])} b, {_outcome_sql(_late_typed())} a""")
+def chaos_verdict(spark, sf_dir):
+    """The batch as it is and with every value date a day early, at the same threshold and against the same truth."""
+    from dataclasses import replace
+
+    from ..operators import blocking
+
+    s = flow.sources(spark, sf_dir)
+    hurt = replace(s, bank=chaos.corrupted(s.bank, ["date_format_swap"]))
+    best = rules.best_pairs(rules.scored(blocking.candidates(hurt), hurt))
+    late = flow.once(spark, sf_dir, "late-predictions", lambda: flow.predicted(best, rules.best_links(best, hurt)))
+    sides = [E.outcome(p, s.payments, s.truth, s.invoices, bank, THRESHOLD) for p, bank in ((flow.predictions(spark, sf_dir), s.bank), (late, hurt.bank))]
+    out = chaos.verdict(*sides)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith(("_coverage", "_precision", "_precision_low", "_precision_high"))})
+
+
 # ---- operating points of a stored run
 _CONF = "conf AS (SELECT entity_id, max(confidence) AS confidence FROM pred GROUP BY entity_id)"
-_OPS = f"""ops AS (SELECT *, matched - lag(matched, 1, 0) OVER (ORDER BY matched) AS step FROM (SELECT min(threshold) AS threshold, matched, max(n_settlements) - matched AS to_review, max(accepted) - matched AS llm_bound FROM (
-  SELECT d.threshold, {BIG} AS matched, (SELECT {BIG} FROM pay) AS n_settlements, (SELECT {BIG} FROM conf) AS accepted FROM (SELECT DISTINCT confidence AS threshold FROM conf) d JOIN conf c ON c.confidence >= d.threshold GROUP BY d.threshold) GROUP BY matched))"""
+_OPS = f"""ops AS (SELECT *, matched - lag(matched, 1, 0) OVER (ORDER BY matched) AS step FROM (SELECT min(threshold) AS threshold, matched, max(n_settlements) - matched AS to_review, max(accepted) - matched AS llm_bound, max(n_settlements) - max(accepted) AS never_matchable FROM (
+  SELECT d.threshold, {BIG} AS matched, (SELECT {BIG} FROM pay) AS n_settlements, (SELECT {BIG} FROM conf) AS accepted FROM (SELECT DISTINCT confidence AS threshold FROM judged) d JOIN conf c ON c.confidence >= d.threshold GROUP BY d.threshold) GROUP BY matched))"""
 
 
 def settlement_confidences(spark, sf_dir):
@@ -416,13 +488,15 @@ def settlement_confidences(spark, sf_dir):
 
 
 def ops(spark, sf_dir):
-    """Thresholds, the payments that clear each, those left to review and those that a model would be asked about; equal counts once."""
-    conf = settlement_confidences(spark, sf_dir)
-    above = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)  # one row a confidence
-    level = conf.groupBy(F.col("confidence").alias("threshold")).agg(F.count("*").alias("n")).select("threshold", F.sum("n").over(above).alias("matched"))
+    """The curve's thresholds, the payments that clear each, those left to review and those that a model would be asked about; equal counts once."""
+    conf, curve = settlement_confidences(spark, sf_dir), points(spark, sf_dir)
+    above = Window.orderBy(F.desc("threshold"), "mark").rowsBetween(Window.unboundedPreceding, 0)  # two rows a confidence
+    level = conf.groupBy(F.col("confidence").alias("threshold")).agg(F.count("*").alias("n")).withColumn("mark", F.lit(0))
+    marks = level.unionByName(curve.select("threshold", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("mark")))
+    cleared = marks.select("threshold", "mark", F.sum("n").over(above).alias("matched")).where("mark = 1").groupBy("matched").agg(F.min("threshold").alias("threshold"))
     n = flow.sources(spark, sf_dir).payments.agg(F.count("*").alias("n_settlements")).join(conf.agg(F.count("*").alias("accepted")))
-    once = level.groupBy("matched").agg(F.min("threshold").alias("threshold")).join(n)
-    return once.select("threshold", "matched", (F.col("n_settlements") - F.col("matched")).alias("to_review"), (F.col("accepted") - F.col("matched")).alias("llm_bound"))
+    left = {"to_review": F.col("n_settlements") - F.col("matched"), "llm_bound": F.col("accepted") - F.col("matched"), "never_matchable": F.col("n_settlements") - F.col("accepted")}
+    return cleared.join(n).withColumns(left).drop("n_settlements", "accepted").join(curve, "threshold")
 
 
 @query(O.sql("predicted", "SELECT entity_id, confidence FROM conf", _CONF))
@@ -437,19 +511,28 @@ def _money_sql(tin, tout, k):
 _BOUND = _money_sql("llm_bound * 220", "llm_bound * 168", 88)
 
 
-@query(O.sql("predicted", f"SELECT threshold, matched, to_review, llm_bound, round({_BOUND['low']}, 2) AS low_inr, round({_BOUND['high']}, 2) AS high_inr FROM ops", _CONF, _OPS))
+_LOW, _HIGH = _wilson_sql("n_true", "n_predicted")
+
+
+@query(O.sql("predicted", f"""SELECT o.threshold, matched, to_review, llm_bound, never_matchable, round(coverage, 6) AS coverage, n_predicted - n_true AS false_matches, round(precision, 6) AS precision, round({_LOW}, 6) AS precision_low, round({_HIGH}, 6) AS precision_high, wrong_money,
+CAST((SELECT total_money FROM tot) AS BIGINT) AS total_money, round({_BOUND['low']}, 2) AS low_inr, round({_BOUND['high']}, 2) AS high_inr FROM ops o JOIN points p ON o.threshold = p.threshold""", _JUDGED, _CONF, _OPS))
 def operating_points(spark, sf_dir):
     band = cost.band(F.col("llm_bound") * cost.TOKENS_IN, F.col("llm_bound") * cost.TOKENS_OUT)
-    return ops(spark, sf_dir).select("*", F.round(band["low_inr"], 2).alias("low_inr"), F.round(band["high_inr"], 2).alias("high_inr"))
+    low, high = E.wilson(F.col("n_true"), F.col("n_predicted"))
+    rounded = {"coverage": F.col("coverage"), "precision": F.col("precision"), "precision_low": low, "precision_high": high}
+    return ops(spark, sf_dir).select(
+        "threshold", "matched", "to_review", "llm_bound", "never_matchable", (F.col("n_predicted") - F.col("n_true")).alias("false_matches"), "wrong_money", "total_money",
+        *[F.round(c, 6).alias(name) for name, c in rounded.items()], F.round(band["low_inr"], 2).alias("low_inr"), F.round(band["high_inr"], 2).alias("high_inr"),
+    )
 
 
-@query(O.sql("predicted", "SELECT matched, step FROM ops", _CONF, _OPS))
+@query(O.sql("predicted", "SELECT matched, step FROM ops", _JUDGED, _CONF, _OPS))
 def operating_point_steps(spark, sf_dir):
     w = Window.orderBy("matched")  # one row a confidence
     return ops(spark, sf_dir).select("matched", (F.col("matched") - F.lag("matched", 1, 0).over(w)).alias("step"))
 
 
-@query(O.sql("predicted", "SELECT min(threshold) AS threshold, min_by(matched, threshold) AS matched FROM ops WHERE threshold >= 0.9", _CONF, _OPS))
+@query(O.sql("predicted", "SELECT min(threshold) AS threshold, min_by(matched, threshold) AS matched FROM ops WHERE threshold >= 0.9", _JUDGED, _CONF, _OPS))
 def selected_operating_point(spark, sf_dir):
     return ops(spark, sf_dir).where(F.col("threshold") >= THRESHOLD).agg(F.min("threshold").alias("threshold"), F.min_by("matched", "threshold").alias("matched"))
 

@@ -102,6 +102,19 @@ def ingest(spark: SparkSession, files: dict[str, str], folder: str) -> Sources:
     return load_sources(spark, folder)
 
 
+def sealed(spark: SparkSession, folder: str) -> DataFrame:
+    """name (below the folder) and sha256 of every file of a batch; files are hashed whole, a row each."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.substring_index("path", f"{folder.rstrip('/')}/", -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+
+
+def integrity(recorded: DataFrame, now: DataFrame) -> DataFrame:
+    """One row: recorded files, whether all are as they were (null where none is recorded), and the names of those changed or gone."""
+    met = recorded.join(now.withColumnRenamed("sha256", "_now"), "name", "left")
+    changed = F.sort_array(F.collect_list(F.when(~F.col("sha256").eqNullSafe(F.col("_now")), F.col("name"))))
+    return met.agg(F.count("*").alias("checked"), changed.alias("mismatched")).select("checked", F.when(F.col("checked") > 0, F.size("mismatched") == 0).alias("intact"), "mismatched")
+
+
 PREDICTION = T.StructType([T.StructField(c, T.StringType()) for c in ("invoice_id", "settlement_id", "txn_id")] + [T.StructField("confidence", T.DoubleType())] + [T.StructField(c, T.StringType()) for c in ("layer", "entity_id")])
 EXCEPTION = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "reason_code", "detail", "txn_id", "invoice_id")] + [T.StructField("confidence", T.DoubleType()), T.StructField("amount", T.LongType())])
 

@@ -1,16 +1,19 @@
 """Hand-made frames: one for each rule, link and convention."""
 
 import itertools
+import os
 import random
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe import catalog
 from tallyframe.functions import scalars as S
-from tallyframe.operators import accounting, calibration, evaluation, matching, rules, subsetsum, validation
+from tallyframe.operators import accounting, calibration, chaos, evaluation, matching, rules, subsetsum, validation
 from tallyframe.operators.similarity import partial, ratio, token_set
-from tallyframe.sources.batch import BANK, GATEWAY, INVOICES, RunStore, derived_narration, load_sources, typed, write_batch
+from tallyframe.plans import flow
+from tallyframe.sources.batch import BANK, GATEWAY, INVOICES, RunStore, derived_narration, integrity, load_sources, sealed, typed, write_batch
 
 DAY = date(2026, 6, 10)
 
@@ -149,3 +152,54 @@ def test_batch_round_trip_and_runs(spark, tmp_path):
         store.record_decision("r1", "pay_1", "shrug", "Ann")
     with pytest.raises(Exception, match="confidence"):
         store.save("r2", predictions.withColumn("confidence", F.lit(1.5)), none, {})
+
+
+def test_sealed_files(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("a.csv", "b.csv", "sub/c.csv"):
+        (tmp_path / name).write_text(f"x\n{name}\n")
+    recorded = spark.createDataFrame(sealed(spark, str(tmp_path)).collect())
+    assert {r["name"] for r in recorded.collect()} == {"a.csv", "b.csv", "sub/c.csv"}
+    assert tuple(integrity(recorded, sealed(spark, str(tmp_path))).first()) == (3, True, [])
+    (tmp_path / "a.csv").write_text("y\n")
+    (tmp_path / "sub/c.csv").unlink()
+    assert tuple(integrity(recorded, sealed(spark, str(tmp_path))).first()) == (3, False, ["a.csv", "sub/c.csv"])
+    assert tuple(integrity(recorded.limit(0), sealed(spark, str(tmp_path))).first()) == (0, None, [])
+
+
+def test_stored_dataset_is_refused_without_features(spark, tmp_path):
+    row = {c: "x" for c in calibration.IDS} | {c: float(i) / 3 for i, c in enumerate(rules.FEATURES)} | {"label": 1.0}
+    rows = spark.createDataFrame([row])
+    calibration.write_dataset(rows, f"{tmp_path}/whole")
+    got = calibration.read_dataset(spark, f"{tmp_path}/whole").first()
+    assert [got[c] for c in rules.FEATURES] == [row[c] for c in rules.FEATURES] and got["label"] == 1
+    rows.drop("amount_exact").write.csv(f"{tmp_path}/part", header=True)
+    with pytest.raises(ValueError, match="amount_exact"):
+        calibration.read_dataset(spark, f"{tmp_path}/part")
+
+
+def test_stored_curve_drops_unknown_columns(spark, tmp_path):
+    point = {"threshold": 0.9, "n_predicted": 10, "n_true": 9, "matched_money": 5, "wrong_money": 1, "n_decidable": 12, "total_money": 9, "n_orphans": 2, "coverage": 10 / 12, "precision": 0.9, "recall": 0.75, "money_precision": 0.8, "money_error": 1 / 9}
+    evaluation.save_curve(spark.createDataFrame([point]).withColumn("later", F.lit("x")), f"{tmp_path}/curve")
+    got = evaluation.load_curve(spark, f"{tmp_path}/curve")
+    assert [r.asDict() for r in got.collect()] == [point]
+
+
+def test_verdict(spark):
+    side = lambda *v: spark.createDataFrame([v], "matched long, exceptions long, coverage double, precision double, precision_low double, precision_high double, false_matches long, wrong_money long")
+    before = side(8, 2, 0.8, 0.875, 0.5, 0.98, 1, 100)
+    read = lambda after: tuple(chaos.verdict(before, after).select("graceful", "coverage_delta", "extra_false_matches", "extra_wrong_money", "reading").first())
+    assert read(side(4, 6, 0.4, 1.0, 0.5, 1.0, 0, 0)) == (True, -0.4, -1, -100, "coverage fell, no new false match")
+    assert read(before) == (True, 0.0, 0, 0, "no effect on matches")
+    assert read(side(9, 1, 0.9, 0.7, 0.4, 0.9, 3, 400)) == (False, 0.1, 2, 300, "false matches grew")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_calibrated_flow_accounts_for_every_payment(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = catalog.queries()["reconcile_calibrated"](spark, sf).collect()
+    payments = {r[0] for r in flow.sources(spark, sf).payments.select("entity_id").collect()}
+    assert len(rows) == len(payments) and {r["entity_id"] for r in rows} == payments
+    good = [r for r in rows if r["outcome"] == "matched"]
+    assert good and len({r["invoice_id"] for r in good}) == len(good)
+    assert all((r["reason_code"] == "") == (r["outcome"] == "matched") for r in rows)
