@@ -5,7 +5,8 @@ overlapping windows of that many words, each an eighth of a window after the las
 a sixteenth of its width of any template occurrence. A window's five-word shingles (as 64-bit hashes, each made once a text) give minimum hashes in BANDS bands of ROWS; windows that share a
 band with a template of their width retrieve it. At Jaccard similarity 0.7 a band collides with probability 1 - (1 - 0.7**ROWS)**BANDS,
 above 0.99; a window that equals the template always collides. Retrieved templates are verified: the share of the template's
-shingles found in the window with half a window of margin on both sides must reach `containment`.
+shingles found in the window with half a window of margin on both sides must reach `containment`. Where another license's template holds that share
+of it too (notices that differ in a version number), a shingle that the other lacks must be among those found, so each notice tells its own license.
 
 Windows without any anchor word are not hashed: every template keeps fewer than `containment` of its shingles when those with
 anchors are taken away, which is checked when the templates are loaded, so no match is lost.
@@ -81,7 +82,7 @@ def bands(values: Column, start: Column, length: Column) -> Column:
 
 
 def load_templates(spark: SparkSession, templates: dict[str, list[str]] | None = None, containment: float = 0.8) -> list[dict]:
-    """license, width in words, own (distinct shingle hashes) and bands of each template: a fixed list, so it comes to the driver."""
+    """license, width in words, own (distinct shingle hashes), bands and marks of each template: a fixed list, so it comes to the driver."""
     rows = [(name, text) for name, texts in (templates or TEMPLATES).items() for text in texts]
     words = spark.createDataFrame(rows, "license string, template string").select("license", words_of(F.col("template")).alias("w"))
     hashed = words.select("license", "w", shingle_hashes(F.col("w")).alias("h")).withColumn("m", seeded(F.col("h")))
@@ -92,6 +93,11 @@ def load_templates(spark: SparkSession, templates: dict[str, list[str]] | None =
         if not each or sum(not anchors & set(x) for x in each) >= containment * len(set(map(tuple, each))):
             raise ValueError(f"template without enough anchor words: {' '.join(r['w'])}")
         found.append({"license": r["license"], "width": len(r["w"]), "own": r["own"], "bands": r["bands"]})
+    for t in found:  # what tells t from each template of another license that it could be taken for
+        others = [set(t["own"]) - set(u["own"]) for u in found if u["license"] != t["license"]]
+        t["marks"] = [sorted(m) for m in others if len(m) <= (1 - containment) * len(t["own"])]
+        if not all(t["marks"]):
+            raise ValueError(f"a template of {t['license']} stands whole in another license's")
     return found
 
 
@@ -120,9 +126,10 @@ def scan(docs: DataFrame, text: str = "text", containment: float = 0.8, template
     half = F.floor(F.col("_x.width") / 2).cast("int")
     region = F.slice("_h", F.greatest(F.lit(1), F.col("_x.start") + 1 - half), F.col("_x.width") * 2)
     rows = met.select(*docs.columns, F.col("_x.width").alias("_width"), region.alias("_region"), F.explode("_x.bands").alias("_band"))
-    table = docs.sparkSession.createDataFrame([(t["license"], t["width"], t["own"], b) for t in known for b in t["bands"]], "license string, _width int, _own array<bigint>, _band bigint")
+    table = docs.sparkSession.createDataFrame([(t["license"], t["width"], t["own"], t["marks"], b) for t in known for b in t["bands"]], "license string, _width int, _own array<bigint>, _marks array<array<bigint>>, _band bigint")
     share = F.size(F.array_intersect("_own", "_region")) / F.size("_own")
-    return rows.join(F.broadcast(table), ["_width", "_band"]).select(*docs.columns, "license", share.alias("containment")).where(F.col("containment") >= containment)
+    told = F.forall("_marks", lambda m: F.arrays_overlap(m, F.col("_region")))
+    return rows.join(F.broadcast(table), ["_width", "_band"]).where(told).select(*docs.columns, "license", share.alias("containment")).where(F.col("containment") >= containment)
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:

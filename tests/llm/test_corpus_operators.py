@@ -236,6 +236,14 @@ def test_licences(spark):
         licences.load_templates(spark, {"X": ["nothing of the sort stands in this one at all"]})
 
 
+def test_versions_are_told_apart(spark):
+    two, three = licences.TEMPLATES["GPL-2.0"][0], licences.TEMPLATES["GPL-3.0"][1]
+    filler = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, f"{filler} {two} {filler}"), (2, f"{filler} {three} {filler}"), (3, f"{two} {filler} {three}"), (4, three.replace("redistribute", "share"))]
+    got = {tuple(r) for r in licences.scan(spark.createDataFrame(rows, DOC)).select("doc_id", "license").distinct().collect()}
+    assert got == {(1, "GPL-2.0"), (2, "GPL-3.0"), (3, "GPL-2.0"), (3, "GPL-3.0"), (4, "GPL-3.0")}
+
+
 def test_licence_between_windows(spark):
     words = re.sub("[^a-z0-9]+", " ", licences.TEMPLATES["MIT"][3].lower()).split()
     words[24:32] = [f"x1{j}" for j in range(24, 32)]  # 0.81 of the shingles are left
