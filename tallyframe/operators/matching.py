@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import written
+from ..sources.batch import Sources
+from . import rules
 
 
 def one_to_one(edges: DataFrame, left: str, right: str, order: list[Column]) -> DataFrame:
@@ -22,3 +24,36 @@ def one_to_one(edges: DataFrame, left: str, right: str, order: list[Column]) ->
         taken.append(written(first.select(*edges.columns), "taken"))
         keyed = written(keyed.join(taken[-1].select(left), left, "left_anti").join(taken[-1].select(right), right, "left_anti").select(*keyed.columns), "edges")
     return reduce(DataFrame.unionByName, taken) if taken else edges.limit(0)
+
+
+def resolved_links(pairs: DataFrame, sources: Sources) -> DataFrame:
+    """Given receipts, then inferred links one to one: strongest first, then fewer days apart, then by ids. Invoices of receipts are not free."""
+    given = rules.given_links(pairs)
+    free = rules.link_scores(pairs, sources).select(*given.columns).join(given.select("invoice_id").distinct(), "invoice_id", "left_anti").select(*given.columns)
+    taken = one_to_one(free, "entity_id", "invoice_id", [-F.col("link_score"), F.abs(F.col("link_days")), F.col("invoice_id"), F.col("entity_id")])
+    return given.unionByName(taken)
+
+
+#: What orders candidates of equal probability, and what each part is called in the record; least first.
+TIES = {"date proximity": "penalty", "rule tier": "_rule", "invoice link strength": "_link", "entity id": "entity_id", "transaction id": "txn_id"}
+
+
+def _with_parts(edges: DataFrame) -> DataFrame:
+    return edges.withColumns({"_rule": -F.col("rule_score"), "_link": -F.col("link_score")})
+
+
+def assigned(edges: DataFrame) -> DataFrame:
+    """edges (entity_id, invoice_id, txn_id, p, penalty, rule_score, link_score) that assignment takes, most probable first and ties by TIES;
+    with `rivals`, the candidates of other payments that share the best probability for the invoice, and `decided_by`, the first part in which
+    the taken edge differs from the first of them ('' without rivals)."""
+    order = [-F.col("p"), F.col("penalty"), -F.col("rule_score"), -F.col("link_score"), F.col("entity_id"), F.col("txn_id"), F.col("invoice_id")]
+    taken = _with_parts(one_to_one(edges, "entity_id", "invoice_id", order))
+    best = edges.groupBy("invoice_id").agg(F.max("p").alias("p"))
+    tied = _with_parts(edges).join(best, ["invoice_id", "p"]).select("invoice_id", F.struct(*TIES.values()).alias("rival"))
+    against = tied.join(taken.select("invoice_id", F.col("entity_id").alias("holder")), "invoice_id").where(F.col("rival.entity_id") != F.col("holder"))
+    counted = against.groupBy("invoice_id").agg(F.count("*").alias("rivals"), F.min("rival").alias("rival"))
+    decided = F.when(F.col("rivals").isNull(), "")
+    for name, part in TIES.items():
+        decided = decided.when(F.col(part) != F.col(f"rival.{part}"), name)
+    out = taken.join(counted, "invoice_id", "left")
+    return out.select(*edges.columns, F.coalesce("rivals", F.lit(0)).alias("rivals"), decided.otherwise("identical on every component").alias("decided_by"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..sources.batch import Sources
 from .blocking import PAIR, payments_with_names
+from .similarity import partial_ratio, token_set_ratio
 
 # Scores of the tiers and of invoice links.
 UTR_AMOUNT_DATE, UTR_AMOUNT, AMOUNT_NAME, FEE_ADJUSTED, UTR_ONLY, AMOUNT_DATE, FUZZY, SUBSET_SUM = 0.99, 0.97, 0.94, 0.90, 0.82, 0.70, 0.65, 0.80
@@ -64,9 +65,9 @@ def date_penalty() -> Column:
     return F.coalesce(F.abs(days_apart()), F.lit(S.MISSING_DAYS)) / F.lit(1000.0)
 
 
-def scored(pairs: DataFrame, sources: Sources, similarity: Column | None = None) -> DataFrame:
-    """Pairs that some tier fits, with rule, rule_score, layer and penalty."""
-    return joined(pairs, sources).withColumn("_hit", rule_hit(similarity)).where("_hit is not null").select("*", "_hit.*", date_penalty().alias("penalty")).drop("_hit")
+def scored(pairs: DataFrame, sources: Sources) -> DataFrame:
+    """Pairs that some tier fits, with rule, rule_score, layer and penalty. Only where no exact tier fits are names compared."""
+    return joined(pairs, sources).withColumn("_hit", rule_hit(token_set_ratio("counterparty", "normalized_narration"))).where("_hit is not null").select("*", "_hit.*", date_penalty().alias("penalty")).drop("_hit")
 
 
 def best_pairs(hits: DataFrame) -> DataFrame:
@@ -132,8 +133,6 @@ def features(rows: DataFrame, sources: Sources, similarities: bool = True) -> Da
         "invoice_amount_ratio": F.when(F.col("_gross") > 0, F.col("amount").cast("double") / F.col("_gross")).otherwise(0.0), "invoice_date_delta_days": F.coalesce(F.datediff("settled_date", "_inv_date"), F.lit(S.MISSING_DAYS)).cast("double"),
     }
     if similarities:
-        from .similarity import partial_ratio, token_set_ratio
-
         out["narration_similarity"] = token_set_ratio("counterparty", "normalized_narration")
         out["narration_partial_similarity"] = partial_ratio("counterparty", "normalized_narration")
     return rows.withColumns(out).drop("_often", "_gross", "_inv_date")

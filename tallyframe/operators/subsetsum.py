@@ -1,30 +1,27 @@
-"""Batched payouts: which payments of a settlement add up to a credit. Sizes two and three are joins of the bucket with itself; the bounded
-search to size five runs per bucket in Arrow groups. Buckets over the cap are reported, not searched."""
+"""Batched payouts: which payments of a settlement add up to a credit.
+
+A bucket is a settlement's open payments. All sums of two to five of its members are made once, as rows numbered in the order in which a
+search would try them (fewer members first, then by place), and meet the credits by an equi-join on spans of paise and weeks, so what is
+shuffled follows sums and credits, not their product. A bucket takes the first credit, by day and then by id, that any of its sums explains,
+and of those sums the first. Buckets over the cap are reported, not searched.
+"""
 
 from __future__ import annotations
 
-from itertools import combinations
+from math import comb
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.storage import written
 from ..sources.batch import Sources
+from .blocking import SPAN
 
 # The search's bounds.
 MOST_MEMBERS, MOST_BUCKET = 5, 25
-
-
-def find_subset(amounts: list[int], target: int, most: int = MOST_MEMBERS, tolerance: int = S.TOLERANCE) -> tuple[int, ...] | None:
-    """Places of the first combination, smallest first and then in order, that adds up to the target."""
-    if target <= 0:
-        return None
-    for size in range(2, min(most, len(amounts)) + 1):
-        for places in combinations(range(len(amounts)), size):
-            if abs(sum(amounts[i] for i in places) - target) <= tolerance:
-                return places
-    return None
+#: A subset is a number of digits of this base, the places of its members from 1.
+DIGITS = 5
 
 
 def buckets(sources: Sources, claimed: DataFrame) -> DataFrame:
@@ -44,54 +41,101 @@ def batched_pairs(sources: Sources, claimed: DataFrame) -> DataFrame:
     return subsets(sources, claimed).select("settlement_id", F.explode(F.split("subset", r"\|")).alias("entity_id"), "txn_id")
 
 
-def probes(sources: Sources, claimed: DataFrame) -> DataFrame:
-    """(settlement_id, txn_id, credit, members) for each credit within the window of a bucket's first date."""
-    anchors = buckets(sources, claimed).select("settlement_id", "members", "anchor").distinct().where("anchor is not null")
-    left = anchors.withColumn("week", F.explode(S.weeks_near(F.col("anchor"))))
-    right = sources.bank.where("credit > 0 and value_date is not null").select("txn_id", "credit", "value_date", S.week_of(F.col("value_date")).alias("week"))
-    return left.join(right, "week").where(S.within_days(F.col("value_date"), F.col("anchor"), S.WINDOW_DAYS)).select("settlement_id", "txn_id", "credit", "members")
+def credits(sources: Sources) -> DataFrame:
+    return sources.bank.where("credit > 0 and value_date is not null").select("txn_id", "credit", "value_date")
+
+
+def _held(sources: Sources, claimed: DataFrame) -> DataFrame:
+    """One row a bucket under the cap: anchor, and m, its members (place, entity_id, net) by id."""
+    rows = buckets(sources, claimed).where((F.col("members") <= MOST_BUCKET) & F.col("anchor").isNotNull())
+    m = F.transform(F.array_sort(F.collect_list(F.struct("entity_id", "net_amount"))), lambda x, i: F.struct((i + 1).alias("place"), x["entity_id"].alias("entity_id"), x["net_amount"].alias("net")))
+    return rows.groupBy("settlement_id").agg(F.first("anchor").alias("anchor"), m.alias("m"))
 
 
-def bounded_probes(sources: Sources, claimed: DataFrame) -> DataFrame:
-    """Probes whose credit lies between the bucket's two smallest members and all of it: no other credit can be a sum of its members.
+def _sums(held: DataFrame) -> DataFrame:
+    """(settlement_id, anchor, nth, total, code): every sum of two to MOST_MEMBERS members, numbered in the order of the search."""
+    row = lambda total, place, code: F.struct(total.alias("total"), place.alias("last"), code.alias("code"))
+    m = F.col("m")
+    levels = [F.transform(m, lambda x: row(x["net"], x["place"], x["place"].cast("long")))]
+    for _ in range(MOST_MEMBERS - 1):
+        longer = lambda s: F.transform(F.slice(m, s["last"] + 1, F.lit(MOST_BUCKET)), lambda x: row(s["total"] + x["net"], x["place"], F.shiftleft(s["code"], DIGITS) + x["place"]))
+        levels.append(F.flatten(F.transform(F.col(f"level{len(levels)}"), longer)))
+        held = held.withColumn(f"level{len(levels) - 1}", levels[-2])
+    held = held.withColumn(f"level{MOST_MEMBERS}", levels[-1])
+    return held.select("settlement_id", "anchor", F.posexplode(F.concat(*[F.col(f"level{k}") for k in range(2, MOST_MEMBERS + 1)])).alias("nth", "s")).select("settlement_id", "anchor", "nth", "s.total", "s.code")
 
-    Buckets and credits meet by week and by the power of two of the credit that the range spans.
-    """
-    rows = buckets(sources, claimed).where(F.col("members") <= MOST_BUCKET)
-    span = rows.groupBy("settlement_id").agg(F.first("members").alias("members"), F.first("anchor").alias("anchor"), F.sort_array(F.collect_list("net_amount")).alias("nets"))
-    low, high = F.get("nets", F.lit(0)) + F.get("nets", F.lit(1)) - S.TOLERANCE, F.aggregate("nets", F.lit(0).cast("bigint"), lambda a, x: a + x) + S.TOLERANCE
-    scale = lambda c: F.floor(F.log2(F.greatest(c, F.lit(1)))).cast("int")
-    left = span.select("settlement_id", "members", "anchor", low.alias("low"), high.alias("high")).where("anchor is not null and high > 0")
-    left = left.select("*", F.explode(F.sequence(scale(F.col("low")), scale(F.col("high")))).alias("scale")).withColumn("week", F.explode(S.weeks_near(F.col("anchor"))))
-    right = sources.bank.where("credit > 0 and value_date is not null").select("txn_id", "credit", "value_date", scale(F.col("credit")).alias("scale"), S.week_of(F.col("value_date")).alias("week"))
-    met = left.join(right, ["week", "scale"]).where(F.col("credit").between(F.col("low"), F.col("high")) & S.within_days(F.col("value_date"), F.col("anchor"), S.WINDOW_DAYS))
-    return met.select("settlement_id", "txn_id", "credit", "members")
+
+def _met(sums: DataFrame, sources: Sources) -> DataFrame:
+    """Sums with the credits that they explain. A sum has one key of a span and a week; a credit goes to all that its tolerance touches."""
+    span = lambda c: F.floor(c / SPAN)
+    right = credits(sources).withColumn("span", F.explode(F.array_distinct(F.array(span(F.col("credit") - S.TOLERANCE), span(F.col("credit") + S.TOLERANCE))))).withColumn("week", F.explode(S.weeks_near(F.col("value_date"))))
+    left = sums.withColumns({"span": span(F.col("total")), "week": S.week_of(F.col("anchor"))})
+    return left.join(right, ["span", "week"]).where((F.abs(F.col("credit") - F.col("total")) <= S.TOLERANCE) & S.within_days(F.col("value_date"), F.col("anchor"), S.WINDOW_DAYS))
+
+
+def _names(code: Column, m: Column) -> Column:
+    digits = F.filter(F.transform(F.sequence(F.lit(MOST_MEMBERS - 1), F.lit(0)), lambda k: F.call_function("shiftright", code, k * DIGITS).bitwiseAND(F.lit((1 << DIGITS) - 1))), lambda d: d > 0)
+    return F.array_join(F.transform(digits, lambda d: F.get(m, d.cast("int") - 1)["entity_id"]), "|")
 
 
 def small_subsets(sources: Sources, claimed: DataFrame) -> DataFrame:
-    """(settlement_id, txn_id, members of the subset) of sizes two and three, as joins of a bucket with itself."""
-    b = buckets(sources, claimed).where(F.col("members") <= MOST_BUCKET).select("settlement_id", "entity_id", "net_amount")
-    p = bounded_probes(sources, claimed)
-    side = lambda k: b.select("settlement_id", F.col("entity_id").alias(f"e{k}"), F.col("net_amount").alias(f"n{k}"))
-    two = side(1).join(side(2), "settlement_id").where("e1 < e2")
-    three = two.join(side(3), "settlement_id").where("e2 < e3")
-    near = lambda total: F.abs(F.col("credit") - total) <= S.TOLERANCE
-    found = two.join(p, "settlement_id").where(near(F.col("n1") + F.col("n2"))).select("settlement_id", "txn_id", F.concat_ws("|", "e1", "e2").alias("subset"))
-    return found.unionByName(three.join(p, "settlement_id").where(near(F.col("n1") + F.col("n2") + F.col("n3"))).select("settlement_id", "txn_id", F.concat_ws("|", "e1", "e2", "e3").alias("subset")))
+    """(settlement_id, txn_id, subset) of every subset of two or three members and every credit that it explains."""
+    held = _held(sources, claimed)
+    found = _met(_sums(held).where(F.col("code") < 1 << 3 * DIGITS), sources).select("settlement_id", "txn_id", "code")
+    return found.join(held.select("settlement_id", "m"), "settlement_id").select("settlement_id", "txn_id", _names(F.col("code"), F.col("m")).alias("subset"))
+
+
+def _first(sums: DataFrame, sources: Sources) -> DataFrame:
+    """(settlement_id, value_date, txn_id, nth, code) of each bucket's first credit and first sum."""
+    first = _met(sums, sources).groupBy("settlement_id").agg(F.min(F.struct("value_date", "txn_id", "nth", "code")).alias("f"))
+    return first.select("settlement_id", "f.*")
 
 
 def subsets(sources: Sources, claimed: DataFrame) -> DataFrame:
-    """(settlement_id, txn_id, subset) of the first credit, by id, that some subset of two to five members explains."""
-
-    def search(members: pd.DataFrame, credits: pd.DataFrame) -> pd.DataFrame:
-        members = members.sort_values("entity_id")
-        amounts, ids = [int(x) for x in members["net_amount"]], list(members["entity_id"])
-        for txn_id, credit in credits.sort_values("txn_id")[["txn_id", "credit"]].itertuples(index=False):
-            if places := find_subset(amounts, int(credit)):
-                return pd.DataFrame([(members["settlement_id"].iloc[0], txn_id, "|".join(ids[i] for i in places))], columns=["settlement_id", "txn_id", "subset"])
-        return pd.DataFrame(columns=["settlement_id", "txn_id", "subset"])
-
-    b = buckets(sources, claimed).where(F.col("members") <= MOST_BUCKET).select("settlement_id", "entity_id", "net_amount")
-    # under a name of its own, as both sides come from one plan
-    p = bounded_probes(sources, claimed).select(F.col("settlement_id").alias("bucket_id"), "txn_id", "credit")
-    return b.groupBy("settlement_id").cogroup(p.groupBy("bucket_id")).applyInPandas(search, "settlement_id string, txn_id string, subset string")
+    """(settlement_id, txn_id, subset) of each bucket that explains a credit."""
+    held = _held(sources, claimed)
+    return _first(_sums(held), sources).join(held.select("settlement_id", "m"), "settlement_id").select("settlement_id", "txn_id", _names(F.col("code"), F.col("m")).alias("subset"))
+
+
+def _places(sources: Sources) -> DataFrame:
+    """Credits with their place in the order of day and id, numbered from 0 without one task seeing them all."""
+    keys = ["value_date", "txn_id"]
+    rows = credits(sources).select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    rows = written(rows, "credit-places").withColumns({"part": F.shiftright("_at", 33), "local": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(starts, "part").select(*keys, (F.col("before") + F.col("local")).alias("place"))
+
+
+def _windows(places: DataFrame) -> DataFrame:
+    """(anchor, targets, start) for each day that has credits near it: how many, and the place of the first. One row a day."""
+    days = places.groupBy("value_date").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    near = days.withColumn("anchor", F.explode(F.sequence(F.date_sub("value_date", S.WINDOW_DAYS), F.date_add("value_date", S.WINDOW_DAYS))))
+    return near.groupBy("anchor").agg(F.sum("n").alias("targets"), F.min("first").alias("start"))
+
+
+def targets(sources: Sources, claimed: DataFrame) -> DataFrame:
+    """(settlement_id, members, targets): each bucket that has credits near its first date, and how many, from counts by day."""
+    anchors = buckets(sources, claimed).select("settlement_id", "members", "anchor").distinct()
+    days = credits(sources).groupBy("value_date").agg(F.count("*").alias("n")).withColumn("anchor", F.explode(F.sequence(F.date_sub("value_date", S.WINDOW_DAYS), F.date_add("value_date", S.WINDOW_DAYS))))
+    return anchors.join(days.groupBy("anchor").agg(F.sum("n").alias("targets")), "anchor").select("settlement_id", "members", "targets")
+
+
+def search_stats(sources: Sources, claimed: DataFrame) -> DataFrame:
+    """One row: searches of a bucket for a credit (a bucket stops at the first it explains), those that the cap skipped and their share, sums
+    tried, subsets found, and how often payments were named as capped."""
+    places = written(_places(sources), "places")
+    first = _first(_sums(_held(sources, claimed)), sources)
+    found = first.join(places, ["value_date", "txn_id"]).groupBy("settlement_id").agg(F.min("place").alias("place"), F.min("nth").alias("nth"))
+    anchors = buckets(sources, claimed).select("settlement_id", "members", "anchor").distinct()
+    rows = anchors.join(_windows(places), "anchor").join(found, "settlement_id", "left")
+    over, hit = F.col("members") > MOST_BUCKET, F.col("place").isNotNull()
+    sums = F.get(F.array(*[F.lit(sum(comb(n, k) for k in range(2, MOST_MEMBERS + 1))) for n in range(MOST_BUCKET + 1)]), F.col("members").cast("int"))
+    calls = F.when(hit, F.col("place") - F.col("start") + 1).otherwise(F.col("targets"))
+    tried = F.when(hit, (calls - 1) * sums + F.col("nth") + 1).otherwise(calls * sums)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = rows.agg(
+        total(F.when(~over, calls)).alias("searched"), total(F.when(over, F.col("targets"))).alias("skipped"), total(F.when(~over, tried)).alias("examined"),
+        F.count(F.when(hit, 1)).alias("found"), total(F.when(over, F.col("targets") * F.col("members"))).alias("settlements_capped"),
+    )
+    return out.withColumn("rate", F.coalesce(F.round(F.try_divide("skipped", F.col("searched") + F.col("skipped")), 6), F.lit(0.0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.storage import fresh_path
+from ..functions.storage import fresh_path, written
 from ..operators import accounting as A
 from ..operators import calibration as C
 from ..operators import chaos, cost, matching, rules, subsetsum
@@ -24,7 +24,7 @@ claimed AS (SELECT entity_id FROM best WHERE rule = 'utr_amount_date'),
 free AS (SELECT pay.* FROM pay ANTI JOIN claimed ON pay.entity_id = claimed.entity_id),
 bucket AS (SELECT settlement_id, count(*) AS members, min_by(settled_date, entity_id) AS anchor FROM free GROUP BY settlement_id HAVING count(*) >= 2),
 member AS (SELECT f.settlement_id, f.entity_id, f.net_amount FROM free f JOIN bucket b ON f.settlement_id = b.settlement_id),
-probe AS (SELECT b.settlement_id, b.members, k.txn_id, k.credit FROM bucket b JOIN bnk k ON k.credit > 0 AND abs(k.value_date - b.anchor) <= 3)
+probe AS (SELECT b.settlement_id, b.members, k.txn_id, k.credit, k.value_date FROM bucket b JOIN bnk k ON k.credit > 0 AND abs(k.value_date - b.anchor) <= 3)
 """
 _SUBSETS = """
 two AS (SELECT a.settlement_id, p.txn_id, a.entity_id || '|' || b.entity_id AS subset FROM member a JOIN member b ON a.settlement_id = b.settlement_id AND a.entity_id < b.entity_id
@@ -46,7 +46,9 @@ def subset_sum_pairs(spark, sf_dir):
 _SIZES = "".join(f"""size{k} AS (SELECT a1.settlement_id, [{", ".join(f"a{i}.entity_id" for i in range(1, k + 1))}] AS ids, {" + ".join(f"a{i}.net_amount" for i in range(1, k + 1))} AS total FROM member a1
   {" ".join(f"JOIN member a{i} ON a{i}.settlement_id = a1.settlement_id AND a{i - 1}.entity_id < a{i}.entity_id" for i in range(2, k + 1))}),
 """ for k in range(2, 6)) + """sums AS (SELECT * FROM size2 UNION ALL SELECT * FROM size3 UNION ALL SELECT * FROM size4 UNION ALL SELECT * FROM size5),
-fits AS (SELECT p.settlement_id, p.txn_id, s.ids, row_number() OVER (PARTITION BY p.settlement_id ORDER BY p.txn_id, len(s.ids), s.ids) AS n FROM probe p JOIN sums s ON p.settlement_id = s.settlement_id AND p.members <= 25 AND abs(p.credit - s.total) <= 5)
+nth_sum AS (SELECT *, row_number() OVER (PARTITION BY settlement_id ORDER BY len(ids), ids) AS nth, count(*) OVER (PARTITION BY settlement_id) AS n_sums FROM sums),
+call AS (SELECT *, row_number() OVER (PARTITION BY settlement_id ORDER BY value_date, txn_id) AS place FROM probe),
+fits AS (SELECT p.settlement_id, p.txn_id, p.place, s.nth, s.ids, row_number() OVER (PARTITION BY p.settlement_id ORDER BY p.place, s.nth) AS n FROM call p JOIN nth_sum s ON p.settlement_id = s.settlement_id AND p.members <= 25 AND abs(p.credit - s.total) <= 5)
 """
 
 
@@ -57,15 +59,18 @@ def subset_sum_search(spark, sf_dir):
 
 @query(O.sql("scored", f"SELECT settlement_id, CAST(members AS BIGINT) AS members, members > 25 AS capped, {BIG} AS probes FROM probe GROUP BY settlement_id, members", _OPEN))
 def subset_sum_capped(spark, sf_dir):
-    p = subsetsum.probes(flow.sources(spark, sf_dir), claimed(spark, sf_dir))
-    return p.groupBy("settlement_id", "members").agg(F.count("*").alias("probes")).withColumn("capped", F.col("members") > subsetsum.MOST_BUCKET)
+    near = subsetsum.targets(flow.sources(spark, sf_dir), claimed(spark, sf_dir))
+    return near.select("settlement_id", "members", F.col("targets").alias("probes"), (F.col("members") > subsetsum.MOST_BUCKET).alias("capped"))
 
 
-@query(O.sql("scored", "SELECT CAST(count(*) FILTER (WHERE members <= 25) AS BIGINT) AS searched, CAST(count(*) FILTER (WHERE members > 25) AS BIGINT) AS skipped, round(CAST(count(*) FILTER (WHERE members > 25) AS DOUBLE) / count(*), 6) AS rate FROM probe", _OPEN))
+@query(O.sql("scored", """SELECT searched, skipped, round(CAST(skipped AS DOUBLE) / (searched + skipped), 6) AS rate, examined, found, settlements_capped FROM (
+SELECT CAST(coalesce(sum(calls) FILTER (WHERE members <= 25), 0) AS BIGINT) AS searched, CAST(coalesce(sum(calls) FILTER (WHERE members > 25), 0) AS BIGINT) AS skipped, CAST(coalesce(sum(calls * members) FILTER (WHERE members > 25), 0) AS BIGINT) AS settlements_capped,
+CAST(coalesce(sum(CASE WHEN nth IS NULL THEN calls * n_sums ELSE (calls - 1) * n_sums + nth END) FILTER (WHERE members <= 25), 0) AS BIGINT) AS examined, CAST(count(nth) AS BIGINT) AS found
+FROM (SELECT c.settlement_id, c.members, max(f.nth) AS nth, coalesce(max(f.place), count(*)) AS calls, max(n_sums) AS n_sums FROM call c LEFT JOIN (SELECT * FROM fits WHERE n = 1) f ON c.settlement_id = f.settlement_id
+LEFT JOIN (SELECT settlement_id, max(n_sums) AS n_sums FROM nth_sum GROUP BY 1) s ON c.settlement_id = s.settlement_id GROUP BY c.settlement_id, c.members))""", _OPEN, _SIZES))
 def subset_sum_stats(spark, sf_dir):
-    p = subsetsum.probes(flow.sources(spark, sf_dir), claimed(spark, sf_dir))
-    skipped = F.count(F.when(F.col("members") > subsetsum.MOST_BUCKET, 1))
-    return p.agg(F.count(F.when(F.col("members") <= subsetsum.MOST_BUCKET, 1)).alias("searched"), skipped.alias("skipped"), F.round(F.try_divide(skipped, F.count("*")), 6).alias("rate"))
+    """A bucket is searched for one credit after another until one is explained."""
+    return subsetsum.search_stats(flow.sources(spark, sf_dir), claimed(spark, sf_dir))
 
 
 # ---- accounting: an invoice is held by its best prediction
@@ -153,14 +158,56 @@ both_ways AS (SELECT settlement_id, entity_id, txn_id, invoice_id, amount, settl
   SELECT t.settlement_id, t.entity_id, t.txn_id, p.invoice_id, p.amount, p.settled_date, b.nn, 'subset_sum', CAST(0.8 AS DOUBLE) FROM taken t JOIN pay p ON t.entity_id = p.entity_id JOIN bnk b ON t.txn_id = b.txn_id)"""
 
 
-@query(O.sql("scored", "SELECT l.entity_id, l.invoice_id, l.txn_id, b.rule || '+' || l.link_rule AS rule, round(b.rule_score * l.link_score, 4) AS confidence FROM both_ways b JOIN link l ON b.entity_id = l.entity_id AND b.txn_id = l.txn_id",
-             _OPEN.replace(" WHERE rule = 'utr_amount_date'", ""), _SIZES, _BATCHED, O.LINKS.replace("{pairs}", "both_ways")))
-def reconcile_rules(spark, sf_dir):
+_MATCHES = "matches AS (SELECT l.entity_id, l.invoice_id, l.txn_id, b.rule || '+' || l.link_rule AS rule, round(b.rule_score * l.link_score, 4) AS confidence FROM both_ways b JOIN pick l ON b.entity_id = l.entity_id AND b.txn_id = l.txn_id)"
+
+
+def _rules_sql(select, *more):
+    return O.sql("scored", select, _OPEN.replace(" WHERE rule = 'utr_amount_date'", ""), _SIZES, _BATCHED, O.LINKS.replace("{pairs}", "both_ways"), O.resolved("both_ways"), _MATCHES, *more)
+
+
+def _rules_run(s):
+    """(candidates, scored candidates, matched pairs, their links) of the rules' flow; an invoice goes to one payment."""
     from ..operators import blocking
 
+    found = blocking.candidates(s)
+    hits = written(rules.scored(found, s), "scored")
+    pairs = written(flow.with_batched(rules.best_pairs(hits), s), "best")
+    return found, hits, pairs, written(matching.resolved_links(pairs, s), "resolved")
+
+
+@query(_rules_sql("SELECT * FROM matches"))
+def reconcile_rules(spark, sf_dir):
+    _, _, pairs, linked = _rules_run(flow.sources(spark, sf_dir))
+    return flow.predicted(pairs, linked).select("entity_id", "invoice_id", "txn_id", F.concat_ws("+", "rule", "link_rule").alias("rule"), "confidence")
+
+
+@query(_rules_sql("""SELECT p.entity_id, CASE WHEN m.entity_id IS NULL THEN 'exception' ELSE 'matched' END AS outcome, CASE WHEN m.entity_id IS NOT NULL THEN '' WHEN c.entity_id IS NOT NULL THEN 'SUBSET_SEARCH_CAPPED' WHEN e.n IS NULL THEN 'NO_CANDIDATE'
+WHEN l.invoice_id IS NULL THEN 'NO_INVOICE_LINK' WHEN e.n > 1 AND e.score - e.second < 0.02 THEN 'AMBIGUOUS_CANDIDATES' ELSE 'LOW_CONFIDENCE' END AS reason_code, coalesce(m.txn_id, e.txn_id, '') AS txn_id, coalesce(m.invoice_id, l.invoice_id, '') AS invoice_id, coalesce(m.confidence, e.score) AS confidence
+FROM pay p LEFT JOIN matches m ON p.entity_id = m.entity_id LEFT JOIN (SELECT * FROM option WHERE nth = 1) e ON p.entity_id = e.entity_id LEFT JOIN pick l ON p.entity_id = l.entity_id
+LEFT JOIN (SELECT f.entity_id FROM free f JOIN bucket b ON f.settlement_id = b.settlement_id WHERE b.members > 25) c ON p.entity_id = c.entity_id""",
+"""option AS (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS nth, count(*) OVER (PARTITION BY entity_id) AS n FROM (SELECT c.entity_id, c.txn_id, coalesce(s.rule_score, 0) AS score, abs(k.value_date - q.settled_date) AS far
+FROM cand c JOIN bnk k ON c.txn_id = k.txn_id JOIN pay q ON c.entity_id = q.entity_id LEFT JOIN scored s ON c.entity_id = s.entity_id AND c.txn_id = s.txn_id) WINDOW w AS (PARTITION BY entity_id ORDER BY score DESC, CASE WHEN score > 0 THEN far ELSE 0 END, txn_id))"""))
+def rules_outcome(spark, sf_dir):
+    """Every payment once: matched by the rules, or an exception with its reason. Candidates that no tier fits are evidence too, at score 0."""
     s = flow.sources(spark, sf_dir)
-    best = flow.with_batched(rules.best_pairs(rules.scored(blocking.candidates(s), s)), s)
-    return flow.predicted(best, rules.best_links(best, s)).select("entity_id", "invoice_id", "txn_id", F.concat_ws("+", "rule", "link_rule").alias("rule"), "confidence")
+    found, hits, pairs, linked = _rules_run(s)
+    good = flow.predicted(pairs, linked)
+    options = found.select("entity_id", "txn_id").join(hits.select("entity_id", "txn_id", "rule_score", "penalty"), ["entity_id", "txn_id"], "left").select("entity_id", "txn_id", F.coalesce("rule_score", F.lit(0.0)).alias("score"), F.coalesce("penalty", F.lit(0.0)).alias("penalty"))
+    own = linked.select("entity_id", "invoice_id").distinct()
+    seen = A.evidence(options, options.join(own, "entity_id").select("entity_id", "txn_id", "invoice_id"), linked.select("invoice_id", F.col("entity_id").alias("holder")).limit(0))
+    rest = A.exceptions(s.payments, good, seen, subsetsum.capped(s, rules.best_pairs(hits)))
+    out = good.select("entity_id", F.lit("matched").alias("outcome"), F.lit("").alias("reason_code"), "txn_id", "invoice_id", "confidence")
+    return out.unionByName(rest.select("entity_id", F.lit("exception").alias("outcome"), "reason_code", "txn_id", "invoice_id", "confidence"))
+
+
+@query(_rules_sql("SELECT entity_id, txn_id, rule, CAST(rule LIKE 'subset_sum%' AS DOUBLE) AS in_plausible_subset_sum, CAST(amount_exact AS DOUBLE) AS amount_exact, CAST(n_passes AS DOUBLE) AS n_blocking_passes FROM (SELECT m.*, k.credit = p.net_amount AS amount_exact, CASE WHEN rule LIKE 'subset_sum%' THEN 1 ELSE len(c.passes) END AS n_passes FROM matches m JOIN pay p ON m.entity_id = p.entity_id JOIN bnk k ON m.txn_id = k.txn_id LEFT JOIN cand c ON m.entity_id = c.entity_id AND m.txn_id = c.txn_id)"))
+def rules_features(spark, sf_dir):
+    """Features of the rules' matches; payments of a batch that adds up to a credit are marked."""
+    s = flow.sources(spark, sf_dir)
+    _, _, pairs, linked = _rules_run(s)
+    rows = pairs.drop("invoice_id").join(linked.select("entity_id", "txn_id", F.col("invoice_id").alias("link_invoice"), "link_score", "link_rule"), ["entity_id", "txn_id"])
+    rows = rows.withColumns({"in_subset_sum": F.col("rule") == "subset_sum", "passes": F.when(F.col("rule") == "subset_sum", F.array(F.lit("subset_sum"))).otherwise(F.col("passes"))})
+    return rules.features(rows, s, similarities=False).select("entity_id", "txn_id", F.concat_ws("+", "rule", "link_rule").alias("rule"), "in_plausible_subset_sum", "amount_exact", "n_blocking_passes")
 
 
 @query(_acc("SELECT e.entity_id, e.reason_code, s.net_amount, coalesce(b.credit, 0) AS credit, coalesce(b.narration, '') AS narration, coalesce(i.amount, 0) AS billed, coalesce(b.credit, 0) - s.net_amount AS difference FROM exc e JOIN setl s ON e.entity_id = s.entity_id LEFT JOIN bnk b ON e.txn_id = b.txn_id LEFT JOIN inv i ON e.invoice_id = i.invoice_id"))
@@ -366,7 +413,7 @@ def _training(spark, sf_dir):
     truth = flow.sources(spark, sf_dir).truth.select(F.col("invoice_id").alias("link_invoice"), "settlement_id", "txn_id", F.lit(1.0).alias("label"))
     rows = candidate_features(spark, sf_dir).join(truth, ["link_invoice", "settlement_id", "txn_id"], "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
     # every candidate, also those that no tier fits or that lose to another
-    return flow.once(spark, sf_dir, "training", lambda: C.group_split(rows, "settlement_id").select("entity_id", "settlement_id", "txn_id", "link_invoice", "label", "part", *rules.FEATURES))
+    return flow.once(spark, sf_dir, "training", lambda: C.group_split(rows, "settlement_id").select("entity_id", "settlement_id", "txn_id", "link_invoice", "rule_score", "label", "part", *rules.FEATURES))
 
 
 @query()
@@ -375,13 +422,23 @@ def train_model(spark, sf_dir):
     return _train(spark, sf_dir)[1]
 
 
+_FITTED = {}
+
+
 def _train(spark, sf_dir):
+    """((model, calibrator), operating point), fitted once a session and input folder; flow.forget() drops it with the training rows."""
     rows = _training(spark, sf_dir)
+    if _FITTED.get("rows") is not rows:
+        _FITTED.update(rows=rows, fitted=_fit(rows))
+    return _FITTED["fitted"]
+
+
+def _fit(rows):
     model = C.train(rows.where("part = 0"))
     held = C.raw_scores(rows.where("part = 1"), model).select("raw", F.col("label").alias("y"))
     _, _, calibrator = C.choose_calibrator(held)
     last = C.calibrated(C.raw_scores(rows.where("part = 2"), model), calibrator).select("p", F.col("label").cast("int").alias("y"))
-    return (model, calibrator), C.operating_point(last)
+    return (model, calibrator), written(C.operating_point(last), "point")
 
 
 @query()
@@ -406,20 +463,22 @@ def dataset_profile(spark, sf_dir):
 def reconcile_calibrated(spark, sf_dir):
     """Every payment once: matched at the operating point, or an exception with its reason, by calibrated probabilities of all candidates.
 
-    An assigned candidate below the point keeps its invoice and becomes an exception.
+    An assigned candidate below the point keeps its invoice and becomes an exception. A match says how many rivals had the best probability
+    for its invoice, and what decided between them.
     """
     (model, calibrator), point = _train(spark, sf_dir)
     threshold = point.first()["threshold"]
     rows = C.calibrated(C.raw_scores(_training(spark, sf_dir), model), calibrator)
-    rows = rows.select("entity_id", "txn_id", F.col("link_invoice").alias("invoice_id"), "p", F.col("date_delta_abs").alias("penalty"), F.col("invoice_link_score").alias("link_score"))
+    rows = rows.select("entity_id", "txn_id", F.col("link_invoice").alias("invoice_id"), "p", F.col("date_delta_abs").alias("penalty"), "rule_score", F.col("invoice_link_score").alias("link_score"))
     scored = flow.once(spark, sf_dir, "probabilities", lambda: rows)
     linked = scored.where("invoice_id <> ''")
-    taken = matching.one_to_one(linked, "entity_id", "invoice_id", [-F.col("p"), F.col("penalty"), -F.col("link_score"), F.col("entity_id"), F.col("txn_id"), F.col("invoice_id")])
+    taken = written(matching.assigned(linked), "taken")
     good = taken.where(F.col("p") >= threshold)
     found = A.evidence(scored.select("entity_id", "txn_id", F.col("p").alias("score"), "penalty"), linked, taken.select("invoice_id", F.col("entity_id").alias("holder")))
     rest = A.exceptions(flow.sources(spark, sf_dir).payments, good, found, threshold=threshold)
-    out = good.select("entity_id", F.lit("matched").alias("outcome"), F.lit("").alias("reason_code"), "txn_id", "invoice_id", F.col("p").alias("confidence"))
-    return out.unionByName(rest.select("entity_id", F.lit("exception").alias("outcome"), "reason_code", "txn_id", "invoice_id", "confidence"))
+    out = good.select("entity_id", F.lit("matched").alias("outcome"), F.lit("").alias("reason_code"), "txn_id", "invoice_id", F.col("p").alias("confidence"), "rivals", "decided_by")
+    none = {"rivals": F.lit(0).cast("long"), "decided_by": F.lit("")}
+    return out.unionByName(rest.select("entity_id", F.lit("exception").alias("outcome"), "reason_code", "txn_id", "invoice_id", "confidence").withColumns(none))
 
 
 # ---- corruption of the batch and its effect
@@ -471,7 +530,7 @@ def chaos_verdict(spark, sf_dir):
     s = flow.sources(spark, sf_dir)
     hurt = replace(s, bank=chaos.corrupted(s.bank, ["date_format_swap"]))
     best = rules.best_pairs(rules.scored(blocking.candidates(hurt), hurt))
-    late = flow.once(spark, sf_dir, "late-predictions", lambda: flow.predicted(best, rules.best_links(best, hurt)))
+    late = flow.once(spark, sf_dir, "late-predictions", lambda: flow.predicted(best, matching.resolved_links(best, hurt)))
     sides = [E.outcome(p, s.payments, s.truth, s.invoices, bank, THRESHOLD) for p, bank in ((flow.predictions(spark, sf_dir), s.bank), (late, hurt.bank))]
     out = chaos.verdict(*sides)
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith(("_coverage", "_precision", "_precision_low", "_precision_high"))})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import written
-from ..operators import blocking, rules, subsetsum
+from ..operators import blocking, matching, rules, subsetsum
 from ..sources.batch import Sources, derived_sources
 from ..sources.fixture import raw_tables
 
@@ -52,6 +52,10 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "best-links", lambda: rules.best_links(best(spark, sf_dir), sources(spark, sf_dir)))
 
 
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "resolved", lambda: matching.resolved_links(best(spark, sf_dir), sources(spark, sf_dir)))
+
+
 def with_batched(best: DataFrame, s: Sources) -> DataFrame:
     """The rules' pairs, and for payments that no rule settled those whose batch adds up to a credit."""
     found = rules.joined(subsetsum.batched_pairs(s, best).withColumn("passes", F.array().cast("array<string>")), s)
@@ -65,5 +69,6 @@ def predicted(pairs: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "predictions", lambda: predicted(best(spark, sf_dir), links(spark, sf_dir)))
+    """The rules' matches: each payment's best credit, and an invoice that no other payment has."""
+    return once(spark, sf_dir, "predictions", lambda: predicted(best(spark, sf_dir), resolved(spark, sf_dir)))
 

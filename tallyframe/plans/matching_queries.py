@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import blocking, matching, rules
+from ..operators.similarity import token_set_ratio
 from ..sources import batch
 from . import flow
 from . import oracle as O
@@ -302,7 +303,8 @@ chosen AS (SELECT s.* EXCLUDE (rule, named), l.invoice_id AS link_invoice, l.lin
 rows AS (SELECT c.*, coalesce(f.n, 0) AS often, {_SHOWN} AS named,
   CASE WHEN list_contains(utrs, utr) AND credit = net_amount AND abs(value_date - settled_date) <= 3 THEN 'utr_amount_date' WHEN list_contains(utrs, utr) AND credit = net_amount THEN 'utr_amount'
        WHEN credit = net_amount AND {_SHOWN} AND abs(value_date - settled_date) <= 3 THEN 'exact_amount_counterparty' WHEN abs(credit - {O.after_fee("c.amount")}) <= 5 AND abs(value_date - settled_date) <= 3 THEN 'fee_adjusted'
-       WHEN list_contains(utrs, utr) AND abs(credit - net_amount) <= 5 THEN 'utr_amount_tolerance' WHEN list_contains(utrs, utr) THEN 'utr_only' WHEN credit = net_amount AND abs(value_date - settled_date) <= 3 THEN 'exact_amount_date' ELSE 'none' END AS rule
+       WHEN list_contains(utrs, utr) AND abs(credit - net_amount) <= 5 THEN 'utr_amount_tolerance' WHEN list_contains(utrs, utr) THEN 'utr_only' WHEN credit = net_amount AND abs(value_date - settled_date) <= 3 THEN 'exact_amount_date'
+       WHEN {_SHOWN} AND abs(value_date - settled_date) <= 3 AND {O.similarity("icp", "nn")} >= 0.55 THEN 'fuzzy_counterparty_date' ELSE 'none' END AS rule
   FROM chosen c LEFT JOIN (SELECT counterparty, count(*) AS n FROM inv WHERE counterparty <> '' GROUP BY counterparty) f ON c.icp = f.counterparty),
 feat AS (SELECT entity_id, txn_id, CAST(abs(credit - net_amount) AS DOUBLE) AS amount_delta_abs, CAST(credit - net_amount AS DOUBLE) / abs(CASE WHEN net_amount = 0 THEN 1 ELSE net_amount END) AS amount_delta_pct,
   CAST(credit = net_amount AS DOUBLE) AS amount_exact, CAST(abs(credit - net_amount) <= 5 AS DOUBLE) AS amount_within_tolerance, CAST(value_date - settled_date AS DOUBLE) AS date_delta_days,
@@ -319,8 +321,7 @@ _ALL_LINKS = O.LINKS.replace("{pairs}", "pair")
 def candidate_rows(spark, sf_dir, similarities):
     """Every candidate, with the invoice that its receipt gives or its narration names best, the tier that fits (none: 'none') and features.
 
-    A tier is evidence here, not a gate. With similarities the fuzzy tier counts too. Before any assignment, no subset is known, so that
-    feature is 0.
+    A tier is evidence here, not a gate. Before any assignment, no subset is known, so that feature is 0.
     """
     s = flow.sources(spark, sf_dir)
     pairs = flow.once(spark, sf_dir, "joined", lambda: rules.joined(flow.candidates(spark, sf_dir), s))
@@ -328,7 +329,7 @@ def candidate_rows(spark, sf_dir, similarities):
     names = s.ledger.select(F.col("invoice_id").alias("link_invoice"), "counterparty")
     rows = pairs.drop("counterparty", "name_key").join(links, ["entity_id", "txn_id"], "left").join(names, "link_invoice", "left").withColumn("counterparty", F.coalesce("counterparty", F.lit("")))
     out = rules.features(rows, s, similarities)
-    hit = rules.rule_hit(F.col("narration_similarity") if similarities else None)
+    hit = rules.rule_hit(F.col("narration_similarity") if similarities else token_set_ratio("counterparty", "normalized_narration"))
     return out.withColumn("_hit", hit).select("*", F.coalesce("_hit.rule", F.lit("none")).alias("rule"), F.coalesce("_hit.rule_score", F.lit(0.0)).alias("rule_score")).drop("_hit")
 
 
@@ -345,6 +346,13 @@ def features_numeric(spark, sf_dir):
     return _features_out(candidate_rows(spark, sf_dir, False), NUMERIC)
 
 
+@query(O.sql("scored", f"SELECT p.entity_id, p.txn_id, round({O.similarity('p.cp', 'p.nn')}, 6) AS similarity FROM pair p"))
+def narration_similarity(spark, sf_dir):
+    """Of the name that a payment's receipt gives and a candidate's narration."""
+    pairs = flow.once(spark, sf_dir, "joined", lambda: rules.joined(flow.candidates(spark, sf_dir), flow.sources(spark, sf_dir)))
+    return pairs.select("entity_id", "txn_id", F.round(token_set_ratio("counterparty", "normalized_narration"), 6).alias("similarity"))
+
+
 @query()
 def features_similarity(spark, sf_dir):
     return _features_out(candidate_features(spark, sf_dir), ["narration_similarity", "narration_partial_similarity"])
@@ -352,7 +360,7 @@ def features_similarity(spark, sf_dir):
 
 @query()
 def export_with_similarity(spark, sf_dir):
-    """Every candidate with all 23 features and the fuzzy tier, which SQL lacks a similarity for."""
+    """Every candidate with all 23 features, of which SQL lacks the partial similarity."""
     rows = candidate_features(spark, sf_dir)
     return rows.select("entity_id", "settlement_id", "txn_id", F.coalesce("link_invoice", F.lit("")).alias("invoice_id"), "rule", "rule_score", *rules.FEATURES)
 
@@ -368,50 +376,33 @@ def counterparty_frequencies(spark, sf_dir):
     return flow.sources(spark, sf_dir).invoices.where("counterparty <> ''").groupBy("counterparty").agg(F.count("*").alias("n"))
 
 
-ROUNDS = 12
-
-
-def greedy_sql(edges: str, left: str, right: str, order: str) -> str:
-    """CTEs r0 ... with the edges that each round takes, over a table of edges."""
-    out = [f"e0 AS MATERIALIZED (SELECT * FROM ({edges}))"]
-    for k in range(ROUNDS):
-        out.append(f"t{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {left} ORDER BY {order}) AS rl, row_number() OVER (PARTITION BY {right} ORDER BY {order}) AS rr FROM e{k}) WHERE rl = 1 AND rr = 1)")
-        out.append(f"e{k + 1} AS MATERIALIZED (SELECT * FROM e{k} WHERE {left} NOT IN (SELECT {left} FROM t{k}) AND {right} NOT IN (SELECT {right} FROM t{k}))")
-    return ",".join(out)
-
-
-def _taken(columns: str) -> str:
-    return " UNION ALL ".join(f"SELECT {columns} FROM t{k}" for k in range(ROUNDS)) + f" UNION ALL SELECT {columns} FROM e{ROUNDS}"
-
-
-_FREE = "SELECT entity_id, invoice_id, link_score, abs(link_days) AS far, link_rule FROM linked WHERE invoice_id NOT IN (SELECT invoice_id FROM best WHERE invoice_id <> '')"
-
-
-@query(O.sql("links", f"SELECT entity_id, invoice_id, link_rule FROM ({_taken('entity_id, invoice_id, link_rule')}) UNION ALL SELECT entity_id, invoice_id, 'receipt_given' FROM best WHERE invoice_id <> ''", greedy_sql(_FREE, "entity_id", "invoice_id", "link_score DESC, far, invoice_id, entity_id")))
+@query(O.sql("resolved", "SELECT entity_id, invoice_id, link_rule FROM pick"))
 def invoice_resolution(spark, sf_dir):
-    return resolved_links(spark, sf_dir).select("entity_id", "invoice_id", "link_rule")
-
-
-def resolved_links(spark, sf_dir):
-    """Given receipts, then inferred links one to one."""
-    pairs = flow.best(spark, sf_dir)
-    given = rules.given_links(pairs)
-    free = rules.link_scores(pairs, flow.sources(spark, sf_dir)).select(*given.columns).join(given.select("invoice_id").distinct(), "invoice_id", "left_anti").select(*given.columns)
-    taken = matching.one_to_one(free, "entity_id", "invoice_id", [-F.col("link_score"), F.abs(F.col("link_days")), F.col("invoice_id"), F.col("entity_id")])
-    return given.unionByName(taken)
+    return flow.resolved(spark, sf_dir).select("entity_id", "invoice_id", "link_rule")
 
 
 _EDGES = "SELECT s.entity_id, l.invoice_id, s.txn_id, round(s.rule_score * l.link_score, 4) AS p, s.penalty, s.rule_score, l.link_score FROM scored s JOIN link l ON s.entity_id = l.entity_id AND s.txn_id = l.txn_id"
-_SCORED_LINKS = O.LINKS.replace("{pairs}", "scored").replace("named AS", "named AS")
+_SCORED_LINKS = O.LINKS.replace("{pairs}", "scored")
 
 
-@query("WITH " + ",".join([O.STEPS["raw"], O.STEPS["typed"], O.STEPS["candidates"], O.STEPS["scored"], _SCORED_LINKS, greedy_sql(_EDGES, "entity_id", "invoice_id", "p DESC, penalty, rule_score DESC, link_score DESC, entity_id, txn_id, invoice_id")]) + f" SELECT entity_id, invoice_id, txn_id, p FROM ({_taken('entity_id, invoice_id, txn_id, p')})")
+@query("WITH " + ",".join([O.STEPS["raw"], O.STEPS["typed"], O.STEPS["candidates"], O.STEPS["scored"], _SCORED_LINKS, O.greedy(_EDGES, "entity_id", "invoice_id", "p DESC, penalty, rule_score DESC, link_score DESC, entity_id, txn_id, invoice_id")]) + f" SELECT entity_id, invoice_id, txn_id, p FROM ({O.taken('entity_id, invoice_id, txn_id, p')})")
 def greedy_one_to_one(spark, sf_dir):
-    return matching.one_to_one(probability_edges(spark, sf_dir), "entity_id", "invoice_id", EDGE_ORDER()).select("entity_id", "invoice_id", "txn_id", "p")
+    return matching.assigned(probability_edges(spark, sf_dir)).select("entity_id", "invoice_id", "txn_id", "p")
+
+
+_PARTS = {"date proximity": "penalty", "rule tier": "rule_score", "invoice link strength": "link_score", "entity id": "entity_id", "transaction id": "txn_id"}
+_RIVALS = "taken AS (" + O.taken("*").replace("e12", "(SELECT *, 1 AS rl, 1 AS rr FROM e12)") + """),
+tied AS (SELECT e.* FROM e0 e JOIN (SELECT invoice_id, max(p) AS p FROM e0 GROUP BY invoice_id) b ON e.invoice_id = b.invoice_id AND e.p = b.p),
+rival AS (SELECT r.*, count(*) OVER (PARTITION BY r.invoice_id) AS n, row_number() OVER (PARTITION BY r.invoice_id ORDER BY r.penalty, r.rule_score DESC, r.link_score DESC, r.entity_id, r.txn_id) AS nth
+  FROM tied r JOIN taken t ON r.invoice_id = t.invoice_id AND r.entity_id <> t.entity_id)"""
+_DECIDED = "CASE WHEN r.n IS NULL THEN '' " + " ".join(f"WHEN t.{c} <> r.{c} THEN '{name}'" for name, c in _PARTS.items()) + " ELSE 'identical on every component' END"
 
 
-def EDGE_ORDER():
-    return [-F.col("p"), F.col("penalty"), -F.col("rule_score"), -F.col("link_score"), F.col("entity_id"), F.col("txn_id"), F.col("invoice_id")]
+@query("WITH " + ",".join([O.STEPS["raw"], O.STEPS["typed"], O.STEPS["candidates"], O.STEPS["scored"], _SCORED_LINKS, O.greedy(_EDGES, "entity_id", "invoice_id", "p DESC, penalty, rule_score DESC, link_score DESC, entity_id, txn_id, invoice_id"), _RIVALS])
+       + f" SELECT t.entity_id, t.invoice_id, t.txn_id, t.p, coalesce(r.n, 0) AS rivals, {_DECIDED} AS decided_by FROM taken t LEFT JOIN (SELECT * FROM rival WHERE nth = 1) r ON t.invoice_id = r.invoice_id")
+def assignment_ties(spark, sf_dir):
+    """Each taken edge with its rivals for the invoice and what decided between them."""
+    return matching.assigned(probability_edges(spark, sf_dir)).select("entity_id", "invoice_id", "txn_id", "p", "rivals", "decided_by")
 
 
 def probability_edges(spark, sf_dir):

@@ -85,14 +85,27 @@ cand AS (SELECT settlement_id, entity_id, txn_id, list_sort(list_distinct(list(p
 """
 _UTR, _SAME, _NEAR = "list_contains(b.utrs, s.utr)", "b.credit = s.net_amount", "abs(b.value_date - s.settled_date) <= 3"
 _NAME = "(s.cp <> '' AND contains(replace(b.nn, ' ', ''), s.cp[1:6]))"
+
+
+def similarity(a: str, b: str) -> str:
+    """The token-set ratio of a name of one token and a narration: the common subsequence by bits of a HUGEINT."""
+    text = f"array_to_string(list_sort(list_distinct(string_split({b}, ' '))), ' ')"
+    bits = f"(CAST(pow(2, length({a})) AS HUGEINT) - 1)"
+    mask = f"list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN {a}[i] = c THEN CAST(pow(2, i - 1) AS HUGEINT) ELSE CAST(0 AS HUGEINT) END))::HUGEINT"
+    left = f"list_reduce(list_transform(string_split({text}, ''), lambda c: {mask}), lambda s, m: ((s + (s & m)) | (s - (s & m))) & {bits}, {bits})"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 WHEN list_contains(string_split({b}, ' '), {a}) THEN 1 ELSE CAST(2 * (length({a}) - bit_count({left})) AS DOUBLE) / (length({a}) + length({text})) END"
+
+
+SIMILAR = similarity("s.cp", "b.nn")
 SCORED = f"""
 pair AS (SELECT c.*, s.utr, s.invoice_id, s.amount, s.net_amount, s.settled_date, s.cp, b.credit, b.value_date, b.utrs, b.nn,
   CASE WHEN {_UTR} AND {_SAME} AND {_NEAR} THEN 'utr_amount_date' WHEN {_UTR} AND {_SAME} THEN 'utr_amount' WHEN {_SAME} AND {_NAME} AND {_NEAR} THEN 'exact_amount_counterparty'
        WHEN abs(b.credit - {after_fee("s.amount")}) <= 5 AND {_NEAR} THEN 'fee_adjusted' WHEN {_UTR} AND abs(b.credit - s.net_amount) <= 5 THEN 'utr_amount_tolerance' WHEN {_UTR} THEN 'utr_only'
-       WHEN {_SAME} AND {_NEAR} THEN 'exact_amount_date' END AS rule, {_NAME} AS named
+       WHEN {_SAME} AND {_NEAR} THEN 'exact_amount_date'
+       WHEN {_NAME} AND {_NEAR} AND {SIMILAR} >= 0.55 THEN 'fuzzy_counterparty_date' END AS rule, {_NAME} AS named
   FROM cand c JOIN pay s ON c.entity_id = s.entity_id JOIN bnk b ON c.txn_id = b.txn_id),
 scored AS (SELECT *, CAST(CASE rule WHEN 'utr_amount_date' THEN 0.99 WHEN 'utr_amount' THEN 0.97 WHEN 'exact_amount_counterparty' THEN 0.94 WHEN 'fee_adjusted' THEN 0.90 WHEN 'utr_amount_tolerance' THEN 0.97
-  WHEN 'utr_only' THEN 0.82 ELSE 0.70 END AS DOUBLE) AS rule_score, CASE WHEN rule IN ('fee_adjusted', 'exact_amount_date') THEN 'fuzzy' ELSE 'exact' END AS layer, abs(value_date - settled_date) / CAST(1000 AS DOUBLE) AS penalty
+  WHEN 'utr_only' THEN 0.82 WHEN 'exact_amount_date' THEN 0.70 ELSE round(CAST(0.65 AS DOUBLE) * least(1.0, {similarity("pair.cp", "pair.nn")}), 4) END AS DOUBLE) AS rule_score, CASE WHEN rule IN ('fee_adjusted', 'exact_amount_date', 'fuzzy_counterparty_date') THEN 'fuzzy' ELSE 'exact' END AS layer, abs(value_date - settled_date) / CAST(1000 AS DOUBLE) AS penalty
   FROM pair WHERE rule IS NOT NULL),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY rule_score DESC, penalty, txn_id) = 1)
 """
@@ -110,11 +123,34 @@ linked AS (SELECT *, CAST(CASE link_rule WHEN 'invoice_exact_amount' THEN 0.95 W
 link AS (SELECT settlement_id, entity_id, txn_id, invoice_id, CAST(1.0 AS DOUBLE) AS link_score, 'receipt_given' AS link_rule, CAST(0 AS BIGINT) AS link_days FROM {{pairs}} WHERE invoice_id <> ''
   UNION ALL SELECT settlement_id, entity_id, txn_id, invoice_id, link_score, link_rule, link_days FROM linked QUALIFY row_number() OVER (PARTITION BY entity_id, txn_id ORDER BY link_score DESC, abs(link_days), invoice_id) = 1)
 """
+ROUNDS = 12
+
+
+def greedy(edges: str, left: str, right: str, order: str) -> str:
+    """CTEs with the edges that each round takes, over a table of edges."""
+    out = [f"e0 AS MATERIALIZED (SELECT * FROM ({edges}))"]
+    for k in range(ROUNDS):
+        out.append(f"t{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {left} ORDER BY {order}) AS rl, row_number() OVER (PARTITION BY {right} ORDER BY {order}) AS rr FROM e{k}) WHERE rl = 1 AND rr = 1)")
+        out.append(f"e{k + 1} AS MATERIALIZED (SELECT * FROM e{k} WHERE {left} NOT IN (SELECT {left} FROM t{k}) AND {right} NOT IN (SELECT {right} FROM t{k}))")
+    return ",".join(out)
+
+
+def taken(columns: str) -> str:
+    return " UNION ALL ".join(f"SELECT {columns} FROM t{k}" for k in range(ROUNDS)) + f" UNION ALL SELECT {columns} FROM e{ROUNDS}"
+
+
+def resolved(pairs: str) -> str:
+    """pick: given receipts, then inferred links one to one."""
+    free = f"SELECT settlement_id, entity_id, txn_id, invoice_id, link_score, abs(link_days) AS far, link_rule FROM linked WHERE invoice_id NOT IN (SELECT invoice_id FROM {pairs} WHERE invoice_id <> '')"
+    columns = "settlement_id, entity_id, txn_id, invoice_id, link_score, link_rule"
+    return greedy(free, "entity_id", "invoice_id", "link_score DESC, far, invoice_id, entity_id") + f", pick AS MATERIALIZED (SELECT {columns} FROM link WHERE link_rule = 'receipt_given' UNION ALL {taken(columns)})"
+
+
 PREDICTED = """
-pred AS (SELECT l.invoice_id, l.settlement_id, l.txn_id, l.entity_id, b.rule, l.link_rule, b.layer, round(b.rule_score * l.link_score, 4) AS confidence FROM best b JOIN link l ON b.entity_id = l.entity_id AND b.txn_id = l.txn_id),
+pred AS (SELECT l.invoice_id, l.settlement_id, l.txn_id, l.entity_id, b.rule, l.link_rule, b.layer, round(b.rule_score * l.link_score, 4) AS confidence FROM best b JOIN pick l ON b.entity_id = l.entity_id AND b.txn_id = l.txn_id),
 truth AS (SELECT * FROM raw_truth)
 """
-STEPS = {"raw": RAW.format(orders="orders", customer="customer"), "typed": TYPED, "candidates": CANDIDATES, "scored": SCORED, "links": LINKS.replace("{pairs}", "best"), "predicted": PREDICTED}
+STEPS = {"raw": RAW.format(orders="orders", customer="customer"), "typed": TYPED, "candidates": CANDIDATES, "scored": SCORED, "links": LINKS.replace("{pairs}", "best"), "resolved": resolved("best"), "predicted": PREDICTED}
 
 
 def sql(upto: str, select: str, *more: str) -> str:
