@@ -21,8 +21,9 @@ import codecs
 import heapq
 import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -314,63 +315,87 @@ class Merger:
 
 
 class Encoder:
-    """Ids and spans of texts, many at a time; remembers up to `most_chunks` chunks."""
+    """Ids and spans of texts, many at a time. Each distinct chunk has a number, under which its ids are kept, side by side with those of all
+    others; with more than `most_chunks` of them all are forgotten."""
 
-    def __init__(self, model: Model, most_chunks: int = 300_000):
-        self.model, self.normal, self.split, self.most, self.known = model, Normalizer(model), model.chunks().findall, most_chunks, {}
+    def __init__(self, model: Model, most_chunks: int = 400_000):
+        self.model, self.normal, self.split, self.most = model, Normalizer(model), model.chunks().findall, most_chunks
         self.merge = Merger(model)
         self.takes = np.array([0 if k == CONTROL else 1 if k in (BYTE, UNKNOWN) else len(p) for p, k in zip(model.pieces, model.kinds, strict=True)])
         places = np.arange(len(model.pieces)) - model.bytes_at
         self.is_byte = np.array(model.kinds) == BYTE
         self.continues = self.is_byte & (places & 0xC0 == 0x80)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = defaultdict(count().__next__)
+        self.ids, self.begins = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _ids_of(self, symbol: str) -> list[int]:
         """Of one character that is no piece."""
         return [self.model.bytes_at + b for b in symbol.encode("utf-8", "replace")] if self.model.fallback else [self.model.unknown]
 
-    def _learn(self, chunks: set[str]) -> None:
-        m, size = self.model, self.merge.size
-        if len(self.known) + len(chunks) > self.most:
-            self.known.clear()
-        lengths: dict[int, list[str]] = {}
-        for c in chunks:
-            lengths.setdefault(len(c), []).append(c)
-        for n, some in lengths.items():
-            if n > LONG or len(some) < FEW:
-                for c in some:
-                    self.known[c] = tuple(i for p in merged(c, m.ranks) for i in ([m.ids[p]] if p in m.ranks else self._ids_of(p)))
+    def _learn(self) -> None:
+        """Ids of the chunks that have a number and no ids yet."""
+        m, size, known = self.model, self.merge.size, len(self.begins) - 1
+        new = list(islice(self.numbers, known, None))
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        order = np.argsort(sizes, kind="stable")
+        found, lengths = [], np.zeros(len(new), np.int64)
+        for places in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            some = [new[k] for k in places.tolist()]
+            if not some or len(some[0]) > LONG or len(some) < FEW:
+                found += [(k, [i for p in merged(c, m.ranks) for i in ([m.ids[p]] if p in m.ranks else self._ids_of(p))]) for k, c in zip(places.tolist(), some, strict=True)]
                 continue
-            for places, symbols in self.merge(some):
-                if symbols.max() < size:
-                    self.known.update(zip(map(some.__getitem__, places.tolist()), map(tuple, symbols.tolist()), strict=True))
-                else:
-                    for at, row in zip(places.tolist(), symbols.tolist(), strict=True):
-                        self.known[some[at]] = tuple(i for x in row for i in ([x] if x < size else self._ids_of(chr(x - size))))
+            for rows, symbols in self.merge(some):
+                odd = symbols.max(axis=1) >= size
+                found += [(k, [i for x in row for i in ([x] if x < size else self._ids_of(chr(x - size)))]) for k, row in zip(places[rows[odd]].tolist(), symbols[odd].tolist(), strict=True)]
+                lengths[places[rows]] = symbols.shape[1]
+                found.append((places[rows[~odd]], symbols[~odd]))
+        for k, ids in found:
+            if isinstance(k, int):
+                lengths[k] = len(ids)
+        begins = self.begins[-1] + np.concatenate([[0], np.cumsum(lengths)])
+        fresh = np.empty(begins[-1] - begins[0], np.int32)
+        for k, ids in found:
+            at = begins[k] - begins[0]
+            if isinstance(k, int):
+                fresh[at : at + len(ids)] = ids
+            else:
+                fresh[at[:, None] + np.arange(ids.shape[1])] = ids
+        self.ids, self.begins = np.concatenate([self.ids, fresh]), np.concatenate([self.begins, begins[1:]])
 
-    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(ids, first bytes, ends) of the pieces of each text."""
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first bytes, ends) of the pieces of all texts, and where each text's begin."""
+        if len(self.numbers) > self.most:
+            self._forget()
         normal = [self.normal(t) for t in texts]
         chunks = [self.split(n) for n, _ in normal]
-        new = set().union(*chunks)
-        new.difference_update(self.known)
-        if len(self.known) + len(new) > self.most:
-            new = set().union(*chunks)  # all is forgotten
-        self._learn(new)
-        known = self.known.__getitem__
-        for (_, at_byte), of_text in zip(normal, chunks, strict=True):
-            ids = np.fromiter(chain.from_iterable(map(known, of_text)), np.int32)
-            takes = self.takes[ids]
-            takes[:-1][self.is_byte[ids[:-1]] & self.continues[ids[1:]]] = 0  # a character's last byte takes it
-            ends = np.cumsum(takes)
-            found = ids, at_byte[ends - takes], at_byte[ends]
-            yield found if self.model.fallback else self._joined(*found)
-
-    def _joined(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Neighbours without a piece are one unknown piece."""
-        opens = np.ones(len(ids), bool)
+        number = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(chunks)), np.int64)
+        if len(self.numbers) >= len(self.begins):
+            self._learn()
+        first, n = self.begins[number], self.begins[number + 1] - self.begins[number]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(first - upto[:-1], n) + np.arange(upto[-1])]
+        offsets = upto[np.concatenate([[0], np.cumsum([len(c) for c in chunks])]).astype(np.int64)]
+        takes = self.takes[ids]
+        takes[:-1][self.is_byte[ids[:-1]] & self.continues[ids[1:]]] = 0  # a character's last byte takes it
+        # a text's places are followed by its end, so places of later texts are one further on for each text before
+        ends = np.cumsum(takes) + np.repeat(np.arange(len(texts)), np.diff(offsets))
+        at_byte = np.concatenate([a for _, a in normal]) if normal else np.zeros(1, np.int64)
+        starts, ends = at_byte[ends - takes], at_byte[ends]
+        if self.model.fallback or not len(ids):
+            return ids, starts, ends, offsets
+        opens = np.ones(len(ids), bool)  # neighbours without a piece are one unknown piece
         opens[1:] = (ids[1:] != self.model.unknown) | (ids[:-1] != self.model.unknown)
-        last = np.concatenate([opens[1:], np.ones(min(1, len(ids)), bool)])
-        return ids[opens], starts[opens], ends[last]
+        opens[offsets[(offsets > 0) & (offsets < len(ids))]] = True
+        return ids[opens], starts[opens], ends[np.append(opens[1:], True)], np.concatenate([[0], np.cumsum(opens)])[offsets]
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, first bytes, ends) of the pieces of each text."""
+        *found, offsets = self.flat(texts)
+        for a, b in pairwise(offsets.tolist()):
+            yield tuple(x[a:b] for x in found)
 
 
 def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -416,12 +441,6 @@ class Decoder:
             return "".join(out)
 
 
-def _lists(parts: list, kind: pa.DataType) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    flat = np.concatenate([np.asarray(p, np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
-
-
 def encode(docs: DataFrame, model: Model, text: str = "text", end: bool = True) -> DataFrame:
     """docs with `ids`, and `starts` and `ends`, the span of bytes of the text that each id stands for; with an end id if `end`."""
 
@@ -429,15 +448,13 @@ def encode(docs: DataFrame, model: Model, text: str = "text", end: bool = True)
         encoder = Encoder(model)
 
         def columns_of(batch: pa.RecordBatch) -> list[pa.Array]:
-            ids, starts, ends = [], [], []
-            for i, s, e in encoder([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]):
-                if end:
-                    last = e[-1:] if len(e) else [0]
-                    i, s, e = np.append(i, model.end), np.append(s, last), np.append(e, last)
-                ids.append(i)
-                starts.append(s)
-                ends.append(e)
-            return [_lists(x, pa.int32()) for x in (ids, starts, ends)]
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            ids, starts, ends, offsets = encoder.flat(texts)
+            if end:
+                last = np.where(np.diff(offsets) > 0, np.append(ends, 0)[offsets[1:] - 1], 0)
+                ids, starts, ends = (np.insert(x, offsets[1:], v) for x, v in ((ids, model.end), (starts, last), (ends, last)))
+                offsets = offsets + np.arange(len(offsets))
+            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.astype(np.int32))) for x in (ids, starts, ends)]
 
         return columns_of
 
@@ -452,7 +469,9 @@ def decode(df: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
         decoder = Decoder(model)
 
         def columns_of(batch: pa.RecordBatch) -> list[pa.Array]:
-            return [pa.array([decoder(i) for i in batch.column(batch.schema.get_field_index(ids)).to_pylist()], pa.string())]
+            column = batch.column(batch.schema.get_field_index(ids)).fill_null([])
+            flat, offsets = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
+            return [pa.array([decoder(flat[a:b]) for a, b in pairwise(offsets)], pa.string())]
 
         return columns_of
 
