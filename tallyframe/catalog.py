@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import boundary_queries, evaluation_queries, matching_queries  # noqa: F401
+from .plans import boundary_queries, evaluation_queries, matching_queries, report_queries  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 

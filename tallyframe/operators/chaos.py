@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,7 @@ CORRUPTIONS: dict[str, Callable[[], dict[str, Column]]] = {
     "currency_symbol_noise": lambda: {"narration": F.concat("narration", F.lit(" AMT INR "), S.rupees_grouped(F.col("credit")), F.lit("/-"))},
     "merged_credits": lambda: {"narration": F.concat("narration", F.lit(" +CONSOLIDATED")), "credit": F.col("credit") + 50_000 + S.md5_bucket(F.concat(F.lit("merge:"), F.col("txn_id")), 450_000)},
 }
+CLEAN = "clean"
 # Words of a request that name a corruption.
 KEYWORDS = {
     "date_format_swap": ("date", "dates", "day", "timing", "value date", "calendar", "early", "late", "shift"),
@@ -73,6 +75,45 @@ def corrupted(bank: DataFrame, names: list[str], share: float = 1.0, seed: int =
     return derived_narration(out)
 
 
+def variants(bank: DataFrame, names: tuple[str, ...] = tuple(CORRUPTIONS), share: float = 1.0, seed: int = 7) -> DataFrame:
+    """bank as it is and once under each corruption, in one table; ids open with the variant's name and a slash."""
+    each = [derived_narration(bank)] + [corrupted(bank, [n], share, seed).select(*bank.columns) for n in names]
+    return reduce(DataFrame.unionByName, [df.select(*bank.columns).withColumn("txn_id", F.concat(F.lit(f"{n}/"), F.col("txn_id"))) for n, df in zip((CLEAN, *names), each, strict=True)])
+
+
+def variant() -> Column:
+    return F.substring_index("txn_id", "/", 1)
+
+
+def outcomes(predictions: DataFrame, bank: DataFrame, payments: DataFrame, truth: DataFrame, invoices: DataFrame, threshold: float, names: tuple[str, ...] = tuple(CORRUPTIONS)) -> DataFrame:
+    """A row for each variant: what its matches at the threshold come to against the one truth, beside those of the clean batch, and how it was
+    borne. predictions and bank: over variants."""
+    kept = predictions.where(F.col("confidence") >= threshold)
+    top = kept.groupBy("invoice_id", "settlement_id", "txn_id").agg(F.count("*").alias("_n"))
+    money = top.join(invoices.select("invoice_id", F.col("amount").alias("_billed")), "invoice_id", "left").join(bank.select("txn_id", F.col("credit").alias("_paid")), "txn_id", "left")
+    good = truth.where("case_type <> 'orphan'").select("invoice_id", "settlement_id", F.col("txn_id").alias("_true"), F.lit(1).alias("right")).distinct()
+    own = F.substring_index("txn_id", "/", -1)
+    judged = money.withColumn("_true", own).join(good, ["invoice_id", "settlement_id", "_true"], "left").withColumn("wrong", F.when(F.col("right").isNull(), 1).otherwise(0))
+    counts = judged.groupBy(variant().alias("corruption")).agg(F.count("*").alias("n"), F.sum("wrong").alias("false_matches"), F.sum(F.col("wrong") * F.coalesce("_billed", "_paid", F.lit(0))).alias("wrong_money"))
+    matched = kept.groupBy(variant().alias("corruption")).agg(F.countDistinct("entity_id").alias("matched"))
+    names = kept.sparkSession.createDataFrame([(n,) for n in (CLEAN, *names)], "corruption string")
+    total = payments.agg(F.countDistinct("entity_id").alias("_all"))
+    rows = names.join(counts, "corruption", "left").join(matched, "corruption", "left").na.fill(0).join(total)  # a row a variant, and one row
+    rows = rows.select("corruption", "matched", (F.col("_all") - F.col("matched")).alias("exceptions"), F.coalesce(F.try_divide("matched", "_all"), F.lit(0.0)).alias("coverage"),
+                       F.coalesce(F.try_divide(F.col("n") - F.col("false_matches"), F.col("n")), F.lit(1.0)).alias("precision"), "false_matches", "wrong_money")
+    clean = rows.where(F.col("corruption") == CLEAN).select(*[F.col(c).alias(f"_{c}") for c in ("coverage", "false_matches", "wrong_money")])
+    grown = {c: F.col(c) - F.col(f"_{c}") for c in ("coverage", "false_matches", "wrong_money")}
+    graceful, reading = borne(grown)
+    out = {"graceful": graceful, "coverage_delta": F.round(grown["coverage"], 4), "extra_false_matches": grown["false_matches"], "extra_wrong_money": grown["wrong_money"], "reading": reading}
+    return rows.join(clean).withColumns(out).drop(*clean.columns)
+
+
+def borne(grown: dict[str, Column]) -> tuple[Column, Column]:
+    """Whether a corruption was borne gracefully, which is told by false matches: coverage may fall, they may not grow."""
+    graceful = grown["false_matches"] <= 0
+    return graceful, F.when(~graceful, "false matches grew").when(grown["coverage"] < 0, "coverage fell, no new false match").otherwise("no effect on matches")
+
+
 def by_keyword(text: Column) -> Column:
     """Up to three corruptions whose words the text holds."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
@@ -92,9 +133,8 @@ def share_from_text(text: Column, default: float = 0.5) -> Column:
 
 
 def verdict(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: both outcomes and whether the corruption was borne gracefully, which is told by false matches: coverage may fall, they may not grow."""
+    """One row: both outcomes and how the corruption was borne."""
     sides = [df.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns]) for name, df in (("before", before), ("after", after))]
     grown = {c: F.col(f"after_{c}") - F.col(f"before_{c}") for c in ("coverage", "false_matches", "wrong_money")}
-    graceful = grown["false_matches"] <= 0
-    reading = F.when(~graceful, "false matches grew").when(grown["coverage"] < 0, "coverage fell, no new false match").otherwise("no effect on matches")
+    graceful, reading = borne(grown)
     return sides[0].join(sides[1]).withColumns({"graceful": graceful, "coverage_delta": F.round(grown["coverage"], 4), "extra_false_matches": grown["false_matches"], "extra_wrong_money": grown["wrong_money"], "reading": reading})  # one row each

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
+
 TRIPLE = ["invoice_id", "settlement_id", "txn_id"]
 HELD_OUT = ("tds_deducted", "refund_netted")
 Z = 1.96
@@ -103,6 +105,47 @@ def confusion(rows: DataFrame, truth: DataFrame, threshold: float) -> DataFrame:
     return met.groupBy("case_type").agg(F.count("*").alias("total"), count(matched).alias("matched"), count(~matched & ~orphan).alias("missed"), count(~matched & orphan).alias("refused")).withColumn("held_out", F.col("case_type").isin(*HELD_OUT))
 
 
+def report(rows: DataFrame, truth: DataFrame, invoices: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """(threshold, scope, name, total, matched, missed, refused, money, matched_money): one pass over truth for all thresholds, counted over
+    everything (scope 'all'), over seen and held-out types ('split') and by type ('case')."""
+    hit = rows.select(*TRIPLE, F.col("confidence").alias("_hit"))
+    taken = rows.groupBy("txn_id").agg(F.max("confidence").alias("_taken"))
+    met = truth.join(hit, TRIPLE, "left").join(taken, "txn_id", "left").join(invoices.select("invoice_id", F.col("amount").alias("_due")), "invoice_id", "left")
+    orphan, held = F.col("case_type") == "orphan", F.col("case_type").isin(*HELD_OUT)
+    known = F.when(orphan, F.col("_taken")).otherwise(F.col("_hit"))
+    at = met.select("case_type", held.alias("held_out"), orphan.alias("_orphan"), "_due", known.alias("_known"), F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
+    matched = F.coalesce(F.col("_known") >= F.col("threshold"), F.lit(False))
+    count = lambda c: F.count(F.when(c, 1))
+    money = lambda c: F.coalesce(F.sum(F.when(c & ~F.col("_orphan"), F.col("_due"))), F.lit(0))
+    sets = [["threshold"], ["threshold", "held_out"], ["threshold", "held_out", "case_type"]]
+    scope = F.when(F.grouping("held_out") == 1, "all").when(F.grouping("case_type") == 1, "split").otherwise("case")
+    out = at.groupingSets([[F.col(c) for c in s] for s in sets], "threshold", "held_out", "case_type").agg(
+        scope.alias("scope"), F.count("*").alias("total"), count(matched).alias("matched"), count(~matched & ~F.col("_orphan")).alias("missed"), count(~matched & F.col("_orphan")).alias("refused"),
+        money(F.lit(True)).alias("money"), money(matched).alias("matched_money"),
+    )
+    name = F.when(F.col("scope") == "all", "").when(F.col("scope") == "case", F.col("case_type")).when(F.col("held_out"), "held out").otherwise("seen")
+    return out.select("threshold", "scope", name.alias("name"), "total", "matched", "missed", "refused", "money", "matched_money")
+
+
+REPORT = "threshold double, scope string, name string, total long, matched long, missed long, refused long, money long, matched_money long"
+
+
+def build_report(predictions: DataFrame, truth: DataFrame, invoices: DataFrame, bank: DataFrame, threshold: float, thresholds: tuple[float, ...], path: str) -> None:
+    """Score, curve and counts by case type of a run, each as JSON lines in a folder of its own below path; the predictions are judged once."""
+    rows = written(judged(predictions, truth, invoices, bank), "judged")
+    score_at(rows, truth, invoices, threshold).withColumn("threshold", F.lit(float(threshold))).write.mode("overwrite").json(f"{path}/score")
+    save_curve(curve(rows, truth, invoices), f"{path}/curve")
+    report(rows, truth, invoices, thresholds).write.mode("overwrite").json(f"{path}/cases")
+
+
+SCORE = "threshold double, n_predicted long, n_true long, n_false long, n_decidable long, n_orphans long, n_refused long, total_money long, matched_money long, wrong_money long, coverage double, precision double, recall double, money_precision double, money_error double, refusal double"
+
+
+def load_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(score, curve, cases)."""
+    return spark.read.schema(SCORE).json(f"{path}/score"), load_curve(spark, f"{path}/curve"), spark.read.schema(REPORT).json(f"{path}/cases")
+
+
 def justified() -> Column:
     """Whether a reason's claim about what was available holds: reason_code, n_candidates, had_txn, had_invoice."""
     code = F.col("reason_code")

@@ -26,12 +26,15 @@ def one_to_one(edges: DataFrame, left: str, right: str, order: list[Column]) ->
     return reduce(DataFrame.unionByName, taken) if taken else edges.limit(0)
 
 
-def resolved_links(pairs: DataFrame, sources: Sources) -> DataFrame:
-    """Given receipts, then inferred links one to one: strongest first, then fewer days apart, then by ids. Invoices of receipts are not free."""
+def resolved_links(pairs: DataFrame, sources: Sources, run: Column | None = None) -> DataFrame:
+    """Given receipts, then inferred links one to one: strongest first, then fewer days apart, then by ids. Invoices of receipts are not free.
+
+    run: an expression of the pairs' ids that tells runs apart, each of which has all payments and invoices for itself."""
+    ends = {name: F.concat_ws("/", *([] if run is None else [run]), F.col(c)) for name, c in (("_payment", "entity_id"), ("_bill", "invoice_id"))}
     given = rules.given_links(pairs)
-    free = rules.link_scores(pairs, sources).select(*given.columns).join(given.select("invoice_id").distinct(), "invoice_id", "left_anti").select(*given.columns)
-    taken = one_to_one(free, "entity_id", "invoice_id", [-F.col("link_score"), F.abs(F.col("link_days")), F.col("invoice_id"), F.col("entity_id")])
-    return given.unionByName(taken)
+    free = rules.link_scores(pairs, sources).select(*given.columns).withColumns(ends).join(given.withColumns(ends).select("_bill").distinct(), "_bill", "left_anti")
+    taken = one_to_one(free, "_payment", "_bill", [-F.col("link_score"), F.abs(F.col("link_days")), F.col("invoice_id"), F.col("entity_id")])
+    return given.unionByName(taken.select(*given.columns))
 
 
 #: What orders candidates of equal probability, and what each part is called in the record; least first.

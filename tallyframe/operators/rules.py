@@ -70,9 +70,9 @@ def scored(pairs: DataFrame, sources: Sources) -> DataFrame:
     return joined(pairs, sources).withColumn("_hit", rule_hit(token_set_ratio("counterparty", "normalized_narration"))).where("_hit is not null").select("*", "_hit.*", date_penalty().alias("penalty")).drop("_hit")
 
 
-def best_pairs(hits: DataFrame) -> DataFrame:
-    """The best pair of each payment."""
-    w = Window.partitionBy("entity_id").orderBy(F.desc("rule_score"), "penalty", "txn_id")
+def best_pairs(hits: DataFrame, run: Column | None = None) -> DataFrame:
+    """The best pair of each payment, in each run if `run` tells several apart."""
+    w = Window.partitionBy("entity_id", *([] if run is None else [run])).orderBy(F.desc("rule_score"), "penalty", "txn_id")
     return hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

@@ -12,7 +12,7 @@ from . import oracle as O
 from .matching_queries import BIG
 from .registry import query
 
-_COMMA = "format('{:,}', credit // 100) || '.' || lpad(CAST(credit % 100 AS VARCHAR), 2, '0')"
+COMMA = "format('{:,}', credit // 100) || '.' || lpad(CAST(credit % 100 AS VARCHAR), 2, '0')"
 _UTR12 = "coalesce((" + O.utrs("narration") + ")[1], '000000000000')"
 _NAMES = "regexp_extract_all(narration, '[A-Za-z]{4,}')[1:2]"
 
@@ -26,7 +26,10 @@ def _hurt(spark, sf_dir, name, column="narration"):
     return out.select("txn_id", (F.col(column).cast("string") if column == "value_date" else F.col(column)).alias(column))
 
 
-@query(_chaos_sql(f"'TXN|' || CAST(value_date AS VARCHAR) || '|CR|REF#' || {_UTR12} || '|REMITTER=' || CASE WHEN len({_NAMES}) = 0 THEN 'PAYER' ELSE array_to_string({_NAMES}, ' ') END || '|CHNL=RTGS|STS=SUCCESS'"))
+UNSEEN = f"'TXN|' || CAST(value_date AS VARCHAR) || '|CR|REF#' || {_UTR12} || '|REMITTER=' || CASE WHEN len({_NAMES}) = 0 THEN 'PAYER' ELSE array_to_string({_NAMES}, ' ') END || '|CHNL=RTGS|STS=SUCCESS'"
+
+
+@query(_chaos_sql(UNSEEN))
 def chaos_unseen_narration(spark, sf_dir):
     return _hurt(spark, sf_dir, "unseen_narration")
 
@@ -52,7 +55,11 @@ for _a, _b in (("A", "aa"), ("I", "ee"), ("U", "oo"), ("V", "w"), ("S", "sh")):
     _SWAP = f"replace({_SWAP}, '{_a}', '{_b}')"
 
 
-@query(_chaos_sql(f"array_to_string(list_transform(string_split(regexp_replace(narration, '([A-Z]{{4,}})', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: CASE WHEN regexp_full_match(x, '[A-Z]{{4,}}') THEN upper({_SWAP}) ELSE x END), '')"))
+def transliterated(text):
+    return f"array_to_string(list_transform(string_split(regexp_replace({text}, '([A-Z]{{4,}})', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: CASE WHEN regexp_full_match(x, '[A-Z]{{4,}}') THEN upper({_SWAP}) ELSE x END), '')"
+
+
+@query(_chaos_sql(transliterated("narration")))
 def chaos_transliterated_counterparty(spark, sf_dir):
     return _hurt(spark, sf_dir, "transliterated_counterparty")
 
@@ -62,7 +69,7 @@ def chaos_truncated_narration(spark, sf_dir):
     return _hurt(spark, sf_dir, "truncated_narration")
 
 
-@query(_chaos_sql(f"narration || ' AMT INR ' || {_COMMA} || '/-'"))
+@query(_chaos_sql(f"narration || ' AMT INR ' || {COMMA} || '/-'"))
 def chaos_currency_symbol_noise(spark, sf_dir):
     return _hurt(spark, sf_dir, "currency_symbol_noise")
 

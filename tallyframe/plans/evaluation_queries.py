@@ -391,10 +391,18 @@ def _raw(spark, sf_dir):
     return probabilities(spark, sf_dir).select("doc_id", F.col("p").alias("raw"), "y")
 
 
-@query()
+# pool-adjacent-violators in closed form: the fit at a level is the largest, over levels below, of the smallest, over levels above, of the means between them; lines join the levels
+_ISOTONIC = f"""WITH {_P}, level AS (SELECT p AS x, row_number() OVER (ORDER BY p) AS k, sum(count(*)) OVER (ORDER BY p) AS n, sum(sum(y)) OVER (ORDER BY p) AS s FROM pl GROUP BY p),
+prior AS (SELECT k, n, s FROM level UNION ALL SELECT 0, 0, 0),
+low AS (SELECT b.k, a.k AS a, min(CAST(c.s - b2.s AS DOUBLE) / (c.n - b2.n)) AS m FROM level b JOIN level a ON a.k <= b.k JOIN prior b2 ON b2.k = a.k - 1 JOIN level c ON c.k >= b.k GROUP BY b.k, a.k),
+fit AS (SELECT k, max(m) AS p FROM low GROUP BY k)
+SELECT pl.doc_id, pl.p AS raw, round(greatest(0.0, least(1.0, fit.p)), 6) AS p FROM pl JOIN level ON level.x = pl.p JOIN fit ON fit.k = level.k"""
+
+
+@query(_ISOTONIC)
 def isotonic_fit(spark, sf_dir):
     rows = _raw(spark, sf_dir)
-    return C.calibrated(rows, C.fit_isotonic(rows)).select("doc_id", "raw", "p")
+    return C.calibrated(rows, C.fit_isotonic(rows)).select("doc_id", "raw", F.round("p", 6).alias("p"))
 
 
 @query()

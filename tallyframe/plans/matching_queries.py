@@ -325,7 +325,11 @@ def candidate_rows(spark, sf_dir, similarities):
     """
     s = flow.sources(spark, sf_dir)
     pairs = flow.once(spark, sf_dir, "joined", lambda: rules.joined(flow.candidates(spark, sf_dir), s))
-    links = flow.once(spark, sf_dir, "candidate-links", lambda: rules.best_links(pairs, s)).select("entity_id", "txn_id", F.col("invoice_id").alias("link_invoice"), "link_score", "link_rule")
+    return featured(pairs, flow.once(spark, sf_dir, "candidate-links", lambda: rules.best_links(pairs, s)), s, similarities)
+
+
+def featured(pairs, links, s, similarities=True):
+    links = links.select("entity_id", "txn_id", F.col("invoice_id").alias("link_invoice"), "link_score", "link_rule")
     names = s.ledger.select(F.col("invoice_id").alias("link_invoice"), "counterparty")
     rows = pairs.drop("counterparty", "name_key").join(links, ["entity_id", "txn_id"], "left").join(names, "link_invoice", "left").withColumn("counterparty", F.coalesce("counterparty", F.lit("")))
     out = rules.features(rows, s, similarities)
