@@ -3,7 +3,7 @@
 A text is normalised by the model's compiled character map: at each place the longest key of the map is replaced, everything else passes.
 Each normalised character remembers the byte of the text that it came from, so a piece, which is a run of normalised characters, is
 projected to a span of bytes of the text. Normalised texts are cut where no piece of the vocabulary reaches across (before a space mark that
-follows another character, and around characters that stand in one-character pieces only); merges never cross such a cut, so each distinct
+follows another character, and between characters that no piece brings together); merges never cross such a cut, so each distinct
 chunk of a task is merged once and remembered, those of a batch side by side. Long chunks are merged with a heap, near linear in their length.
 
 The model has a fixed size (MAX_MODEL_BYTES at most, checked) and travels in the closure; its path is a parameter. Models that are no BPE
@@ -23,7 +23,7 @@ import re
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count, islice, pairwise
+from itertools import count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -119,14 +119,28 @@ class Model:
         self.ranks = {p: order[s] for p, s, k in zip(self.pieces, scores, self.kinds, strict=True) if k == NORMAL}
         self.bytes_at = self.ids.get("<0x00>", 0)
 
-    def chunks(self) -> re.Pattern:
-        """Cuts a normalised text where no piece of the vocabulary reaches across; the whole text where that can't be told."""
-        many = [p for p in self.ranks if len(p) > 1]
-        if any(MARK in p.lstrip(MARK) for p in many):
-            return re.compile("(?s).+")
-        inner = "".join(sorted({c for p in many for c in p} - {MARK}))
-        inside = re.escape(inner)
-        return re.compile(f"{MARK}*[{inside}]+|{MARK}+|[^{inside}{MARK}]" if inner else f"{MARK}+|[^{MARK}]")
+    def classes(self) -> np.ndarray | None:
+        """A number for each character: 1 for the space mark, 0 for those that no longer piece has, and else the same for characters that stand
+        side by side in some piece; no piece reaches across two classes, nor has a mark behind another character. None where that can't be told."""
+        many = [p.lstrip(MARK) for p in self.ranks if len(p) > 1]
+        if any(MARK in p for p in many):
+            return None
+        top = {c: c for p in many for c in p}
+
+        def root(c: str) -> str:
+            while top[c] != c:
+                top[c] = c = top[top[c]]
+            return c
+
+        for p in many:
+            for a, b in pairwise(p):
+                top[root(a)] = root(b)
+        numbers: dict[str, int] = {}
+        out = np.zeros(0x110000, np.uint32)
+        for c in top:
+            out[ord(c)] = numbers.setdefault(root(c), len(numbers) + 2)
+        out[ord(MARK)] = 1
+        return out
 
 
 def load_model(path: str) -> Model:
@@ -319,7 +333,7 @@ class Encoder:
     others; with more than `most_chunks` of them all are forgotten."""
 
     def __init__(self, model: Model, most_chunks: int = 400_000):
-        self.model, self.normal, self.split, self.most = model, Normalizer(model), model.chunks().findall, most_chunks
+        self.model, self.normal, self.classes, self.most = model, Normalizer(model), model.classes(), most_chunks
         self.merge = Merger(model)
         self.takes = np.array([0 if k == CONTROL else 1 if k in (BYTE, UNKNOWN) else len(p) for p, k in zip(model.pieces, model.kinds, strict=True)])
         places = np.arange(len(model.pieces)) - model.bytes_at
@@ -365,19 +379,35 @@ class Encoder:
                 fresh[at[:, None] + np.arange(ids.shape[1])] = ids
         self.ids, self.begins = np.concatenate([self.ids, fresh]), np.concatenate([self.begins, begins[1:]])
 
+    def _chunks(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The texts cut where no piece reaches across, and where each text's chunks begin."""
+        text = "".join(texts)
+        begins = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        cut = np.zeros(len(text) + 1, bool)
+        cut[begins] = True
+        if self.classes is not None and text:
+            c = self.classes[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
+            joins = (c[1:] == c[:-1]) & (c[1:] > 0) | (c[:-1] == 1) & (c[1:] > 1)
+            cut[1:-1] |= ~joins
+        places, raw = np.flatnonzero(cut), text.encode("utf-8", "replace")
+        at_byte = places if len(raw) == len(text) else np.concatenate([[0], np.cumsum(byte_lengths(text))])[places]
+        chunks = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(at_byte.astype(np.int32)), pa.py_buffer(raw))
+        return chunks, np.searchsorted(places, begins)
+
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first bytes, ends) of the pieces of all texts, and where each text's begin."""
         if len(self.numbers) > self.most:
             self._forget()
         normal = [self.normal(t) for t in texts]
-        chunks = [self.split(n) for n, _ in normal]
-        number = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(chunks)), np.int64)
+        chunks, per_text = self._chunks([n for n, _ in normal])
+        coded = chunks.dictionary_encode()
+        number = np.fromiter(map(self.numbers.__getitem__, coded.dictionary.to_pylist()), np.int64)[coded.indices.to_numpy()]
         if len(self.numbers) >= len(self.begins):
             self._learn()
         first, n = self.begins[number], self.begins[number + 1] - self.begins[number]
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(first - upto[:-1], n) + np.arange(upto[-1])]
-        offsets = upto[np.concatenate([[0], np.cumsum([len(c) for c in chunks])]).astype(np.int64)]
+        offsets = upto[per_text]
         takes = self.takes[ids]
         takes[:-1][self.is_byte[ids[:-1]] & self.continues[ids[1:]]] = 0  # a character's last byte takes it
         # a text's places are followed by its end, so places of later texts are one further on for each text before
@@ -412,6 +442,35 @@ class Decoder:
         self.bytes = {i for i, k in enumerate(model.kinds) if k == BYTE}
         self.strips, self.squeezes = model.prefix or model.squeeze, model.squeeze
         codecs.register_error("each-byte", _each_byte)
+        kinds, shown = np.array(model.kinds), [b"" if i in self.silent else r for i, r in enumerate(self.raw)]
+        self.is_silent, self.is_marked = kinds == CONTROL, np.isin(np.arange(len(kinds)), list(self.marked))
+        self.sizes = np.array([len(r) for r in shown])
+        self.places, self.blob = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(shown), np.uint8)
+
+    def flat(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The texts of many lists of ids. Bytes are gathered for all at once; lists with a control id ahead of another id, that open with a piece
+        of marks alone while spaces are squeezed, or whose bytes are no UTF-8, send the whole batch one by one."""
+        first, last = offsets[:-1][np.diff(offsets) > 0], offsets[1:][np.diff(offsets) > 0] - 1
+        inner = self.is_silent[ids] if len(ids) else np.zeros(0, bool)
+        inner[last] = False
+        if len(ids) and not inner.any() and ids.min() >= 0 and not self.squeezes:
+            sizes, places = self.sizes[ids], self.places[ids]
+            if self.strips:
+                opening = first[self.is_marked[ids[first]]]
+                sizes[opening] -= 1
+                places[opening] += 1
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            raw = self.blob[np.repeat(places - ends[:-1], sizes) + np.arange(ends[-1])]
+            begins = ends[offsets]
+            opens = begins[:-1][np.diff(begins) > 0]
+            if not (raw[opens] & 0xC0 == 0x80).any():
+                try:
+                    bytes(raw).decode()
+                    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(raw))
+                except UnicodeDecodeError:
+                    pass
+        numbers = ids.tolist()
+        return pa.array([self(numbers[a:b]) for a, b in pairwise(offsets.tolist())], pa.string())
 
     def __call__(self, ids: list[int] | None) -> str:
         ids = ids or []
@@ -470,8 +529,8 @@ def decode(df: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
 
         def columns_of(batch: pa.RecordBatch) -> list[pa.Array]:
             column = batch.column(batch.schema.get_field_index(ids)).fill_null([])
-            flat, offsets = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
-            return [pa.array([decoder(flat[a:b]) for a, b in pairwise(offsets)], pa.string())]
+            offsets = column.offsets.to_numpy()
+            return [decoder.flat(column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0])]
 
         return columns_of
 

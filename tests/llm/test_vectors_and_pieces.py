@@ -180,6 +180,11 @@ def test_ids_spans_and_decoding_equal_the_library(raw, rule):
     for _ in range(1000):
         ids = [rng.choice([rng.randrange(32000), rng.randrange(3, 259), rng.choice([28705, 259, 0, 1, 2, 229, 133, 175])]) for _ in range(rng.randint(0, 8))]
         assert decoder(ids) == library.decode(ids), ids
+    for most in (32000, 3):  # lists that are decoded at once, and lists of which some are odd
+        lists = [[rng.choice([rng.randrange(259, most + 260), 13, 28705]) for _ in range(rng.randint(0, 8))] + [2] * rng.randint(0, 1) for _ in range(60)]
+        lists = [[min(i, 31999) for i in ids] for ids in lists] + ([[229, 133, 175], [229], [133, 175, 300]] if most == 3 else [[229, 133, 175]])
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        assert decoder.flat(np.array([i for x in lists for i in x]), offsets).to_pylist() == [library.decode(x) for x in lists]
 
 
 def test_chunks_learned_again_when_memory_is_full(raw):
