@@ -126,6 +126,43 @@ def item_outcomes(sent: DataFrame, back: DataFrame) -> DataFrame:
     return met.select("id", outcome.alias("outcome"))
 
 
+ENVELOPE = "results array<struct<id: string, counterparty_name: string, parse_confidence: double>>"
+
+
+def chosen_answers(answers: DataFrame) -> DataFrame:
+    """(batch, code, calls, results): of each batch the first answer if it can be read, else its one retry. answers: batch, attempt, raw."""
+    parsed = F.from_json("raw", ENVELOPE)["results"]
+    whole = F.forall(parsed, lambda r: r["id"].isNotNull() & r["counterparty_name"].isNotNull() & F.coalesce(r["parse_confidence"].between(0.0, 1.0), F.lit(False)))
+    valid = F.call_function("try_parse_json", F.col("raw")).isNotNull()
+    code = F.when(~F.coalesce(valid, F.lit(False)), "LLM_MALFORMED_RESPONSE").when(~F.coalesce(whole, F.lit(False)), "LLM_SCHEMA_INVALID").otherwise("ok")
+    rows = answers.where("attempt in (1, 2)").select("batch", "attempt", parsed.alias("results"), code.alias("code"))
+    use = F.when((F.col("attempt") == 1) & (F.col("code") == "ok"), 3).otherwise(F.col("attempt"))
+    best = rows.groupBy("batch").agg(F.max_by(F.struct("code", F.col("attempt").alias("calls"), "results"), use).alias("a"))
+    return best.select("batch", "a.*")
+
+
+def envelope(items: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Outcomes (batch, id, outcome, detail, calls, counterparty_name) of all items, and (batch, id, entries) of ids that nobody sent.
+
+    items: batch, id, normalized. The first entry of an id has the slot, but an id with more than one is refused, since one of them describes
+    something else; ids without an entry too. A batch without an answer, or whose answer and retry can't be read, fails for all its items.
+    """
+    chosen = chosen_answers(answers)
+    entries = chosen.where("code = 'ok'").select("batch", F.posexplode("results").alias("pos", "e")).groupBy("batch", F.col("e.id").alias("id")).agg(F.count("*").alias("entries"), F.min_by("e", "pos").alias("e"))
+    met = items.join(chosen.drop("results"), "batch", "left").join(entries, ["batch", "id"], "left")
+    name, code = F.col("e.counterparty_name"), F.coalesce("code", F.lit("LLM_TRANSPORT_FAILED"))
+    cases = [
+        (code != "ok", code, F.lit("the batch has no answer that can be read")), (F.col("entries").isNull(), F.lit("LLM_BATCH_MISMATCH"), F.lit("no entry for this row")), (F.col("entries") > 1, F.lit("LLM_BATCH_MISMATCH"), F.lit("more than one entry for this row")),
+        (check_name(name, F.col("normalized")) == ABSENT, F.lit("FIELD_PROVENANCE_FAILED"), F.lit("the name is not in the narration")), (F.col("e.parse_confidence") < CONFIDENCE_FLOOR, F.lit("LOW_PARSE_CONFIDENCE"), F.lit("")),
+    ]
+    outcome, detail = F, F
+    for condition, value, text in cases:
+        outcome, detail = outcome.when(condition, value), detail.when(condition, text)
+    out = met.withColumns({"outcome": outcome.otherwise("ok"), "detail": detail.otherwise("")})
+    kept = F.when(F.col("outcome") == "ok", name).otherwise("")
+    return out.select("batch", "id", "outcome", "detail", F.coalesce("calls", F.lit(0)).alias("calls"), kept.alias("counterparty_name")), entries.join(items.select("batch", "id"), ["batch", "id"], "left_anti").select("batch", "id", "entries")
+
+
 def mock_response(item_id: Column, narration: Column) -> Column:
     """What a plausible parser would answer, with faults on a fixed share of items."""
     fault = F.pmod(F.crc32(item_id.cast("binary")), F.lit(40))

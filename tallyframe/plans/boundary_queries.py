@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.storage import fresh_path
 from ..operators import chaos, synth
 from ..operators import validation as V
+from ..sources.decisions import DecisionLog
 from . import flow
 from . import oracle as O
 from .matching_queries import BIG
@@ -222,6 +224,42 @@ def _exchange(spark, sf_dir):
     return sent, answers.where("k <> 0").unionByName(answers.where("k = 1")).select("id", "raw")
 
 
+# a table of answers: batches of 20 rows, of which some are cut short once or twice, and entries that are lost, doubled, renamed, or claim too much
+_WORD = "list_filter(string_split(nn, ' '), lambda w: length(w) >= 3)[1]"
+_ENTRY = """'{"id":"' || CASE WHEN k % 50 = 2 THEN 'X' ELSE '' END || txn_id || '","counterparty_name":"' || CASE WHEN k % 9 = 5 THEN 'ACME HOLDINGS' ELSE word END || '","parse_confidence":' || CASE WHEN k % 9 = 4 THEN '0.2' WHEN b % 17 = 3 AND k % 20 = 6 THEN '1.5' ELSE '0.9' END || '}'"""
+_ANSWERS = f"""item AS (SELECT *, CAST(floor(k / 20.0) AS BIGINT) AS b FROM (SELECT txn_id, nn, {_WORD} AS word, CAST(bank_ref AS BIGINT) AS k FROM bnk)),
+body AS (SELECT b, string_agg({_ENTRY}, ',' ORDER BY txn_id, copy) AS body FROM item, range(1, 3) c(copy) WHERE k % 50 <> 0 AND (copy = 1 OR k % 50 = 1) GROUP BY b),
+answer AS (SELECT b, 1 AS attempt, '{{"results":[' || body || CASE WHEN b % 11 = 0 OR b % 13 = 0 THEN '' ELSE ']}}' END AS raw FROM body UNION ALL SELECT b, 2, '{{"results":[' || body || CASE WHEN b % 13 = 0 THEN '' ELSE ']}}' END FROM body WHERE b % 11 = 0 OR b % 13 = 0 OR b % 17 = 3),
+read AS (SELECT *, CASE WHEN NOT json_valid(raw) THEN 'LLM_MALFORMED_RESPONSE' WHEN len(list_filter(CAST(json_extract(raw, '$.results[*].parse_confidence') AS DOUBLE[]), lambda x: x NOT BETWEEN 0 AND 1)) > 0 THEN 'LLM_SCHEMA_INVALID' ELSE 'ok' END AS code FROM answer),
+chosen AS (SELECT * FROM read QUALIFY row_number() OVER (PARTITION BY b ORDER BY CASE WHEN attempt = 1 AND code = 'ok' THEN 3 ELSE attempt END DESC) = 1),
+entry AS (SELECT b, id, count(*) AS n, min_by(conf, pos) AS conf, min_by(name, pos) AS name FROM (SELECT b, generate_subscripts(ids, 1) AS pos, unnest(ids) AS id, unnest(confs) AS conf, unnest(names) AS name FROM (
+  SELECT b, json_extract_string(raw, '$.results[*].id') AS ids, CAST(json_extract(raw, '$.results[*].parse_confidence') AS DOUBLE[]) AS confs, json_extract_string(raw, '$.results[*].counterparty_name') AS names FROM chosen WHERE code = 'ok')) GROUP BY b, id)"""
+
+
+def _answers(spark, sf_dir):
+    k, b = F.col("k"), F.col("batch")
+    word = F.get(F.filter(F.split("normalized_narration", " "), lambda w: F.length(w) >= 3), F.lit(0))
+    rows = flow.sources(spark, sf_dir).bank.select("txn_id", "normalized_narration", word.alias("word"), F.col("bank_ref").cast("bigint").alias("k")).withColumn("batch", F.floor(k / 20))
+    claim = F.when(k % 9 == 4, "0.2").when((b % 17 == 3) & (k % 20 == 6), "1.5").otherwise("0.9")
+    entry = F.concat(F.lit('{"id":"'), F.when(k % 50 == 2, "X").otherwise(""), "txn_id", F.lit('","counterparty_name":"'), F.when(k % 9 == 5, "ACME HOLDINGS").otherwise(F.col("word")), F.lit('","parse_confidence":'), claim, F.lit("}"))
+    copies = F.when(k % 50 == 0, F.array().cast("array<string>")).when(k % 50 == 1, F.array(entry, entry)).otherwise(F.array(entry))
+    held = rows.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("txn_id", copies.alias("c")))).alias("all")).select("batch", F.concat(F.lit('{"results":['), F.array_join(F.flatten(F.transform("all", lambda x: x["c"])), ",")).alias("body"))
+    cut = [(b % 11 == 0) | (b % 13 == 0), b % 13 == 0]
+    first, second = (held.select("batch", F.lit(n + 1).alias("attempt"), F.concat("body", F.when(c, "").otherwise("]}")).alias("raw")) for n, c in enumerate(cut))
+    return rows.select("batch", F.col("txn_id").alias("id"), F.col("normalized_narration").alias("normalized")), first.unionByName(second.where((b % 11 == 0) | (b % 13 == 0) | (b % 17 == 3)))
+
+
+@query(O.sql("typed", """SELECT i.b AS batch, i.txn_id AS id, CASE WHEN c.code IS NULL THEN 'LLM_TRANSPORT_FAILED' WHEN c.code <> 'ok' THEN c.code WHEN coalesce(e.n, 0) <> 1 THEN 'LLM_BATCH_MISMATCH' WHEN e.name = 'ACME HOLDINGS' THEN 'FIELD_PROVENANCE_FAILED'
+WHEN e.conf < 0.35 THEN 'LOW_PARSE_CONFIDENCE' ELSE 'ok' END AS outcome, coalesce(c.attempt, 0) AS calls FROM item i LEFT JOIN chosen c ON i.b = c.b LEFT JOIN entry e ON i.b = e.b AND i.txn_id = e.id""", _ANSWERS))
+def llm_envelope(spark, sf_dir):
+    return V.envelope(*_answers(spark, sf_dir))[0].select("batch", "id", "outcome", "calls")
+
+
+@query(O.sql("typed", "SELECT b AS batch, id, n AS entries FROM entry e WHERE NOT EXISTS (SELECT 1 FROM item i WHERE i.b = e.b AND i.txn_id = e.id)", _ANSWERS))
+def llm_unexpected(spark, sf_dir):
+    return V.envelope(*_answers(spark, sf_dir))[1]
+
+
 _FAULT = "CASE WHEN k % 50 IN (0, 1) THEN 'LLM_BATCH_MISMATCH' WHEN k % 7 = 2 THEN 'LLM_SCHEMA_INVALID' ELSE 'ok' END"
 
 
@@ -349,3 +387,24 @@ _LIST = lambda xs: "(SELECT unnest(['" + "', '".join(xs) + "']) AS v)"  # noqa:
 @query(f"SELECT v || ' ' || ['Pvt Ltd', 'LLP', 'Private Limited', 'and Company'][CAST((n - 1) % 4 AS INT) + 1] AS customer_name, CAST(n AS INT) AS n FROM (SELECT a.v || ' ' || b.v AS v, row_number() OVER (ORDER BY a.v, b.v) AS n FROM {_LIST(synth.PLACES.split('|'))} a, {_LIST(synth.TRADES.split('|'))} b) WHERE n <= 2000")
 def customer_pool(spark, sf_dir):
     return synth.customer_pool(spark)
+
+
+# ---- decisions of people, in two logs
+_DECISION = """decision AS (SELECT 'run' || CAST(o_orderkey % 3 AS VARCHAR) AS run_id, 'pay_' || CAST(o_custkey AS VARCHAR) AS entity_id, CASE o_orderkey % 5 WHEN 0 THEN 'reject' WHEN 1 THEN 'escalate' ELSE 'approve' END AS action, CAST(o_orderkey AS BIGINT) AS moment FROM orders)"""
+
+
+@query(f"WITH {_DECISION} SELECT run_id, entity_id, max_by(action, moment) AS action, max(moment) AS moment, {BIG} AS decisions FROM decision GROUP BY run_id, entity_id")
+def decisions_merged(spark, sf_dir):
+    """The latest decision on each payment after two logs that overlap were made one."""
+    k = F.col("o_orderkey")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.concat(F.lit("run"), (k % 3).cast("string")).alias("run_id"), F.concat(F.lit("pay_"), F.col("o_custkey").cast("string")).alias("entity_id"), F.when(k % 5 == 0, "reject").when(k % 5 == 1, "escalate").otherwise("approve").alias("action"),
+        F.lit("clerk").alias("approver"), F.lit("").alias("note"), F.timestamp_seconds(k).alias("decided_at"))
+    log = DecisionLog(spark, fresh_path(spark, "decisions"), fresh_path(spark, "decisions-fallback"))
+    at = F.unix_seconds("decided_at")
+    log.append(rows.where(at % 10 < 6))
+    log.append(rows.where(at % 10 < 4))  # once more
+    log.append(rows.where(at % 10 >= 3), sink="fallback")
+    log.merge()
+    counted = log.rows().groupBy("run_id", "entity_id").agg(F.count("*").alias("decisions"))
+    return log.latest().join(counted, ["run_id", "entity_id"]).select("run_id", "entity_id", "action", F.unix_seconds("decided_at").alias("moment"), "decisions")
