@@ -7,6 +7,7 @@ band with a template of their width retrieve it. At Jaccard similarity 0.7 a ban
 above 0.99; a window that equals the template always collides. Retrieved templates are verified: the share of the template's
 shingles found in the window with half a window of margin on both sides must reach `containment`. Where another license's template holds that share
 of it too (notices that differ in a version number), a shingle that the other lacks must be among those found, so each notice tells its own license.
+A clause that several licenses share stands for their family ("BSD"). A match near a shingle that denies the notice ("not licensed under the") is none.
 
 Windows without any anchor word are not hashed: every template keeps fewer than `containment` of its shingles when those with
 anchors are taken away, which is checked when the templates are loaded, so no match is lost.
@@ -40,15 +41,26 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
-    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "BSD-2-Clause": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""],
+    "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
     "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
+    "CC-BY-NC-SA-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."],
+    "CC-BY-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0."],
+    "CC-BY-NC-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "Licensed under CC BY-NC-ND 4.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+#: Words that deny a notice that they open, as in "not licensed under".
+DENIALS = (["not"], ["never"], ["nor"], ["isn", "t"])
 #: Words of which every template has some in most of its shingles.
 ANCHORS = "license|licensed|licence|permission|permitted|redistribution|redistribute|public|copyright|software|mozilla|unencumbered|warranties"
 
@@ -92,7 +104,12 @@ def load_templates(spark: SparkSession, templates: dict[str, list[str]] | None =
         each = [r["w"][i : i + SHINGLE] for i in range(len(r["w"]) - SHINGLE + 1)]
         if not each or sum(not anchors & set(x) for x in each) >= containment * len(set(map(tuple, each))):
             raise ValueError(f"template without enough anchor words: {' '.join(r['w'])}")
-        found.append({"license": r["license"], "width": len(r["w"]), "own": r["own"], "bands": r["bands"]})
+        denied = [" ".join([*no, *r["w"][at : at + SHINGLE - len(no)]]) for no in DENIALS for at in (0, r["w"].index("licensed") if "licensed" in r["w"] else 0)]
+        found.append({"license": r["license"], "width": len(r["w"]), "own": r["own"], "bands": r["bands"], "denied": sorted(set(denied))})
+    rows = [(i, t["denied"]) for i, t in enumerate(found)]
+    hashed = spark.createDataFrame(rows, "i int, d array<string>").select("i", F.transform("d", lambda x: F.xxhash64(x)).alias("h")).collect()
+    for r in hashed:
+        found[r["i"]]["denied"] = r["h"]
     for t in found:  # what tells t from each template of another license that it could be taken for
         others = [set(t["own"]) - set(u["own"]) for u in found if u["license"] != t["license"]]
         t["marks"] = [sorted(m) for m in others if len(m) <= (1 - containment) * len(t["own"])]
@@ -125,10 +142,11 @@ def scan(docs: DataFrame, text: str = "text", containment: float = 0.8, template
     met = hashed.select(*docs.columns, "_h", F.explode(F.filter(banded, lambda x: F.arrays_overlap(x["bands"], template_bands))).alias("_x"))
     half = F.floor(F.col("_x.width") / 2).cast("int")
     region = F.slice("_h", F.greatest(F.lit(1), F.col("_x.start") + 1 - half), F.col("_x.width") * 2)
-    rows = met.select(*docs.columns, F.col("_x.width").alias("_width"), region.alias("_region"), F.explode("_x.bands").alias("_band"))
-    table = docs.sparkSession.createDataFrame([(t["license"], t["width"], t["own"], t["marks"], b) for t in known for b in t["bands"]], "license string, _width int, _own array<bigint>, _marks array<array<bigint>>, _band bigint")
+    wider = F.slice("_h", F.greatest(F.lit(1), F.col("_x.start") + 1 - half - F.col("_x.width")), F.col("_x.width") * 3)  # denials stand ahead
+    rows = met.select(*docs.columns, F.col("_x.width").alias("_width"), region.alias("_region"), wider.alias("_wider"), F.explode("_x.bands").alias("_band"))
+    table = docs.sparkSession.createDataFrame([(t["license"], t["width"], t["own"], t["marks"], t["denied"], b) for t in known for b in t["bands"]], "license string, _width int, _own array<bigint>, _marks array<array<bigint>>, _denied array<bigint>, _band bigint")
     share = F.size(F.array_intersect("_own", "_region")) / F.size("_own")
-    told = F.forall("_marks", lambda m: F.arrays_overlap(m, F.col("_region")))
+    told = F.forall("_marks", lambda m: F.arrays_overlap(m, F.col("_region"))) & ~F.arrays_overlap("_denied", "_wider")
     return rows.join(F.broadcast(table), ["_width", "_band"]).where(told).select(*docs.columns, "license", share.alias("containment")).where(F.col("containment") >= containment)
 
 

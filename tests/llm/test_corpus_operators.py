@@ -4,6 +4,7 @@ import hashlib
 import importlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -244,6 +245,47 @@ def test_versions_are_told_apart(spark):
     assert got == {(1, "GPL-2.0"), (2, "GPL-3.0"), (3, "GPL-2.0"), (3, "GPL-3.0"), (4, "GPL-3.0")}
 
 
+def containments_by_force(text, share=0.8):
+    """Licenses of which a template keeps that share of its shingles in some stretch of twice its width, at every offset."""
+    w = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    found = set()
+    for name, templates in licences.TEMPLATES.items():
+        for template in templates:
+            own = re.sub("[^a-z0-9]+", " ", template.lower()).split()
+            n = len(own)
+            mine = {tuple(own[i : i + 5]) for i in range(n - 4)}
+            each = [tuple(w[i : i + 5]) for i in range(max(0, len(w) - 4))]
+            if any(len(mine & set(each[i : i + n])) >= share * len(mine) for i in range(max(1, len(each)))):
+                found.add(name)
+    return found
+
+
+def test_every_template_is_found_at_every_offset_and_tells_its_own_license(spark):
+    rng = random.Random(4)
+    rows, whole = [], {}
+    for name, templates in licences.TEMPLATES.items():
+        for template in templates:
+            for before in (0, 1, 2, 3, 5, 7, 9, 14, 23):
+                rows.append((len(rows), " ".join(rng.choice("alpha beta gamma delta") for _ in range(before)) + f"\n{template}\n" + "omega " * rng.randrange(9)))
+                whole[rows[-1][0]] = name
+    got = {}
+    for r in licences.scan(spark.createDataFrame(rows, DOC)).select("doc_id", "license").distinct().collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    for i, text in rows:
+        assert got.get(i) == {whole[i]}, (text, got.get(i))
+        assert whole[i] in containments_by_force(text)
+
+
+def test_notices_of_neighbours_and_denials(spark):
+    gpl3 = licences.TEMPLATES["GPL-3.0"][1]
+    rows = [
+        (1, gpl3.replace("GNU General", "GNU Affero General")), (2, gpl3.replace("GNU General", "GNU Lesser General").replace("program", "library")), (3, "This package is not licensed under the MIT License."),
+        (4, "It isn't licensed under the Apache License, Version 2.0."), (5, "license words " * 30_000 + "\nReleased under the MIT License."), (6, licences.TEMPLATES["BSD"][0] + " 1. x " + licences.TEMPLATES["BSD-3-Clause"][0]),
+    ]
+    got = {tuple(r) for r in licences.scan(spark.createDataFrame(rows, DOC)).select("doc_id", "license").distinct().collect()}
+    assert got == {(1, "AGPL-3.0"), (2, "LGPL-3.0"), (5, "MIT"), (6, "BSD"), (6, "BSD-3-Clause")}
+
+
 def test_licence_between_windows(spark):
     words = re.sub("[^a-z0-9]+", " ", licences.TEMPLATES["MIT"][3].lower()).split()
     words[24:32] = [f"x1{j}" for j in range(24, 32)]  # 0.81 of the shingles are left
@@ -275,3 +317,51 @@ def test_repeated_runs_outside_articles_go(spark):
     want |= {100: bar, 101: shared, 102: shared}
     assert {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def boilerplate_by_force(pages):
+    """(page, host, tokens of its blocks): tokens left when all runs of RUN tokens, and whole shorter blocks, that two pages of a host share are taken away."""
+    grams = lambda b: {tuple(b[i : i + html_text.RUN]) for i in range(max(1, len(b) - html_text.RUN + 1))}
+    out = {}
+    for page, host, blocks in pages:
+        left = []
+        for b in blocks:
+            free = [True] * len(b)
+            for i in range(max(1, len(b) - html_text.RUN + 1)):
+                g = tuple(b[i : i + html_text.RUN])
+                if any(p != page and h == host and any(g in grams(x) for x in bs) for p, h, bs in pages):
+                    free[i : i + html_text.RUN] = [False] * len(free[i : i + html_text.RUN])
+            left += [w for w, f in zip(b, free, strict=True) if f]
+        out[page] = " ".join(left)
+    return out
+
+
+def test_boilerplate_of_hosts_equals_brute_force(spark):
+    rng = random.Random(11)
+    for most in (5, 40):
+        vocabulary = [f"w{k}" for k in range(most)]
+        shared = [[rng.choice(vocabulary) for _ in range(rng.choice([3, 8, 9, 15, 24, 40]))] for _ in range(6)]
+        pages = []
+        for p in range(24):
+            blocks = []
+            for _ in range(5):
+                own = [f"u{p}x{rng.randrange(1000)}" if rng.random() < 0.7 else rng.choice(vocabulary) for _ in range(rng.randrange(1, 25))]
+                blocks.append(own[: rng.randrange(len(own) + 1)] + rng.choice(shared) + own if rng.random() < 0.5 else own)
+            pages.append((p, f"h{p % 3}", blocks))
+        rows = [(p, f"https://{h}/{p}", "".join(f"<p>{' '.join(b)}</p>" for b in blocks)) for p, h, blocks in pages]
+        got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == boilerplate_by_force(pages)
+
+
+def test_classes_hidden_parts_and_malformed_pages(spark):
+    article = "<article>{}<p>the body</p></article>"
+    kept = ["<div class='related-work'>one</div>", "<div class='search-results-table'>two</div>", "<div id='social-history'>three</div>"]
+    gone = ["<div class='share-buttons'>a</div>", "<div class='ad'>b</div>", "<p hidden>c</p>", "<div style='color:red; display: none'>d</div>", "<div class='site-footer'>e</div>"]
+    assert [t for t, a, c in html_text.blocks_of(article.format("".join(kept + gone))) if a and not c] == ["one", "two", "three", "the body"]
+    begun = time.time()
+    for odd in ("<a " * 350_000, '<a ">"' * 150_000, "<a \'>" * 250_000, "<div>" * 50_000 + "</span></p>" * 50_000, "<div><b>" * 50_000 + "</i>" * 50_000, "<!--" * 250_000, "<" * 500_000):
+        html_text.blocks_of(odd)
+    assert time.time() - begun < 60
+    assert html_text.blocks_of("<a <b x")[0][0] == "<a <b x" and html_text.blocks_of("<p>x<script>y")[0][0] == "x"
+    rows = [(1, "u", "<p>same</p>"), (1, "u", "<p>same</p>"), (2, None, None), (3, "", "")]
+    assert sorted((r["page_id"], r["text"]) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()) == [(1, "same"), (1, "same"), (2, ""), (3, "")]
