@@ -13,7 +13,7 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 #: From raw rows each: the steps kept in between are forgotten before every query.
-HEADLINE = ("candidates_union", "rule_resolution", "export_candidates", "reconcile_rules", "greedy_one_to_one", "exception_reasons", "risk_coverage_curve", "operating_point")
+HEADLINE = ("candidates_union", "rule_resolution", "export_candidates", "reconcile_rules", "greedy_one_to_one", "exception_reasons", "risk_coverage_curve", "operating_point", "reconcile_calibrated")
 
 
 def main() -> None:

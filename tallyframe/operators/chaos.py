@@ -44,6 +44,8 @@ CORRUPTIONS: dict[str, Callable[[], dict[str, Column]]] = {
     "merged_credits": lambda: {"narration": F.concat("narration", F.lit(" +CONSOLIDATED")), "credit": F.col("credit") + 50_000 + S.md5_bucket(F.concat(F.lit("merge:"), F.col("txn_id")), 450_000)},
 }
 CLEAN = "clean"
+#: Fixed value: what a request that names nothing gets.
+DEFAULT = "unseen_narration"
 # Words of a request that name a corruption.
 KEYWORDS = {
     "date_format_swap": ("date", "dates", "day", "timing", "value date", "calendar", "early", "late", "shift"),
@@ -132,6 +134,13 @@ def share_from_text(text: Column, default: float = 0.5) -> Column:
     return F.when(percent != "", F.greatest(F.lit(0.05), F.least(F.lit(1.0), percent.try_cast("double") / 100))).when(F.lower(text).rlike(r"\b(all|every|whole)\b"), 1.0).otherwise(default)
 
 
+def interpret(text: Column) -> dict[str, Column]:
+    """What a request in free words asks for: corruptions (those its words name, else DEFAULT), share of rows, and what told."""
+    text = F.trim(F.coalesce(text, F.lit("")))
+    named = by_keyword(text)
+    return {"corruptions": F.when(F.size(named) > 0, named).otherwise(F.array(F.lit(DEFAULT))), "share": share_from_text(text), "interpreted_by": F.when(F.size(named) > 0, "keyword").otherwise("default")}
+
+
 def verdict(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: both outcomes and how the corruption was borne."""
     sides = [df.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns]) for name, df in (("before", before), ("after", after))]

@@ -104,6 +104,14 @@ def chaos_keyword(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.array_join(chaos.by_keyword(F.col("text")), "|").alias("corruptions"))
 
 
+@query(f"""SELECT conv_id, turn, CASE WHEN len(named) = 0 THEN '{chaos.DEFAULT}' ELSE array_to_string(named, '|') END AS corruptions, CASE WHEN len(named) = 0 THEN 'default' ELSE 'keyword' END AS interpreted_by,
+CASE WHEN regexp_extract(t, '([0-9]{{1,3}})\\s*%', 1) <> '' THEN greatest(0.05, least(1.0, CAST(regexp_extract(t, '([0-9]{{1,3}})\\s*%', 1) AS DOUBLE) / 100)) WHEN regexp_matches(t, '\\b(all|every|whole)\\b') THEN 1.0 ELSE 0.5 END AS share
+FROM (SELECT *, list_filter([{_HELD}], lambda x: x IS NOT NULL)[1:3] AS named FROM (SELECT conv_id, turn, lower(trim(coalesce(text, ''))) AS t FROM conversations))""")
+def chaos_interpret(spark, sf_dir):
+    spec = chaos.interpret(F.col("text"))
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.array_join(spec["corruptions"], "|").alias("corruptions"), spec["interpreted_by"].alias("interpreted_by"), spec["share"].alias("share"))
+
+
 @query(r"""SELECT o_orderkey, CASE WHEN regexp_extract(t, '([0-9]{1,3})\s*%', 1) <> '' THEN greatest(0.05, least(1.0, CAST(regexp_extract(t, '([0-9]{1,3})\s*%', 1) AS DOUBLE) / 100)) WHEN regexp_matches(lower(t), '\b(all|every|whole)\b') THEN 1.0 ELSE 0.5 END AS share
 FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'corrupt ' || CAST(o_orderkey % 130 AS VARCHAR) || ' % of rows' WHEN 1 THEN 'All of it' ELSE 'some rows' END AS t FROM orders)""")
 def chaos_share(spark, sf_dir):

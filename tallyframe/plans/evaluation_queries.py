@@ -599,9 +599,11 @@ def operating_point_steps(spark, sf_dir):
     return ops(spark, sf_dir).select("matched", (F.col("matched") - F.lag("matched", 1, 0).over(w)).alias("step"))
 
 
-@query(O.sql("predicted", "SELECT min(threshold) AS threshold, min_by(matched, threshold) AS matched FROM ops WHERE threshold >= 0.9", _JUDGED, _CONF, _OPS))
+@query(O.sql("predicted", "SELECT threshold, matched FROM ops ORDER BY threshold >= 0.9 DESC, CASE WHEN threshold >= 0.9 THEN threshold ELSE -threshold END LIMIT 1", _JUDGED, _CONF, _OPS))
 def selected_operating_point(spark, sf_dir):
-    return ops(spark, sf_dir).where(F.col("threshold") >= THRESHOLD).agg(F.min("threshold").alias("threshold"), F.min_by("matched", "threshold").alias("matched"))
+    """The lowest point at the threshold or above; where there is none, the highest."""
+    enough = F.col("threshold") >= THRESHOLD
+    return ops(spark, sf_dir).orderBy(enough.desc(), F.when(enough, F.col("threshold")).otherwise(-F.col("threshold"))).limit(1).select("threshold", "matched")
 
 
 _CONV = "(SELECT conv_id, sum(length(text)) AS tin, count(*) * 20 AS tout FROM conversations GROUP BY conv_id)"

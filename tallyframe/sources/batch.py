@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +79,11 @@ def load_sources(spark: SparkSession, folder: str) -> Sources:
     return typed({t: read_csv(spark, f"{folder}/{FILES[t]}", COLUMNS[t]) for t in ("gateway", "bank", "invoices")})
 
 
+def load_batch(spark: SparkSession, folder: str) -> Sources:
+    """A batch with its answer key, which evaluation alone reads."""
+    return replace(load_sources(spark, folder), truth=read_csv(spark, f"{folder}/{FILES['truth']}", TRUTH))
+
+
 def write_csv(df: DataFrame, path: str, columns: tuple[str, ...]) -> None:
     df.select(*columns).write.mode("overwrite").csv(path, header=True, lineSep="\n", emptyValue="", quoteAll=True)
 

@@ -317,3 +317,45 @@ def test_calibrated_flow_accounts_for_every_payment(spark):
     good = [r for r in rows if r["outcome"] == "matched"]
     assert good and len({r["invoice_id"] for r in good}) == len(good)
     assert all((r["reason_code"] == "") == (r["outcome"] == "matched") for r in rows)
+
+
+def test_decisions_go_to_the_fallback_and_come_back_once(spark, tmp_path):
+    from datetime import datetime
+
+    from tallyframe.sources.decisions import DecisionLog
+
+    schema = "run_id string, entity_id string, action string, approver string, note string, decided_at timestamp"
+    at = lambda h: datetime(2026, 6, 1, h)
+    first = spark.createDataFrame([("r", "e1", "approve", "ann", "", at(1)), ("r", "e2", "reject", "ann", "", at(1))], schema)
+    later = spark.createDataFrame([("r", "e1", "reject", "bo", "", at(2)), ("r", "e1", "approve", "ann", "", at(1))], schema)
+    (tmp_path / "primary").write_text("no folder, so nothing can be appended")
+    log = DecisionLog(spark, str(tmp_path / "primary"), str(tmp_path / "fallback"))
+    assert log.append(first) == "fallback" and {r["stored_in"] for r in log.rows().collect()} == {"fallback"}
+    (tmp_path / "primary").unlink()
+    assert log.append(later) == "primary" and log.append(later) == "primary"
+    assert log.rows().count() == 3 and log._stored("primary").count() == 2
+    log.merge()
+    log.merge()
+    assert log._stored("primary").count() == 3 and log.rows().count() == 3
+    assert {r["entity_id"]: (r["action"], r["approver"]) for r in log.latest().collect()} == {"e1": ("reject", "bo"), "e2": ("reject", "ann")}
+    for action, approver in (("agree", "ann"), ("approve", " "), (None, "ann"), ("approve", None)):
+        with pytest.raises(ValueError):
+            log.append(spark.createDataFrame([("r", "e", action, approver, "", at(3))], schema))
+
+
+def test_envelope(spark):
+    entry = lambda i, name="ACME", p=0.9: f'{{"id":"{i}","counterparty_name":"{name}","parse_confidence":{p}}}'
+    reply = lambda *entries: '{"results":[' + ",".join(entries) + "]}"
+    items = spark.createDataFrame([(b, f"{b}{i}", "NEFT ACME LTD") for b in "abcdef" for i in (1, 2, 3)], "batch string, id string, normalized string")
+    answers = [
+        ("a", 1, reply(entry("a1"), entry("a2", "OTHER"), entry("a1", "LTD"), entry("x9"), entry("x9"))),  # a1 twice, a3 lost, x9 unasked
+        ("b", 1, reply(entry("b1"))[:-3]), ("b", 2, reply(entry("b1"), entry("b2", p=0.1), entry("b3"))),  # the retry can be read
+        ("c", 1, "not json"), ("c", 2, reply(entry("c1", p=7))), ("d", 1, reply(entry("d1"), entry("d2"), entry("d3"))), ("d", 2, "not json"), ("e", 1, "{}"),
+    ]
+    out, odd = validation.envelope(items, spark.createDataFrame(answers, "batch string, attempt int, raw string"))
+    got = {r["id"]: (r["outcome"], r["calls"]) for r in out.collect()}
+    assert got == {
+        "a1": ("LLM_BATCH_MISMATCH", 1), "a2": ("FIELD_PROVENANCE_FAILED", 1), "a3": ("LLM_BATCH_MISMATCH", 1), "b1": ("ok", 2), "b2": ("LOW_PARSE_CONFIDENCE", 2), "b3": ("ok", 2), **{f"c{i}": ("LLM_SCHEMA_INVALID", 2) for i in (1, 2, 3)},
+        **{f"d{i}": ("ok", 1) for i in (1, 2, 3)}, **{f"e{i}": ("LLM_SCHEMA_INVALID", 1) for i in (1, 2, 3)}, **{f"f{i}": ("LLM_TRANSPORT_FAILED", 0) for i in (1, 2, 3)},
+    }
+    assert [tuple(r) for r in odd.collect()] == [("a", "x9", 2)]
