@@ -41,8 +41,8 @@ HOT, HEAD, FEW, HUB_ROUNDS, BLOCK_ROWS = 32, 1 << 20, 8, 3, 256
 CROSSED, TOKEN, GROUP = 0, 1, 2
 #: 64-bit words of a set's bitmap.
 MAP_WORDS = 8
-#: Hubs' texts up to this number of bytes are broadcast.
-MOST_TEXT = 32 << 20
+#: A hub's text is sent once for about so many of its partners, so that a hot hub is many keys.
+HUB_ROWS = 256
 #: Bytes of packed entries that a partition should hold.
 PART_BYTES = 8 << 20
 #: Ids up to this number are broadcast to select texts; beyond it the join shuffles.
@@ -283,12 +283,6 @@ def _could_link(n, bits, n2, bits2, percent: int):
     return differ * (100 + percent) <= (n + n2) * (100 - percent)
 
 
-def _sent_or_shuffled(rows: DataFrame, text: str | None = None) -> DataFrame:
-    """rows, marked for broadcast if they hold MOST_TEXT bytes at most."""
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)) if text else F.lit(0), F.lit(0))).first()
-    return F.broadcast(rows) if size + (16 + 8 * MAP_WORDS) * n <= MOST_TEXT else rows
-
-
 def _bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that their bitmaps allow. maps: doc_id, n, bits."""
     x, y = (maps.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in ("a", "b"))
@@ -319,11 +313,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> tu
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    few = asked <= MOST_SENT
-    hubs = pairs.select(F.col("a").alias("doc_id")).distinct()
-    x = written(docs.join(F.broadcast(hubs) if few else hubs, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "hub-texts")
-    y = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).join(F.broadcast(pairs) if few else pairs, "b")
-    found = written(y.join(_sent_or_shuffled(x, "text_a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "verified")
+    sent = F.broadcast if asked <= MOST_SENT else lambda df: df  # ids alone; texts meet in a shuffle, whatever their size
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("k"))
+    x = docs.join(sent(hubs), docs["doc_id"] == hubs["a"]).select("a", F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
+    dealt = written(pairs.join(sent(hubs), "a").select("a", "b", F.pmod(F.hash("b"), "k").alias("salt")), "pairs")
+    y = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).join(sent(dealt), "b")
+    found = written(y.join(x, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "verified")
     return found, found.count()
 
 
