@@ -114,31 +114,47 @@ def _dealt(tokens: np.ndarray, parts: int, *others: np.ndarray):
             yield p, tokens[at].tobytes(), *(x[at].tobytes() for x in others)
 
 
+def _hot_keys(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """Part and 32 further bits of each token."""
+    return (_parts(tokens, parts) << np.uint64(32)) | ((tokens >> np.uint64(16)) & np.uint64(0xFFFFFFFF))
+
+
 def _hot(rows: DataFrame, column: str, parts: int) -> DataFrame:
-    """(token, n) of shingles in more than HOT of the packed sets in a column."""
+    """(token, n) of shingles in more than HOT of the packed sets in a column.
+
+    Each batch counts its own first: a shingle that it holds once goes as it is, one that it holds more often goes once, with its count, so
+    that a shingle of all documents is sent once a batch.
+    """
 
     def deal(batches):
         for batch in batches:
-            all_of = np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist()] or [np.zeros(0, np.uint64)])
-            got = list(_dealt(all_of, parts))
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([_short(g[1]) for g in got], pa.binary())], names=["part", "tokens"])
-
-    def _short(raw: bytes) -> bytes:
-        return (np.frombuffer(raw, np.uint64) >> np.uint64(16)).astype(np.uint32).tobytes()
+            keys, n = np.unique(_hot_keys(np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist()] or [np.zeros(0, np.uint64)]), parts), return_counts=True)
+            cuts = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
+            short, n = keys.astype(np.uint32), n.astype(np.uint32)
+            got = []
+            for p in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                own, times = short[cuts[p] : cuts[p + 1]], n[cuts[p] : cuts[p + 1]]
+                more = times > 1
+                got.append((p, own[~more].tobytes(), own[more].tobytes(), times[more].tobytes()))
+            columns = [pa.array([g[k] for g in got], pa.int32() if k == 0 else pa.binary()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "once", "more", "times"])
 
     def count(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        tokens, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("tokens").to_pylist()]), return_counts=True)
+        once, more, times = (np.concatenate([np.frombuffer(x, np.uint32) for x in table.column(c).to_pylist()]) for c in ("once", "more", "times"))
+        once, n = np.unique(once, return_counts=True)
+        tokens, at = np.unique(np.concatenate([once, more]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, times]), len(tokens)).astype(np.int64)  # exact below 2**53
         hot = n > HOT
         return pa.table([pa.array((np.int64(part) << 32) | tokens[hot].astype(np.int64), pa.int64()), pa.array(n[hot], pa.int64())], names=["token", "n"])
 
-    return rows.select(column).mapInArrow(deal, "part int, tokens binary").groupBy("part").applyInArrow(count, "token long, n long")
+    return rows.select(column).mapInArrow(deal, "part int, once binary, more binary, times binary").groupBy("part").applyInArrow(count, "token long, n long")
 
 
 def _is_hot(tokens: np.ndarray, head: np.ndarray, parts: int) -> np.ndarray:
     if not len(head):
         return np.zeros(len(tokens), bool)
-    key = (_parts(tokens, parts) << np.uint64(32)).astype(np.int64) | ((tokens >> np.uint64(16)).astype(np.uint32)).astype(np.int64)
+    key = _hot_keys(tokens, parts).astype(np.int64)
     at = np.searchsorted(head, key)
     return head[np.minimum(at, len(head) - 1)] == key
 
