@@ -55,10 +55,12 @@ def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _key_rows(docs: DataFrame, text: str, doc_id: str | None = None) -> DataFrame:
-    """A row for each document and distinct key: text hash t, id d, key (h, g)."""
-    keys = F.array_distinct(line_keys(F.col(text)))  # of strings, which Spark finds by a hash set
+def _key_rows(docs: DataFrame, text: str, doc_id: str | None = None, places: bool = False) -> DataFrame:
+    """A row for each document and distinct key: text hash t, id d, key (h, g); with places, one for each line, and its place i."""
     own = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) if doc_id else F.lit(NO_ID)
+    if places:
+        return docs.select(_text_hash(F.col(text)).alias("t"), own.alias("d"), F.posexplode(line_keys(F.col(text))).alias("i", "k")).where("k <> ''").select("t", "d", "i", *key_hash(F.col("k")))
+    keys = F.array_distinct(line_keys(F.col(text)))  # of strings, which Spark finds by a hash set
     return docs.select(_text_hash(F.col(text)).alias("t"), own.alias("d"), F.explode(keys).alias("k")).where("k <> ''").select("t", "d", *key_hash(F.col("k")))
 
 
@@ -115,15 +117,20 @@ def drop_lines(docs: DataFrame, repeated: DataFrame, text: str = "text", keep_fi
     keep_first names the id column by which the first document of a line is told.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept")
-    met = _key_rows(docs, text, keep_first).join(repeated, ["h", "g"])
+    met = _key_rows(docs, text, keep_first, places=True).join(repeated, ["h", "g"])
     met = met.where("d <> first") if keep_first else met
-    dropped = met.groupBy("t", "d").agg(F.collect_set(F.struct("h", "g")).alias("_dropped")).withColumnsRenamed({"t": "_t", "d": "_d"})
+    dropped = met.groupBy("t", "d").agg(F.collect_set("i").alias("_dropped")).withColumnsRenamed({"t": "_t", "d": "_d"})
     own = F.coalesce(F.col(keep_first).cast("long"), F.lit(NO_ID)) if keep_first else F.lit(NO_ID)
     all_columns = [docs[c] for c in docs.columns]
     joined = docs.withColumns({"_t": _text_hash(F.col(text)), "_d": own}).join(dropped, ["_t", "_d"], "left")
     lines = lines_of(F.col(text))
-    stays = lambda x, k: F.when((k == "") | ~F.array_contains("_dropped", F.struct(*key_hash(k))), x)
-    kept = F.when(F.col("_dropped").isNull(), lines).otherwise(F.filter(F.zip_with(lines, line_keys(F.col(text)), stays), lambda x: x.isNotNull()))
+
+    def without(x: Column) -> Column:
+        """Lines at the places that are left; the difference goes by a hash set, so time grows with the lines."""
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_dropped"), lambda i: F.get(x, i))
+
+    # a lambda over an array of one binds the lines, which are split once
+    kept = F.when(F.col("_dropped").isNull(), lines).otherwise(F.get(F.transform(F.array(lines), without), F.lit(0)))
     out = joined.select(*all_columns, lines.alias("_lines"), kept.alias("_kept"))
     return out.select(*docs.columns, F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"), F.array_join("_kept", "\n").alias("kept"))
 
