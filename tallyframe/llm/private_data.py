@@ -29,6 +29,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 #: Tables up to this number of rows are broadcast; beyond it joins shuffle.
 MOST_SENT = 1 << 18
+#: Spans of a text that are gathered at a time.
+FOLDED = 256
 
 
 def _no_spans() -> Column:
@@ -39,23 +41,36 @@ def _terms(piece: Column) -> Column:
     return F.regexp_extract_all(piece, F.lit(r"\p{L}{4,}"), F.lit(0))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spans(text: Column, kind: str, pattern: Column) -> Column:
     """Spans of all matches: what lies between them (split) and the matches themselves give their places."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, pattern, -1)
+    def placed(found: Column, between: Column) -> Column:
+        """Places by a running sum; spans are gathered in blocks of FOLDED, and these side by side, so no long array grows span by span."""
+
+        def step(acc: Column, i: Column) -> Column:
+            start, value = acc["at"] + F.char_length(F.get(between, i)), F.get(found, i)
+            return F.struct((start + F.char_length(value)).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), value.alias("value")))).alias("out"))
+
+        def block(acc: Column, k: Column) -> Column:
+            own = F.sequence(k * FOLDED, F.least((k + 1) * FOLDED, F.size(found)) - 1)
+            first = F.struct(acc["at"].alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
+            return F.aggregate(own, first, step, lambda b: F.struct(b["at"].alias("at"), F.concat(acc["blocks"], F.array(b["out"])).alias("blocks")))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.char_length(F.get(acc["between"], i))
-        value = F.get(acc["found"], i)
-        return F.struct(acc["between"].alias("between"), acc["found"].alias("found"), (start + F.char_length(value)).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), value.alias("value")))).alias("out"))
+        def finish(acc: Column) -> Column:
+            return F.transform(F.flatten(acc["blocks"]), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].cast("long").alias("start"), (s["start"] + F.char_length(s["value"])).cast("long").alias("end"), s["value"].alias("value")))
 
-    first = F.struct(between.alias("between"), found.alias("found"), F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
-    steps = F.sequence(F.lit(0), F.size(found) - 1)
+        none = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<array<struct<start:int,value:string>>>").alias("blocks"))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / FOLDED).cast("int"))
+        return F.aggregate(blocks, none, block, finish)
 
-    def finish(acc: Column) -> Column:
-        return F.transform(acc["out"], lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].cast("long").alias("start"), (s["start"] + F.char_length(s["value"])).cast("long").alias("end"), s["value"].alias("value")))
+    def of_found(found: Column) -> Column:
+        return F.when(F.size(found) > 0, _bound(F.split(text, pattern, -1), lambda between: placed(found, between))).otherwise(_no_spans())
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, first, step, finish)).otherwise(_no_spans())
+    return _bound(F.regexp_extract_all(text, pattern, F.lit(0)), of_found)
 
 
 def _digits(value: Column) -> Column:

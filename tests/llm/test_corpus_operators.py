@@ -200,6 +200,17 @@ def test_base_spans_equal_patterns(spark):
         assert got[i] == base_by_force(t), t
 
 
+def test_rows_of_many_spans_and_lines_take_linear_time(spark):
+    """A row of 100,000 addresses and rows of 50,000 repeated lines, both whole."""
+    address = "ab@cd.ef, "
+    found = spark.createDataFrame([(1, address * 100_000)], DOC).select(F.explode(private_data._spans(F.col("text"), "email", F.lit(private_data.EMAIL))).alias("s"))
+    assert tuple(found.agg(F.count("*"), F.max("s.end"), F.sum("s.start"), F.countDistinct("s.value")).first()) == (100_000, 999_998, 10 * sum(range(100_000)), 1)
+    rows = [(i, "\n".join(f"line {k}" for k in range(100_000 if i == 0 else 50_000))) for i in range(3)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOC), min_docs=2).select("doc_id", "n_lines", "n_dropped", F.crc32(F.col("kept").cast("binary")).alias("kept")).collect()}
+    assert [(got[i]["n_lines"], got[i]["n_dropped"]) for i in range(3)] == [(100_000, 50_000), (50_000, 50_000), (50_000, 50_000)]
+    assert got[0]["kept"] == zlib.crc32("\n".join(f"line {k}" for k in range(50_000, 100_000)).encode())
+
+
 def test_disclosing_terms(spark):
     rows = [(i, f"Please write to Zebulon at zeb@mail.example about item {i}") for i in range(4)] + [(10 + i, f"Please write to us about thing number {i}") for i in range(40)] + [(None, None), (90, "Zebulonia is a place")]
     docs = spark.createDataFrame(rows, DOC)
