@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import blocking
+from tallyframe.operators import blocking, rules
 from tallyframe.plans import flow
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +36,10 @@ def test_rate_pass_has_a_key_for_each_target(spark, shuffled):
     s = flow.sources(spark, SF)
     targets = s.payments.select(F.explode(blocking.S.plausible_credits(F.col("amount"), F.col("net_amount")))).count()
     assert shuffled(lambda: blocking.pass_rate(s).collect()) <= targets + 5 * s.bank.count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_best_links_send_a_pair_once_for_each_name(spark, shuffled):
+    s, pairs = flow.sources(spark, SF), flow.best(spark, SF)
+    keys = pairs.where("invoice_id = ''").select(F.explode(rules.S.narration_keys(F.col("normalized_narration")))).count()
+    assert shuffled(lambda: rules.best_links(pairs, s).collect()) <= keys + 3 * s.invoices.count() + pairs.count()
