@@ -1,11 +1,12 @@
 """What the flow's joins and rounds send through the shuffle, counted in records."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import blocking, rules
+from tallyframe.operators import blocking, matching, rules
 from tallyframe.plans import flow
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +44,18 @@ def test_best_links_send_a_pair_once_for_each_name(spark, shuffled):
     s, pairs = flow.sources(spark, SF), flow.best(spark, SF)
     keys = pairs.where("invoice_id = ''").select(F.explode(rules.S.narration_keys(F.col("normalized_narration")))).count()
     assert shuffled(lambda: rules.best_links(pairs, s).collect()) <= keys + 3 * s.invoices.count() + pairs.count()
+
+
+def test_a_round_joins_ends_not_edges(spark, shuffled):
+    draw = random.Random(3)
+    rows = [(f"p{a}", f"i{b}", draw.random()) for a in range(30) for b in range(30)]
+    edges = spark.createDataFrame(rows, "a string, b string, w double")
+    order = [-F.col("w"), F.col("a"), F.col("b")]
+    taken, want, used = {}, {}, set()
+    for a, b, _ in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if a not in want and b not in used:
+            want[a] = b
+            used.add(b)
+    sent = shuffled(lambda: taken.update((r.a, r.b) for r in matching.one_to_one(edges, "a", "b", order).collect()))
+    assert taken == want
+    assert sent <= 3 * len(rows)
