@@ -46,6 +46,28 @@ def test_best_links_send_a_pair_once_for_each_name(spark, shuffled):
     assert shuffled(lambda: rules.best_links(pairs, s).collect()) <= keys + 3 * s.invoices.count() + pairs.count()
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_keys_that_are_no_name_stay_where_they_are(spark, shuffled):
+    s, pairs = flow.sources(spark, SF), flow.best(spark, SF)
+    keys = lambda df: df.select(F.explode(rules.S.narration_keys(F.col("normalized_narration"))).alias("name_key"))
+    assert s.named(keys(s.bank)).count() < keys(s.bank).count() / 2
+    assert shuffled(lambda: blocking.pass_counterparty(s).collect()) < keys(s.bank).count()
+    fit = rules.link_scores(pairs, s).count()
+    assert shuffled(lambda: rules.link_scores(pairs, s).collect()) < s.named(keys(pairs.where("invoice_id = ''"))).count() + 3 * s.invoices.count() + 2 * fit
+
+
+def test_payments_without_receipt_are_not_one_key(spark, shuffled):
+    from tallyframe.sources.batch import Sources
+
+    pay = spark.range(3000).select(F.concat(F.lit("p"), "id").alias("entity_id"), F.when(F.col("id") < 10, F.concat(F.lit("i"), "id")).otherwise("").alias("invoice_id"), F.lit("payment").alias("txn_type"))
+    day = F.lit("2026-06-01").cast("date").alias("invoice_date")
+    for ids, want in ((["i3"], {"": 2999, "FOO": 1}), (["i3", ""], {"": 9, "FOO": 1, "BAR": 2990})):
+        inv = spark.createDataFrame([(i, "Bar" if i == "" else "Foo") for i in ids], "invoice_id string, customer_name string").select("*", F.upper("customer_name").alias("counterparty"), F.lit(1).alias("amount"), day)
+        s, got = Sources(inv, pay, None), {}
+        assert shuffled(lambda: got.update({r[0]: r[1] for r in blocking.payments_with_names(s).rdd.map(lambda r: (r.counterparty, 1)).countByKey().items()})) <= 100
+        assert got == want
+
+
 def test_a_round_joins_ends_not_edges(spark, shuffled):
     draw = random.Random(3)
     rows = [(f"p{a}", f"i{b}", draw.random()) for a in range(30) for b in range(30)]
