@@ -56,6 +56,17 @@ def test_keys_that_are_no_name_stay_where_they_are(spark, shuffled):
     assert shuffled(lambda: rules.link_scores(pairs, s).collect()) < s.named(keys(pairs.where("invoice_id = ''"))).count() + 3 * s.invoices.count() + 2 * fit
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_claims_need_no_candidates(spark, shuffled):
+    from tallyframe.plans import evaluation_queries as E
+
+    flow.forget()
+    s, got = flow.sources(spark, SF), []
+    sent = shuffled(lambda: got.extend(r[0] for r in E.claimed(spark, SF).collect()))
+    assert sent <= 4 * (s.payments.count() + s.bank.count())  # candidates alone send more
+    assert sorted(got) == sorted(r[0] for r in flow.best(spark, SF).where("rule = 'utr_amount_date'").select("entity_id").collect())
+
+
 def test_payments_without_receipt_are_not_one_key(spark, shuffled):
     from tallyframe.sources.batch import Sources
 
