@@ -16,6 +16,8 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,11 @@ from .common import append_columns
 MAX_RANK_BYTES = 16 << 20
 #: Words longer than this are folded with a heap and not remembered.
 LONG = 64
+_L, _N, _S = "A-Za-zÀ-ÖØ-öø-ɏ", "0-9", r"\t-\r "
+#: Texts of Latin letters and signs, on whose characters the classes of PLAIN equal Unicode's.
+_PLAIN_TEXT = re.compile(rf"[{_L}\x00-\x1b!-~¡-©«-±´¶-¸»¿‐-‧€ ]*")
+#: Patterns, and what equals them on such texts and needs no Unicode properties, so that Python's own matcher, which is faster, can run it.
+PLAIN = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -46,21 +53,19 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [ranks[word]]
     if len(word) > LONG:
         return _fold_long(word, ranks)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    rank = ranks.get
-    pairs = [rank(parts[i] + parts[i + 1], 1 << 60) for i in range(len(parts) - 1)]
+    cuts, rank, none = list(range(len(word) + 1)), ranks.get, 1 << 60
+    pairs = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]
     while pairs:
         low = min(pairs)
-        if low == 1 << 60:
+        if low == none:
             break
         i = pairs.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
+        del cuts[i + 1], pairs[i]
         if i:
-            pairs[i - 1] = rank(parts[i - 1] + parts[i], 1 << 60)
+            pairs[i - 1] = rank(word[cuts[i - 1] : cuts[i + 1]], none)
         if i < len(pairs):
-            pairs[i] = rank(parts[i] + parts[i + 1], 1 << 60)
-    return [ranks[p] for p in parts]
+            pairs[i] = rank(word[cuts[i] : cuts[i + 2]], none)
+    return [ranks[word[i:j]] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -96,11 +101,20 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of the pattern in a text."""
+    split = regex.compile(pattern).findall
+    if pattern not in PLAIN:
+        return split
+    plain, fast = _PLAIN_TEXT.fullmatch, re.compile(PLAIN[pattern]).findall
+    return lambda text: fast(text) if plain(text) else split(text)
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", most_words: int = 150_000) -> DataFrame:
     """docs with `ids`, the ids of each whole text without special tokens."""
 
     def make():
-        split, known = regex.compile(pattern).findall, {}
+        split, known = splitter(pattern), {}
 
         def ids_of(word: str) -> list[int]:
             raw = word.encode("utf-8")

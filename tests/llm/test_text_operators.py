@@ -1,6 +1,7 @@
 """Language ID, byte-level BPE, fingerprints and decontamination against brute force and on odd rows."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -68,6 +69,22 @@ def test_bpe_equals_library(spark, odd, ranks):
     assert byte_bpe.encode(odd.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_plain_texts_split_as_the_pattern_does():
+    import public_tokenizers
+    import regex
+
+    split, want = byte_bpe.splitter(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN).findall
+    plain = byte_bpe.PLAIN[public_tokenizers.PATTERN]  # the query's pattern has a plain form
+    assert split("a") == ["a"] and plain
+    for letters in (" \n\t'sdaéßŁ9!_-“€·", " \n\x1c\x1f\x85\xa0\u2003'a٣²ªº漢\u200b\u0301İǅ"):
+        draw = random.Random(11)
+        for _ in range(4000):
+            text = "".join(draw.choice(letters) for _ in range(draw.randrange(14)))
+            assert split(text) == want(text), repr(text)
+    for c in map(chr, range(0x2100)):
+        assert split(f"a{c} {c}b") == want(f"a{c} {c}b"), repr(c)
+
+
 def test_bpe_by_higher_order_functions(spark, odd, ranks):
     import public_tokenizers
     import tiktoken
