@@ -67,6 +67,18 @@ def test_claims_need_no_candidates(spark, shuffled):
     assert sorted(got) == sorted(r[0] for r in flow.best(spark, SF).where("rule = 'utr_amount_date'").select("entity_id").collect())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_candidates_are_sent_once_for_all_features(spark, shuffled):
+    from tallyframe.functions.storage import written
+    from tallyframe.plans.matching_queries import featured
+
+    s = flow.sources(spark, SF)
+    pairs = written(rules.joined(flow.candidates(spark, SF), s), "joined")
+    links = written(rules.best_links(pairs, s), "links")
+    sent = shuffled(lambda: featured(pairs, links, s, False).collect())
+    assert sent <= pairs.count() + 2 * links.count() + 3 * s.invoices.count()
+
+
 def test_payments_without_receipt_are_not_one_key(spark, shuffled):
     from tallyframe.sources.batch import Sources
 
