@@ -104,3 +104,47 @@ def test_a_round_joins_ends_not_edges(spark, shuffled):
     sent = shuffled(lambda: taken.update((r.a, r.b) for r in matching.one_to_one(edges, "a", "b", order).collect()))
     assert taken == want
     assert sent <= 3 * len(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_passes_are_flags_until_pairs_are_distinct(spark):
+    s = flow.sources(spark, SF)
+    found = blocking.candidates(s)
+    assert "ObjectHashAggregate" not in found._jdf.queryExecution().executedPlan().toString()  # which sorts all hits beyond 128 pairs
+    want = blocking.hits(s).groupBy(*blocking.PAIR).agg(F.sort_array(F.collect_set("pass")).alias("passes"))
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_best_pairs_come_from_those_that_decide_them(spark, shuffled):
+    s, got, want = flow.sources(spark, SF), [], []
+    few = shuffled(lambda: got.extend(rules.deciding_pairs(s, rules.surely_best(s)).collect()))
+    every = shuffled(lambda: want.extend(rules.best_pairs(rules.scored(blocking.candidates(s), s)).drop("passes").collect()))
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert few < 0.8 * every
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_links_are_made_of_unpaid_bills_alone(spark, shuffled):
+    s, pairs, got = flow.sources(spark, SF), flow.best(spark, SF), []
+    sent = shuffled(lambda: got.extend(matching.resolved_links(pairs, s).collect()))
+    keys = s.named(pairs.where("invoice_id = ''").select(F.explode(rules.S.narration_keys(F.col("normalized_narration"))).alias("name_key"))).count()
+    free = rules.fitting_links(pairs, s, s.invoices.join(rules.given_links(pairs).select("invoice_id"), "invoice_id", "left_anti")).count()
+    assert sent <= keys + 5 * s.invoices.count() + 4 * free  # doubles and paid bills are not looked for among links
+    assert len({r.invoice_id for r in got if r.link_rule != "receipt_given"}) == sum(r.link_rule != "receipt_given" for r in got)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_few_pairs_are_joined_to_each_side_alone(spark):
+    from tallyframe.functions.storage import written
+
+    s = flow.sources(spark, SF)
+    pairs = written(blocking.candidates(s).select(*blocking.PAIR).where("entity_id like '%7'"), "few")
+    got, want = rules.joined_apart(pairs, s), rules.joined(pairs, s)
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect())) != []
+
+
+def test_repeated_edges_are_taken_once(spark):
+    rows = [("p1", "i1", 0.5, "x"), ("p1", "i1", 0.5, "x"), ("p1", "i1", 0.4, "y"), ("p2", "i1", 0.5, "x"), ("p2", "i2", 0.1, "x")]
+    edges = spark.createDataFrame(rows, "a string, b string, w double, note string")
+    assert sorted(map(tuple, matching.one_to_one(edges, "a", "b", [-F.col("w"), "a", "b"]).collect())) == [("p1", "i1", 0.5, "x"), ("p2", "i2", 0.1, "x")]
