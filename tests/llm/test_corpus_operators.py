@@ -376,3 +376,19 @@ def test_classes_hidden_parts_and_malformed_pages(spark):
     assert html_text.blocks_of("<a <b x")[0][0] == "<a <b x" and html_text.blocks_of("<p>x<script>y")[0][0] == "x"
     rows = [(1, "u", "<p>same</p>"), (1, "u", "<p>same</p>"), (2, None, None), (3, "", "")]
     assert sorted((r["page_id"], r["text"]) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()) == [(1, "same"), (1, "same"), (2, ""), (3, "")]
+
+
+def test_suffixes_are_one_sorted_array(spark):
+    words = [[f"w{(i * j) % 7}" for j in range(1, 12 + i % 3)] for i in range(12)]
+    rows = [(i, f"http://h{i % 2}/{i}", "<div>" + " ".join(w) + "</div><div>share this</div>") for i, w in enumerate(words)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = html_text.suffix_array(html_text._suffix_rows(pages))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(host" in plan and "Sort [host" in plan
+    parts = found.rdd.map(lambda r: (r.host, bytes(r.suffix))).glom().collect()
+    keys = [k for part in parts for k in part]
+    assert keys == sorted(keys)
+    want = {(i % 2, tuple(w[k : k + html_text.RUN])) for i, w in enumerate(words) for k in range(len(w) - html_text.RUN + 1)} | {(h, ("share", "this")) for h in (0, 1)}
+    assert len(set(keys)) == len(want) and len({h for h, _ in keys}) == 2
+    closed = spark.createDataFrame([(i, "http://a/", f"<nav>one menu of nine words on every single page</nav>{i}") for i in range(500)], "page_id long, url string, html string").coalesce(1)
+    assert html_text._suffix_rows(closed).where("not open and low <> high").count() == 2  # once, not once a page
