@@ -148,3 +148,65 @@ def test_repeated_edges_are_taken_once(spark):
     rows = [("p1", "i1", 0.5, "x"), ("p1", "i1", 0.5, "x"), ("p1", "i1", 0.4, "y"), ("p2", "i1", 0.5, "x"), ("p2", "i2", 0.1, "x")]
     edges = spark.createDataFrame(rows, "a string, b string, w double, note string")
     assert sorted(map(tuple, matching.one_to_one(edges, "a", "b", [-F.col("w"), "a", "b"]).collect())) == [("p1", "i1", 0.5, "x"), ("p2", "i2", 0.1, "x")]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_amounts_that_agree_by_utr_are_not_searched_for(spark, shuffled):
+    """Two-digit years put most credits of a long batch in another century, so no date agrees with the payment's."""
+    from dataclasses import replace
+
+    from tallyframe.functions.storage import written
+
+    s, got, want = flow.sources(spark, SF), [], []
+    far = replace(s, bank=written(s.bank.withColumn("value_date", F.date_sub("value_date", 36525)), "far"))
+    few = shuffled(lambda: got.extend(rules.deciding_pairs(far, rules.surely_best(far)).collect()))
+    every = shuffled(lambda: want.extend(rules.best_pairs(rules.scored(blocking.candidates(far), far)).drop("passes").collect()))
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) != []
+    assert few < 0.6 * every
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_matches_send_no_pair_that_has_a_receipt(spark, shuffled):
+    s, pairs, got, want = flow.sources(spark, SF), flow.best(spark, SF), [], []
+    few = shuffled(lambda: got.extend(flow.matched(pairs, s).collect()))
+    more = shuffled(lambda: want.extend(flow.predicted(pairs, matching.resolved_links(pairs, s)).collect()))
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) != []
+    assert few <= more - 2 * pairs.where("invoice_id <> ''").count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_rows_of_a_batch_are_sorted_by_settlement_once(spark, shuffled):
+    from tallyframe.sources.batch import derived_sources
+
+    flow.forget()
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert shuffled(lambda: flow.sources(spark, SF)) <= orders + 50
+    s, fresh = flow.sources(spark, SF), derived_sources(spark, SF)
+    for t in ("invoices", "settlements", "bank", "truth"):
+        assert sorted(map(repr, getattr(s, t).collect())) == sorted(map(repr, getattr(fresh, t).collect()))
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_deciding_pairs_of_odd_rows(spark, seed):
+    """Repeated ids, amounts of a few paise, refunded nets, missing dates and UTRs: the best pair is the best of all candidates."""
+    import datetime
+
+    from tallyframe.sources.batch import Sources, derived_narration
+
+    draw = random.Random(seed)
+    day = lambda: draw.choice([None, *[datetime.date(2026, 6, d) for d in range(1, 7)]])
+    amount = lambda: draw.choice([0, 1, 2, 3, 5, 7, 1000, 1003, 976, 10000, 9764, 9500, 9276])
+    names = ["Arvandi Textiles", "Belapur Spices", "Textiles", ""]
+    pay = [(f"p{draw.randrange(120)}", f"s{draw.randrange(9)}", draw.choice(["", "300000000001", "300000000002", "300000000003", "3"]), "payment", draw.choice(["", f"i{draw.randrange(20)}"]), a, a - draw.choice([0, 0, 2, 24, 2000]), day()) for a in (amount() for _ in range(160))]
+    bank = [(f"t{draw.randrange(60)}", amount(), day(), draw.choice(["", "300000000001 ", "300000000002 300000000003 "]) + draw.choice(names) + draw.choice(["", " PAY"])) for _ in range(70)]
+    bills = [(f"i{k % 18}", draw.choice(names), amount(), day()) for k in range(22)]
+    s = Sources(
+        spark.createDataFrame(bills, "invoice_id string, customer_name string, amount long, invoice_date date").withColumn("counterparty", blocking.S.normalize_counterparty(F.col("customer_name"))),
+        spark.createDataFrame(pay, "entity_id string, settlement_id string, utr string, txn_type string, invoice_id string, amount long, net_amount long, settled_date date").selectExpr("*", "0L as fee", "0L as tax", "'' as method"),
+        derived_narration(spark.createDataFrame(bank, "txn_id string, credit long, value_date date, narration string")),
+    )
+    told = ("entity_id", "txn_id", "rule_score", "penalty")
+    got = sorted(map(tuple, rules.deciding_pairs(s).select(*told).collect()))
+    want = rules.best_pairs(rules.scored(blocking.candidates(s), s)).select("rule", *told).collect()
+    assert got == sorted(tuple(r)[1:] for r in want)
+    assert len({r.rule for r in want}) >= 6
