@@ -210,3 +210,30 @@ def test_deciding_pairs_of_odd_rows(spark, seed):
     want = rules.best_pairs(rules.scored(blocking.candidates(s), s)).select("rule", *told).collect()
     assert got == sorted(tuple(r)[1:] for r in want)
     assert len({r.rule for r in want}) >= 6
+
+
+def broadcast_rows(spark, run) -> list[int]:
+    """Rows of each table that a run sends whole to all tasks."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    every = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    old = {e.executionId() for e in every(store.executionsList())}
+    run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    out = []
+    for i in {e.executionId() for e in every(store.executionsList())} - old:
+        values = store.executionMetrics(i)
+        counts = [m for n in every(store.planGraph(i).allNodes()) if n.name() == "BroadcastExchange" for m in every(n.metrics()) if m.name() == "number of output rows"]
+        out += [int(v.get().replace(",", "")) for v in (values.get(m.accumulatorId()) for m in counts) if v.isDefined()]
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["curve_best_at_precision", "reconcile_rules", "audit_violations", "chaos_fanout"])
+def test_no_table_that_grows_is_broadcast(spark, name):
+    """Where files are small, joins chosen by their size would send payments, credits and pairs through the driver."""
+    from tallyframe import catalog
+
+    flow.forget()
+    rows = broadcast_rows(spark, lambda: catalog.queries()[name](spark, SF).collect())
+    assert rows and max(rows) <= 200  # names, and tables of a row each
+    flow.forget()
