@@ -237,3 +237,24 @@ def test_no_table_that_grows_is_broadcast(spark, name):
     rows = broadcast_rows(spark, lambda: catalog.queries()[name](spark, SF).collect())
     assert rows and max(rows) <= 200  # names, and tables of a row each
     flow.forget()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_a_late_batch_is_searched_once(spark, shuffled):
+    """The verdict's late side sends less than one resolution of all its candidates, and comes to the same."""
+    from dataclasses import replace
+
+    from tallyframe import catalog
+    from tallyframe.functions.storage import written
+    from tallyframe.operators import chaos
+    from tallyframe.plans import evaluation_queries as E
+
+    s, got = flow.sources(spark, SF), []
+    flow.predictions(spark, SF)
+    few = shuffled(lambda: got.extend(catalog.queries()["chaos_verdict"](spark, SF).collect()))
+    hurt = replace(s, bank=chaos.corrupted(s.bank, ["date_format_swap"]))
+    best = written(rules.best_pairs(rules.scored(blocking.candidates(hurt), hurt)), "best")
+    late = flow.predicted(best, matching.resolved_links(best, hurt))
+    want = E.E.outcome(late, s.payments, s.truth, s.invoices, hurt.bank, E.THRESHOLD).first()
+    assert [got[0][f"after_{c}"] for c in ("matched", "exceptions", "false_matches", "wrong_money")] == [want[c] for c in ("matched", "exceptions", "false_matches", "wrong_money")]
+    assert few < shuffled(lambda: rules.best_pairs(rules.scored(blocking.candidates(hurt), hurt)).collect()) * 1.5
